@@ -34,7 +34,7 @@ BLOCK = 4096
 
 # Month names by their first three letters.
 _MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_abbr) if m}
-_TIME = r"(?P<H>\d{1,2}):(?P<M>\d{2})(?::(?P<S>\d{2})(?:[.,](?P<f>\d+))?)?(?:\s*(?P<ap>[AaPp]\.?[Mm]\.?))?"
+_TIME = r"(?P<H>\d{1,2}):(?P<M>\d{2})(?::(?P<S>\d{2})(?:[.,](?P<f>\d+))?)?(?:\s*(?P<ap>[AaPp]\.?[Mm]\.?)(?![A-Za-z]))?"
 _ZONE = r"\s*(?P<off>[Zz]|[+-]\d{2}(?::?\d{2})?)?\s*(?:\[?(?P<zone>[A-Za-z][A-Za-z0-9_+\-]*(?:/[A-Za-z0-9_+\-]+)*)\]?)?"
 _WHEN = rf"(?:(?:[Tt]|,?\s+){_TIME}{_ZONE})?"
 _FORMS = [
