@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.common import table, use_utc
-from chronofold.llm import bpe, packing, percentiles
+from chronofold.llm import bpe, packing, percentiles, textstats
 
 PERMILLES = (500, 900, 990)
 #: Groupings of p5: name -> group columns.
@@ -46,8 +46,16 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(bpe.count_tokens(table(spark, d, "documents")))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_statistics(spark, d).filter("doc_kind is not null").select("doc_id", "doc_kind")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return textstats.text_statistics(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_percentiles, p5_merged, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p5_percentiles, p5_merged, p8_ids, p9_containers, p10_found, p10_statistics)}
 
 
 _RANKED = """select '{name}' as "grouping", {cols}, count(*) over (partition by {part}) as n,
