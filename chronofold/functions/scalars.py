@@ -101,7 +101,7 @@ def _substr(s: Typed, start: Typed, length: Typed) -> Typed:
 def _date(x: Typed) -> Typed:
     if x.kind == STR:
         t = x.col
-        return Typed(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, F.lit("yyyy-MM-dd"))), DATE)
+        return Typed(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")), DATE)
     return Typed(x.need("date", DATE, TIME).cast("date"), DATE)
 
 

@@ -194,7 +194,7 @@ class EventStore:
         return self._has_global
 
     def as_json(self) -> DataFrame:
-        return self.events.select(F.to_json(F.struct(*COLUMNS)).alias("value"))
+        return self.events.select(F.to_json(F.struct(*COLUMNS), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("value"))
 
     # removing and writing
 
