@@ -38,7 +38,6 @@ def ordered(x: Column) -> Column:
 def value_of(key: Column) -> Column:
     """The double that ``ordered`` mapped to ``key``."""
     a = F.abs(key)
-    power = F.greatest(F.floor(a / F.lit(_FRACTION)).cast("bigint"), F.lit(1))
     power = F.greatest(F.shiftright(a, 52), F.lit(1))
     x = (a - (power - 1) * F.lit(_FRACTION)).cast("double") / F.lit(float(_FRACTION)) * F.pow(F.lit(2.0), (power - 1023).cast("double"))
     x = F.when(a == 2047 * _FRACTION, F.lit(float("inf"))).otherwise(x)
@@ -75,8 +74,7 @@ def radix_select(rows: DataFrame, groups: list[str], permilles: tuple[int, ...],
     below = F.sum("here").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("here")
     hist = hist.withColumns({"n": F.sum("here").over(whole), "below": below})
     asked = F.array(*[F.struct(F.lit(p).alias("permille"), _rank(p, F.col("n")).alias("rank")) for p in permilles])
-    hit = F.filter(asked, lambda t: (t["rank"] > F.col("below")) & (t["rank"] <= F.col("below") + F.col("here")))
-    targets = hist.withColumn("t", F.explode(hit)).select(*groups, "n", "t.permille", (F.col("t.rank") - F.col("below")).alias("rest"), "digit", "low", "high")
+    targets = hist.withColumn("t", F.explode(asked)).filter("t.rank > below and t.rank <= below + here").select(*groups, "n", "t.permille", (F.col("t.rank") - F.col("below")).alias("rest"), "digit", "low", "high")
     found = []
     for width in (*widths[1:], 0):
         targets = targets.persist(StorageLevel.MEMORY_AND_DISK)
@@ -123,7 +121,6 @@ def percentiles_of(parts: DataFrame, groups: list[str], permilles: tuple[int, ..
     w = Window.partitionBy(*groups).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
     hist = parts.withColumns({"n": F.sum("here").over(Window.partitionBy(*groups)), "below": F.sum("here").over(w) - F.col("here")})
     asked = F.array(*[F.struct(F.lit(p).alias("permille"), _rank(p, F.col("n")).alias("rank")) for p in permilles])
-    hit = F.filter(asked, lambda t: (t["rank"] > F.col("below")) & (t["rank"] <= F.col("below") + F.col("here")))
     low = F.shiftleft("digit", BITS - bits)
     near = F.when(F.col("digit") < 0, low + F.lit((1 << (BITS - bits)) - 1)).otherwise(low)
-    return hist.withColumn("t", F.explode(hit)).select(*groups, "n", "t.permille", value_of(near).alias("value"))
+    return hist.withColumn("t", F.explode(asked)).filter("t.rank > below and t.rank <= below + here").select(*groups, "n", "t.permille", value_of(near).alias("value"))
