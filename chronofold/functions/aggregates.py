@@ -222,3 +222,35 @@ def find(name: str) -> Aggregate:
 def finished(b: Built, col: Column) -> Column:
     out = b.finish(col) if b.finish else col
     return out if b.empty is None else F.coalesce(out, F.lit(b.empty))
+
+
+def _sorted_values(r: Rows, x: Typed) -> Column:
+    return F.collect_list(_used(r, x.num("argument")))
+
+
+def _percentile(s: Column, share: float) -> Column:
+    """Between the closest ranks of a sorted array, in proportion."""
+    rank = (F.size(s) - 1) * F.lit(share)
+    low = F.floor(rank).cast("int")
+    a, b = F.try_element_at(s, low + 1), F.try_element_at(s, F.least(low + 2, F.size(s)))
+    return a + (b - a) * (rank - low)
+
+
+def _deviation(c: Column) -> Column:
+    """Median of the distances from the median, scaled to agree with a normal deviation."""
+    s = F.sort_array(c)
+    return _percentile(F.sort_array(F.transform(s, lambda v: F.abs(v - _percentile(s, 0.5)))), 0.5) * F.lit(1.4826)
+
+
+def _some(c: Column, value: Column) -> Column:
+    return F.when(F.size(c) > 0, value)
+
+
+AGGREGATES |= {
+    "stdevpct": Aggregate(lambda r, x: Built(F.struct(F.count(_used(r, x.num())).alias("n"), F.stddev_samp(_used(r, x.num())).alias("s"), F.avg(_used(r, x.num())).alias("m")), NUM, finish=lambda c: F.when(c["n"] == 1, F.lit(0.0)).otherwise(c["s"] / F.nullif(c["m"], F.lit(0.0)) * 100)), framed=False),
+    "medianabsdev": Aggregate(lambda r, x: Built(_sorted_values(r, x), NUM, finish=lambda c: _some(c, _deviation(c)))),
+    "medianabsdevpct": Aggregate(lambda r, x: Built(_sorted_values(r, x), NUM, finish=lambda c: _some(c, _deviation(c) / F.nullif(_percentile(F.sort_array(c), 0.5), F.lit(0.0)) * 100))),
+    "quartiles": Aggregate(lambda r, x: Built(_sorted_values(r, x), LIST, type=T.ArrayType(T.DoubleType()), finish=lambda c: _some(c, F.array(*(_percentile(F.sort_array(c), q) for q in (0.25, 0.5, 0.75)))))),
+    "iqr": Aggregate(lambda r, x: Built(_sorted_values(r, x), NUM, finish=lambda c: _some(c, _percentile(F.sort_array(c), 0.75) - _percentile(F.sort_array(c), 0.25)))),
+    "percentile": Aggregate(lambda r, x, p: Built(_sorted_values(r, x), NUM, finish=lambda c: _some(c, _percentile(F.sort_array(c), float(p) / 100))), arity=2),
+}

@@ -1,0 +1 @@
+"""Events from a stream into a store's files."""
