@@ -1,14 +1,16 @@
 """Mixed timestamp texts to one UTC instant.
 
 Every text is expanded into the array of its valid interpretations (format, instant, cost of breaking a declared rule of
-its source). Interpretations that no sequence could make worthwhile are pruned; what stays open is settled by a Viterbi
-pass over each source's record order that penalises format switches and backward jumps in time. The pass works on
-bounded blocks of records: each block is summed up as a min-plus transfer matrix, the matrices of a source are chained,
-and each block is then traced back between its fixed ends, so the result is that of one pass over the whole source.
-
-Defined cases: null, blank and unreadable texts, impossible dates and times give no interpretation and no row in the
-result of ``normalise``; a null ``zone`` is read as UTC; where ``day_first`` is null both orders of a slash date are
-interpretations; repeated records are resolved one by one; ties go to the first interpretation in the array.
+its source), and one of them is chosen by a Viterbi pass over each source's record order that penalises rules broken, backward
+jumps in time and format switches, in this order of weight. The pass works on bounded blocks of records: each block is summed up as
+a min-plus transfer matrix between the readings of its first and its last record, the matrices of a source are chained, and each
+block is then traced back between its fixed ends, so the result is that of one pass over the whole source. Steps between two
+records of one reading each cost the same whatever is chosen and are left out.
+
+Defined cases: null, blank and unreadable texts, impossible dates and times, and texts of which every reading breaks a declared
+rule have no interpretation and no row in the result of ``normalise``; a null ``zone`` is read as UTC; where ``day_first`` is
+null both orders of a slash date are equal to start with; repeated records are resolved one by one; ties go to the first
+interpretation in the array.
 """
 
 from __future__ import annotations
@@ -22,15 +24,13 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Costs: breaking a declared rule of the source outranks all else, then backward jumps, then format switches.
 RULE, BACKWARD, SWITCH = 1000.0, 2.0, 1.0
-#: The most that the neighbours on both sides can make of one record's choice.
-MOST_GAIN = 2 * (BACKWARD + SWITCH)
-BLOCK = 4096
 
 # Month names by their first three letters.
 _MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_abbr) if m}
@@ -90,7 +90,7 @@ def _offset(text: str) -> timedelta | None:
 
 
 def interpretations(text: str | None, zone: str | None, day_first: bool | None) -> list[tuple[str, int, float]]:
-    """All valid readings of a text: (format, microseconds since 1970 UTC, cost of breaking the source's rules)."""
+    """All valid readings of a text: (format, microseconds since 1970 UTC, cost of breaking the source's rules). None if all break a rule."""
     if text is None or not (text := text.strip()):
         return []
     if m := _NUMBER.fullmatch(text):
@@ -108,9 +108,7 @@ def interpretations(text: str | None, zone: str | None, day_first: bool | None)
         year = int(g["y"])
         if form == "slash":
             a, b = int(g["a"]), int(g["b"])
-            orders = [("slash_dmy", a, b, 0.0 if day_first in (True, None) else RULE), ("slash_mdy", b, a, 0.0 if day_first in (False, None) else RULE)]
-            if day_first is not None:  # the source's declared order is obeyed: the other one isn't valid
-                orders = [x for x in orders if x[3] == 0]
+            orders = [("slash_dmy", a, b, RULE if day_first is False else 0.0), ("slash_mdy", b, a, RULE if day_first is True else 0.0)]
         elif "mon" in g:
             if not (month := _MONTHS.get(g["mon"][:3].lower())):
                 continue
@@ -120,7 +118,7 @@ def interpretations(text: str | None, zone: str | None, day_first: bool | None)
         for name, day, month, cost in orders:
             out += _instants(name, year, month, day, g, zone or "UTC", cost)
         break
-    return list(dict.fromkeys(out))
+    return list(dict.fromkeys(out)) if any(x[2] < RULE for x in out) else []
 
 
 def _instants(form: str, year: int, month: int, day: int, g: dict, zone: str, cost: float) -> list[tuple[str, int, float]]:
@@ -154,22 +152,30 @@ def _instants(form: str, year: int, month: int, day: int, g: dict, zone: str, co
     return [(form, _us(wall) - early, cost)]  # once, or skipped: the offset before the skip
 
 
-def _prune(found: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
-    """Exact: an interpretation that costs more than the best plus all its neighbours could give back is never chosen."""
-    least = min((c for *_, c in found), default=0.0)
-    return [x for x in found if x[2] <= least + MOST_GAIN]
-
-
 def step_cost(a: tuple[str, int, float], b: tuple[str, int, float]) -> float:
     return SWITCH * (a[0] != b[0]) + BACKWARD * (b[1] < a[1])
 
 
-def transfer(block: list[list[tuple[str, int, float]]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Least cost from each reading of a block's first record to each of its last, and the back-pointers per record."""
+Block = list[list[tuple[str, int, float]]]
+
+
+def reduced(block: Block) -> list[int]:
+    """Places of a block that the choice depends on: its ends, records of several readings, and their neighbours."""
+    n = len(block)
+    return sorted({0, n - 1} | {j for i, x in enumerate(block) if len(x) > 1 for j in (i - 1, i, i + 1) if 0 <= j < n})
+
+
+def transfer(block: Block) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Least cost from each reading of a block's first record to each of its last, and the back-pointers per place (see ``reduced``)."""
+    at = reduced(block)
     costs = np.full((len(block[0]), len(block[0])), np.inf)
     np.fill_diagonal(costs, [x[2] for x in block[0]])
     back = []
-    for before, now in zip(block, block[1:]):
+    for i, j in zip(at, at[1:]):
+        before, now = block[i], block[j]
+        if len(before) == len(now) == 1:  # the cost of a step without a choice, or of the left out ones between
+            back.append(np.zeros((len(costs), 1), int))
+            continue
         step = np.array([[step_cost(a, b) + b[2] for b in now] for a in before])
         through = costs[:, :, None] + step[None, :, :]
         back.append(through.argmin(axis=1))
@@ -177,12 +183,14 @@ def transfer(block: list[list[tuple[str, int, float]]]) -> tuple[np.ndarray, lis
     return costs, back
 
 
-def trace(back: list[np.ndarray], first: int, last: int) -> list[int]:
+def trace(block: Block, back: list[np.ndarray], first: int, last: int) -> list[int]:
     """The readings chosen in a block whose first and last ones are given."""
-    chosen = [last]
-    for b in reversed(back):
-        chosen.append(int(b[first, chosen[-1]]))
-    return chosen[::-1] if back else [first]
+    at = reduced(block)
+    chosen = [0] * len(block)
+    chosen[at[-1]] = last
+    for k in range(len(back) - 1, -1, -1):
+        chosen[at[k]] = last = int(back[k][first, last])
+    return chosen
 
 
 def chain(blocks: list[tuple[list, list, np.ndarray]]) -> list[tuple[int, int]]:
@@ -205,58 +213,72 @@ def chain(blocks: list[tuple[list, list, np.ndarray]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-_READING = "array<struct<form:string,us:bigint,cost:double>>"
+_READINGS = "forms array<string>, us array<bigint>, costs array<double>"
+_PLACE = "record_table string, record_id bigint, source bigint, block bigint, pos bigint"
 
 
-def _interpret(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        found = [_prune(interpretations(t, z, None if d is None or pd.isna(d) else bool(d))) for t, z, d in zip(pdf["text"], pdf["zone"], pdf["day_first"])]
-        keep = [bool(x) for x in found]
-        out = pdf.loc[keep, ["record_table", "record_id", "source", "block", "pos"]]
-        yield out.assign(readings=[[{"form": a, "us": b, "cost": c} for a, b, c in x] for x in found if x])
+def _columns(found: list[Block]) -> list[pa.Array]:
+    types = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()))
+    return [pa.array([[x[k] for x in own] for own in found], t) for k, t in enumerate(types)]
 
 
-def _block_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Whole blocks of a partition that is sorted by block."""
-    keys, rest = ["record_table", "source", "block"], None
-    for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        rest = None
-        parts = [(k, x) for k, x in pdf.groupby(keys, sort=False, dropna=False)]
-        for k, x in parts[:-1]:
-            yield k, x
-        if parts:
-            rest = parts[-1][1]
-    if rest is not None and len(rest):
-        yield next(iter(rest.groupby(keys, sort=False, dropna=False)))
+def _interpret(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text, zone, first = (batch.column(i).to_pylist() for i in (5, 6, 7))
+        found = [interpretations(*x) for x in zip(text, zone, first)]
+        keep = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+        kept = batch.select(list(range(5))).take(keep)
+        yield pa.RecordBatch.from_arrays([*kept.columns, *_columns([x for x in found if x])], names=[*kept.schema.names, "forms", "us", "costs"])
 
 
-def _readings(x: pd.Series) -> list[list[tuple[str, int, float]]]:
-    return [[(r["form"], r["us"], r["cost"]) for r in found] for found in x]
+def _blocks(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = ()) -> Iterator[tuple[tuple, list[int], Block, tuple]]:
+    """The blocks of a partition that is sorted by block: key, record ids, readings, and the first values of the extra columns."""
+    key, ids, block, more = None, [], [], ()
+    for batch in batches:
+        col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+        for i, now in enumerate(zip(col["record_table"], col["source"], col["block"])):
+            if now != key:
+                if block:
+                    yield key, ids, block, more
+                key, ids, block, more = now, [], [], tuple(col[x][i] for x in extra)
+            ids.append(col["record_id"][i])
+            block.append(list(zip(col["forms"][i], col["us"][i], col["costs"][i])))
+    if block:
+        yield key, ids, block, more
 
 
-def _sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for (name, source, block), pdf in _block_groups(batches):
-        read = _readings(pdf["readings"])
-        matrix, _ = transfer(read)
-        as_rows = lambda xs: [{"form": a, "us": b, "cost": c} for a, b, c in xs]
-        yield pd.DataFrame({"record_table": [name], "source": [source], "block": [block], "firsts": [as_rows(read[0])], "lasts": [as_rows(read[-1])], "matrix": [matrix.ravel().tolist()]})
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+_ENDS = [(f"{end}_{n}", pa.list_(t)) for end in ("first", "last") for n, t in (("forms", pa.string()), ("us", pa.int64()), ("costs", pa.float64()))]
+_SUM = pa.schema([("record_table", pa.string()), ("source", pa.int64()), ("block", pa.int64()), *_ENDS, ("matrix", pa.list_(pa.float64()))])
+_SUM_DDL = "record_table string, source bigint, block bigint, first_forms array<string>, first_us array<bigint>, first_costs array<double>, last_forms array<string>, last_us array<bigint>, last_costs array<double>, matrix array<double>"
+
+
+def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for key, _, block, _ in _blocks(batches):
+        matrix, _ = transfer(block)
+        rows.append((*key, *([x[k] for x in block[end]] for end in (0, -1) for k in range(3)), matrix.ravel().tolist()))
+    yield _table(rows, _SUM)
 
 
 def _chain_source(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("block", ignore_index=True)
-    firsts, lasts = _readings(pdf["firsts"]), _readings(pdf["lasts"])
-    ends = chain([(a, b, np.array(m, float).reshape(len(a), len(b))) for a, b, m in zip(firsts, lasts, pdf["matrix"])])
-    return pdf[["record_table", "source", "block"]].assign(first=[a for a, _ in ends], last=[b for _, b in ends])
+    ends = {e: [list(zip(*x)) for x in zip(*(pdf[f"{e}_{n}"] for n in ("forms", "us", "costs")))] for e in ("first", "last")}
+    done = chain([(a, b, np.array(m, float).reshape(len(a), len(b))) for a, b, m in zip(ends["first"], ends["last"], pdf["matrix"])])
+    return pdf[["record_table", "source", "block"]].assign(first=[a for a, _ in done], last=[b for _, b in done])
 
 
-def _trace_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for _, pdf in _block_groups(batches):
-        read = _readings(pdf["readings"])
-        _, back = transfer(read)
-        chosen = trace(back, int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0]))
-        picked = [x[i] for x, i in zip(read, chosen)]
-        yield pdf[["record_table", "record_id"]].assign(utc_us=[x[1] for x in picked], form=[x[0] for x in picked])
+_CHOSEN = pa.schema([("record_table", pa.string()), ("record_id", pa.int64()), ("utc_us", pa.int64()), ("form", pa.string())])
+
+
+def _trace_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, ids, block, (first, last) in _blocks(batches, ("first", "last")):
+        _, back = transfer(block)
+        picked = [x[i] for x, i in zip(block, trace(block, back, first, last))]
+        yield _table([(key[0], i, x[1], x[0]) for i, x in zip(ids, picked)], _CHOSEN)
 
 
 def normalise(records: DataFrame) -> DataFrame:
@@ -264,32 +286,18 @@ def normalise(records: DataFrame) -> DataFrame:
     records, ascending in the source's order), ``pos`` bigint (order in the block), ``text``, ``zone`` string,
     ``day_first`` boolean. Returns ``record_table, record_id, utc_us, form``, a row for each readable record.
 
-    The readings are computed once and kept (memory and disk, with lineage). Sources in which every record has one
-    reading left need no pass; the others go through the block-wise Viterbi.
+    The readings are computed once, brought together by block and kept (memory and disk, with lineage). A task holds a block; per source only
+    the sums of its blocks come together.
     """
-    read = records.select("record_table", "record_id", "source", "block", "pos", "text", "zone", "day_first").mapInPandas(
-        _interpret, f"record_table string, record_id bigint, source bigint, block bigint, pos bigint, readings {_READING}"
-    )
-    read = read.persist(StorageLevel.MEMORY_AND_DISK)
-    settled = read.filter(F.size("readings") == 1)
-    open_sources = read.filter(F.size("readings") > 1).select("record_table", "source").distinct()
-    first = F.col("readings")[0]
-    done = settled.select("record_table", "record_id", first["us"].alias("utc_us"), first["form"].alias("form"))
-    if open_sources.isEmpty():
-        return done
-    same = lambda a, b: (a["record_table"].eqNullSafe(b["record_table"])) & (a["source"].eqNullSafe(b["source"]))
-    todo = read.join(open_sources, same(read, open_sources), "left_semi")
-    spread = todo.repartition("record_table", "source", "block").sortWithinPartitions("record_table", "source", "block", "pos", "record_id")
-    sums = spread.mapInPandas(_sum_up, f"record_table string, source bigint, block bigint, firsts {_READING}, lasts {_READING}, matrix array<double>")
+    read = records.select("record_table", "record_id", "source", "block", "pos", "text", "zone", "day_first").mapInArrow(_interpret, f"{_PLACE}, {_READINGS}")
+    spread = read.repartition("record_table", "source", "block").sortWithinPartitions("record_table", "source", "block", "pos", "record_id").persist(StorageLevel.MEMORY_AND_DISK)
+    sums = spread.mapInArrow(_sum_up, _SUM_DDL)
     ends = sums.groupBy("record_table", "source").applyInPandas(_chain_source, "record_table string, source bigint, block bigint, first int, last int")
-    e = ends.alias("e")
     with_ends = (
-        todo.alias("t")
-        .join(e, F.expr("t.record_table <=> e.record_table and t.source <=> e.source and t.block = e.block"))
+        spread.alias("t")
+        .join(ends.alias("e"), F.expr("t.record_table <=> e.record_table and t.source <=> e.source and t.block <=> e.block"))
         .select("t.*", "e.first", "e.last")
         .repartition("record_table", "source", "block")
         .sortWithinPartitions("record_table", "source", "block", "pos", "record_id")
     )
-    solved = with_ends.mapInPandas(_trace_blocks, "record_table string, record_id bigint, utc_us bigint, form string")
-    rest = settled.join(open_sources, same(settled, open_sources), "left_anti")
-    return rest.select("record_table", "record_id", first["us"].alias("utc_us"), first["form"].alias("form")).unionByName(solved)
+    return with_ends.mapInArrow(_trace_blocks, "record_table string, record_id bigint, utc_us bigint, form string")

@@ -29,15 +29,15 @@ def _time_texts(spark: SparkSession, d: str) -> DataFrame:
         F.lit("raw_event").alias("record_table"),
         F.col("raw_id").alias("record_id"),
         "feed_id",
-        (F.col("file_id") * F.lit(1 << 20) + F.floor(F.col("line_no") / timestamps.BLOCK)).alias("block"),
-        F.col("line_no").cast("bigint").alias("pos"),
+        F.shiftright("file_id", 9).alias("block"),  # of at most 512 files of a feed
+        (F.col("file_id") * F.lit(1 << 32) + F.col("line_no")).alias("pos"),
         F.col("event_time").alias("text"),
     )
     asked = table(spark, d, "raw_observation").select(
         F.lit("raw_observation").alias("record_table"),
         F.col("req_id").alias("record_id"),
         "feed_id",
-        F.floor(F.col("req_id") / timestamps.BLOCK).alias("block"),
+        F.shiftright("req_id", 12).alias("block"),
         F.col("req_id").alias("pos"),
         F.col("observation_time_datetime").alias("text"),
     )
