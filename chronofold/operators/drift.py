@@ -85,9 +85,9 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fingerprints(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """``feed_id, file_id, seq`` (the file's place among the feed's files with lines, from 1) and ``fields``, a map from path
-    to type; empty where no line gives an attribute. ``lines``: feed_id, file_id, attrs; ``files``: feed_id, file_id,
-    period_start."""
+    """``feed_id, file_id, seq`` (the file's place among the feed's files with lines, from 1), ``fields``, a map from path to type, empty
+    where no line gives an attribute, ``fingerprint``, a hash of the fields, and ``version``, from 1, one more with each change of the
+    fingerprint. ``lines``: feed_id, file_id, attrs; ``files``: feed_id, file_id, period_start."""
     counted = lines.select("feed_id", "file_id", "attrs").mapInPandas(_profile, "feed_id bigint, file_id bigint, attr_path string, attr_type string, n bigint")
     order = F.create_map(*[x for i, t in enumerate(TYPES) for x in (F.lit(t), F.lit(i))])
     by_type = counted.groupBy("feed_id", "file_id", "attr_path", "attr_type").agg(F.sum("n").alias("n"))
@@ -97,7 +97,11 @@ def fingerprints(lines: DataFrame, files: DataFrame) -> DataFrame:
     ordered = files.select("feed_id", "file_id", "period_start").join(used, ["feed_id", "file_id"])
     seq = F.row_number().over(Window.partitionBy("feed_id").orderBy("period_start", "file_id"))
     none = F.create_map().cast("map<string,string>")
-    return ordered.withColumn("seq", seq).join(fields, ["feed_id", "file_id"], "left").select("feed_id", "file_id", "seq", F.coalesce("fields", none).alias("fields"))
+    found = ordered.withColumn("seq", seq).join(fields, ["feed_id", "file_id"], "left").select("feed_id", "file_id", "seq", F.coalesce("fields", none).alias("fields"))
+    marked = found.withColumn("fingerprint", F.sha2(F.to_json("fields"), 256))
+    w = Window.partitionBy("feed_id").orderBy("seq")
+    changed = F.when(F.col("fingerprint").eqNullSafe(F.lag("fingerprint").over(w)), 0).otherwise(1)
+    return marked.withColumn("_new", changed).withColumn("version", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
 
 def _steps(prints: DataFrame) -> DataFrame:
@@ -195,8 +199,9 @@ def _rules_of_feed(pdf: pd.DataFrame) -> pd.DataFrame:
     prints = pdf[pdf["what"] == "file"]
     steps = pdf[pdf["what"] == "step"]
     locked = {r.attr_path: STORE_TYPES.get(r.old_type, "string") for r in pdf[pdf["what"] == "lock"].itertuples()}
-    rows = [(int(pdf["feed_id"].iloc[0]), int(file), [{"path": p, "name": a, "kind": b} for p, (a, b) in rules.items()]) for file, rules in chain_rules(prints, steps, locked)]
-    return pd.DataFrame(rows, columns=["feed_id", "file_id", "rules"])
+    versions = dict(zip(prints["file_id"], prints["version"]))
+    rows = [(int(pdf["feed_id"].iloc[0]), int(file), int(versions[file]), [{"path": p, "name": a, "kind": b} for p, (a, b) in rules.items()]) for file, rules in chain_rules(prints, steps, locked)]
+    return pd.DataFrame(rows, columns=["feed_id", "file_id", "schema_version", "rules"])
 
 
 def cast(value: object, to: str) -> object:
@@ -229,43 +234,51 @@ def cast(value: object, to: str) -> object:
     return {"true": True, "false": False}.get(value.strip().lower()) if is_ == "string" else None
 
 
-def _route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    slot = {"number": "nums", "string": "strs", "boolean": "bools", "array": "vecs"}
-    for pdf in batches:
-        cells: dict[str, list] = {k: [] for k in (*slot.values(), "uncast")}
-        for text, rules in zip(pdf["attrs"], pdf["rules"]):
-            row: dict[str, dict] = {k: {} for k in slot.values()}
-            bad = []
-            by_path = {r["path"]: (r["name"], r["kind"]) for r in rules} if rules is not None else {}
-            for path, value in flatten(parse(text)).items():
-                name, to = by_path.get(path, (path, kind(value)))
-                done = cast(value, to)
-                if done is None:
-                    bad.append(path)
-                else:
-                    row[slot[to]][name] = done
-            for k, v in row.items():
-                cells[k].append(v)
-            cells["uncast"].append(sorted(bad))
-        yield pdf.drop(columns=["attrs", "rules"]).assign(**cells)
-
-
-def consistent(lines: DataFrame, files: DataFrame, locked: DataFrame) -> DataFrame:
-    """Every line as one row of the consistent table: ``raw_id, feed_id, file_id, line_no, event_id`` and the canonical attributes
-    in ``nums``, ``strs``, ``bools`` and ``vecs`` by type, an attribute always in the same one within its feed; ``uncast`` lists the
-    paths of stray values. ``locked``: feed_id, attr_name, attr_type."""
+_SLOT = {"number": "nums", "string": "strs", "boolean": "bools", "array": "vecs"}
+
+
+def _router(defaults: dict[str, object]):
+    by_slot = {slot: {n: cast(v, k) for n, v in defaults.items() if kind(v) == k} for k, slot in _SLOT.items()}
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cells: dict[str, list] = {k: [] for k in (*_SLOT.values(), "uncast")}
+            for text, rules in zip(pdf["attrs"], pdf["rules"]):
+                row: dict[str, dict] = {k: dict(by_slot[k]) for k in by_slot}
+                bad = []
+                by_path = {r["path"]: (r["name"], r["kind"]) for r in rules} if rules is not None else {}
+                for path, value in flatten(parse(text)).items():
+                    name, to = by_path.get(path, (path, kind(value)))
+                    done = cast(value, to)
+                    if done is None:
+                        bad.append(path)
+                    else:
+                        row[_SLOT[to]][name] = done
+                for k, v in row.items():
+                    cells[k].append(v)
+                cells["uncast"].append(sorted(bad))
+            yield pdf.drop(columns=["attrs", "rules"]).assign(**cells)
+
+    return route
+
+
+def consistent(lines: DataFrame, files: DataFrame, locked: DataFrame, defaults: dict[str, object] | None = None) -> DataFrame:
+    """Every line as one row of the consistent table: ``raw_id, feed_id, file_id, line_no, event_id, schema_version`` and the canonical
+    attributes in ``nums``, ``strs``, ``bools`` and ``vecs`` by type, an attribute always in the same one within its feed; ``uncast`` lists
+    the paths of stray values. ``locked``: feed_id, attr_name, attr_type. ``defaults``: values of canonical attributes that a line lacks; without
+    one a missing attribute is missing."""
     prints = fingerprints(lines, files)
     log = changes(lines, files)
     none = F.lit(None).cast("string")
     no_map = F.lit(None).cast("map<string,string>")
     book = (
-        prints.select("feed_id", "file_id", "seq", F.lit("file").alias("what"), none.alias("change_kind"), none.alias("attr_path"), none.alias("old_path"), none.alias("old_type"), "fields")
-        .unionByName(log.select("feed_id", "file_id", "seq", F.lit("step").alias("what"), "change_kind", "attr_path", "old_path", "old_type", no_map.alias("fields")))
-        .unionByName(locked.select("feed_id", F.lit(None).cast("bigint").alias("file_id"), F.lit(0).alias("seq"), F.lit("lock").alias("what"), none.alias("change_kind"), F.col("attr_name").alias("attr_path"), none.alias("old_path"), F.col("attr_type").alias("old_type"), no_map.alias("fields")))
+        prints.select("feed_id", "file_id", "seq", F.lit("file").alias("what"), none.alias("change_kind"), none.alias("attr_path"), none.alias("old_path"), none.alias("old_type"), "fields", "version")
+        .unionByName(log.select("feed_id", "file_id", "seq", F.lit("step").alias("what"), "change_kind", "attr_path", "old_path", "old_type", no_map.alias("fields"), F.lit(0).alias("version")))
+        .unionByName(locked.select("feed_id", F.lit(None).cast("bigint").alias("file_id"), F.lit(0).alias("seq"), F.lit("lock").alias("what"), none.alias("change_kind"), F.col("attr_name").alias("attr_path"), none.alias("old_path"), F.col("attr_type").alias("old_type"), no_map.alias("fields"), F.lit(0).alias("version")))
     )
-    rules = book.groupBy("feed_id").applyInPandas(_rules_of_feed, "feed_id bigint, file_id bigint, rules array<struct<path:string,name:string,kind:string>>")
+    rules = book.groupBy("feed_id").applyInPandas(_rules_of_feed, "feed_id bigint, file_id bigint, schema_version int, rules array<struct<path:string,name:string,kind:string>>")
     keep = lines.select("raw_id", "feed_id", "file_id", "line_no", "event_id", "attrs")
     return keep.join(rules, ["feed_id", "file_id"], "left").mapInPandas(
-        _route,
-        "feed_id bigint, file_id bigint, raw_id bigint, line_no int, event_id string, nums map<string,double>, strs map<string,string>, bools map<string,boolean>, vecs map<string,array<string>>, uncast array<string>",
+        _router(defaults or {}),
+        "feed_id bigint, file_id bigint, raw_id bigint, line_no int, event_id string, schema_version int, nums map<string,double>, strs map<string,string>, bools map<string,boolean>, vecs map<string,array<string>>, uncast array<string>",
     )

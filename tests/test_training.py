@@ -87,6 +87,9 @@ def test_consistent_table(spark):
     assert rows[2].nums == {"a": 1.0} and rows[2].strs == {"b.c": "7", "n": "new"}  # renamed and cast
     assert rows[3].nums == {} and rows[3].uncast == ["aa"]
     assert rows[4].nums == {} and rows[5].strs == {} and rows[5].uncast == []
+    assert [rows[i].schema_version for i in (1, 2, 3)] == [1, 2, 2]
+    filled = drift.consistent(spark.createDataFrame(lines, LINES), spark.createDataFrame(files, FILES), spark.createDataFrame(locked, LOCK), {"a": 0, "z": True}).filter("raw_id in (1, 3)").orderBy("raw_id").collect()
+    assert [r.nums for r in filled] == [{"a": 1.0}, {"a": 0.0}] and filled[0].bools == {"z": True}
 
 
 def test_drift_of_empty_tables(spark):
