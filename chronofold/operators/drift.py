@@ -4,7 +4,7 @@ Each file's schema is fingerprinted (dotted path -> commonest type). Fingerprint
 migration steps: added, removed, retyped and renamed attributes. Steps are chained into rules that hold for a range of
 versions, (path -> canonical attribute, canonical type), and every line is routed through the rules of its file.
 
-Defined cases: a line whose ``attrs`` are null, broken or no object gives no attributes but keeps its row; null values and
+Defined cases: a line whose ``attrs`` are null, broken or no object gives no attributes but keeps its row, as does one without feed or file, which is in no comparison; null values and
 empty objects give no attribute; files without lines are left out; equally common types go by the order number, string,
 boolean, array; a key that is repeated in an object holds its last value; a value that can't be cast to the canonical
 type becomes null and its path is listed in ``uncast``; an empty table gives an empty result.
@@ -17,6 +17,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,29 +67,32 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False)
 
 
-def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts by file, path and type, one set per task and bounded batch."""
-    columns = ["feed_id", "file_id", "attr_path", "attr_type", "n"]
+_COUNTS = pa.schema([("feed_id", pa.int64()), ("file_id", pa.int64()), ("attr_path", pa.string()), ("attr_type", pa.string()), ("n", pa.int64())])
 
-    def out(n: Counter) -> pd.DataFrame:
-        return pd.DataFrame([(*k, v) for k, v in n.items()], columns=columns)
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts by file, path and type, in sets of bounded size."""
     counts: Counter = Counter()
-    for pdf in batches:
-        for feed, file, text in zip(pdf["feed_id"], pdf["file_id"], pdf["attrs"]):
+    for batch in batches:
+        for feed, file, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             for path, value in flatten(parse(text)).items():
                 counts[feed, file, path, kind(value)] += 1
         if len(counts) > 200_000:
-            yield out(counts)
+            yield _batch([(*k, v) for k, v in counts.items()], _COUNTS)
             counts = Counter()
-    yield out(counts)
+    yield _batch([(*k, v) for k, v in counts.items()], _COUNTS)
 
 
 def fingerprints(lines: DataFrame, files: DataFrame) -> DataFrame:
     """``feed_id, file_id, seq`` (the file's place among the feed's files with lines, from 1), ``fields``, a map from path to type, empty
     where no line gives an attribute, ``fingerprint``, a hash of the fields, and ``version``, from 1, one more with each change of the
     fingerprint. ``lines``: feed_id, file_id, attrs; ``files``: feed_id, file_id, period_start."""
-    counted = lines.select("feed_id", "file_id", "attrs").mapInPandas(_profile, "feed_id bigint, file_id bigint, attr_path string, attr_type string, n bigint")
+    lines = lines.select("feed_id", "file_id", "attrs").dropna(subset=["feed_id", "file_id"])
+    counted = lines.mapInArrow(_profile, "feed_id bigint, file_id bigint, attr_path string, attr_type string, n bigint")
     order = F.create_map(*[x for i, t in enumerate(TYPES) for x in (F.lit(t), F.lit(i))])
     by_type = counted.groupBy("feed_id", "file_id", "attr_path", "attr_type").agg(F.sum("n").alias("n"))
     by_path = by_type.groupBy("feed_id", "file_id", "attr_path").agg(F.max_by("attr_type", F.struct(F.col("n"), -order[F.col("attr_type")])).alias("attr_type"))
@@ -111,16 +115,17 @@ def _steps(prints: DataFrame) -> DataFrame:
     return pair.withColumns({"gone": F.array_except(F.map_keys("old"), F.map_keys("fields")), "new": F.array_except(F.map_keys("fields"), F.map_keys("old"))})
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["feed_id", "file_id", "event_id", "is_new", "attr_path", "value"]
-    for pdf in batches:
+_VALUES = pa.schema([("feed_id", pa.int64()), ("file_id", pa.int64()), ("event_id", pa.string()), ("is_new", pa.bool_()), ("attr_path", pa.string()), ("value", pa.string())])
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         rows = []
-        for feed, event, text, gone_for, gone, new_for, new in zip(pdf["feed_id"], pdf["event_id"], pdf["attrs"], pdf["gone_for"], pdf["gone"], pdf["new_for"], pdf["new"]):
+        for feed, event, text, gone_for, gone, new_for, new in zip(*(batch.column(i).to_pylist() for i in range(7))):
             flat = flatten(parse(text))
             for file, paths, is_new in ((gone_for, gone, False), (new_for, new, True)):
-                if paths is not None:
-                    rows += [(feed, int(file), event, is_new, p, canonical(flat[p])) for p in paths if p in flat]
-        yield pd.DataFrame(rows, columns=columns)
+                rows += [(feed, file, event, is_new, p, canonical(flat[p])) for p in paths or () if p in flat]
+        yield _batch(rows, _VALUES)
 
 
 def renames(lines: DataFrame, steps: DataFrame) -> DataFrame:
@@ -136,7 +141,7 @@ def renames(lines: DataFrame, steps: DataFrame) -> DataFrame:
         .select("feed_id", "file_id", "event_id", "attrs")
         .join(wanted, ["feed_id", "file_id"])
         .select("feed_id", "event_id", "attrs", "gone_for", "gone", "new_for", "new")
-        .mapInPandas(_extract, "feed_id bigint, file_id bigint, event_id string, is_new boolean, attr_path string, value string")
+        .mapInArrow(_extract, "feed_id bigint, file_id bigint, event_id string, is_new boolean, attr_path string, value string")
     )
     one = values.groupBy("feed_id", "file_id", "event_id", "is_new", "attr_path").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     sides = one.groupBy("feed_id", "file_id", "event_id").agg(
@@ -234,19 +239,20 @@ def cast(value: object, to: str) -> object:
     return {"true": True, "false": False}.get(value.strip().lower()) if is_ == "string" else None
 
 
+_CELLS = {k: pa.map_(pa.string(), t) for k, t in (("nums", pa.float64()), ("strs", pa.string()), ("bools", pa.bool_()), ("vecs", pa.list_(pa.string())))} | {"uncast": pa.list_(pa.string())}
 _SLOT = {"number": "nums", "string": "strs", "boolean": "bools", "array": "vecs"}
 
 
 def _router(defaults: dict[str, object]):
     by_slot = {slot: {n: cast(v, k) for n, v in defaults.items() if kind(v) == k} for k, slot in _SLOT.items()}
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             cells: dict[str, list] = {k: [] for k in (*_SLOT.values(), "uncast")}
-            for text, rules in zip(pdf["attrs"], pdf["rules"]):
+            for text, rules in zip(batch.column("attrs").to_pylist(), batch.column("rules").to_pylist()):
                 row: dict[str, dict] = {k: dict(by_slot[k]) for k in by_slot}
                 bad = []
-                by_path = {r["path"]: (r["name"], r["kind"]) for r in rules} if rules is not None else {}
+                by_path = {r["path"]: (r["name"], r["kind"]) for r in rules} if rules else {}
                 for path, value in flatten(parse(text)).items():
                     name, to = by_path.get(path, (path, kind(value)))
                     done = cast(value, to)
@@ -255,9 +261,10 @@ def _router(defaults: dict[str, object]):
                     else:
                         row[_SLOT[to]][name] = done
                 for k, v in row.items():
-                    cells[k].append(v)
+                    cells[k].append(list(v.items()))
                 cells["uncast"].append(sorted(bad))
-            yield pdf.drop(columns=["attrs", "rules"]).assign(**cells)
+            kept = batch.drop_columns(["attrs", "rules"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v, _CELLS[k]) for k, v in cells.items())], names=[*kept.schema.names, *cells])
 
     return route
 
@@ -274,11 +281,12 @@ def consistent(lines: DataFrame, files: DataFrame, locked: DataFrame, defaults:
     book = (
         prints.select("feed_id", "file_id", "seq", F.lit("file").alias("what"), none.alias("change_kind"), none.alias("attr_path"), none.alias("old_path"), none.alias("old_type"), "fields", "version")
         .unionByName(log.select("feed_id", "file_id", "seq", F.lit("step").alias("what"), "change_kind", "attr_path", "old_path", "old_type", no_map.alias("fields"), F.lit(0).alias("version")))
-        .unionByName(locked.select("feed_id", F.lit(None).cast("bigint").alias("file_id"), F.lit(0).alias("seq"), F.lit("lock").alias("what"), none.alias("change_kind"), F.col("attr_name").alias("attr_path"), none.alias("old_path"), F.col("attr_type").alias("old_type"), no_map.alias("fields"), F.lit(0).alias("version")))
+        .unionByName(locked.select("feed_id", F.lit(0).cast("bigint").alias("file_id"), F.lit(0).alias("seq"), F.lit("lock").alias("what"), none.alias("change_kind"), F.col("attr_name").alias("attr_path"), none.alias("old_path"), F.col("attr_type").alias("old_type"), no_map.alias("fields"), F.lit(0).alias("version")))
     )
-    rules = book.groupBy("feed_id").applyInPandas(_rules_of_feed, "feed_id bigint, file_id bigint, schema_version int, rules array<struct<path:string,name:string,kind:string>>")
+    rules = book.filter("feed_id is not null").groupBy("feed_id").applyInPandas(_rules_of_feed, "feed_id bigint, file_id bigint, schema_version int, rules array<struct<path:string,name:string,kind:string>>")
     keep = lines.select("raw_id", "feed_id", "file_id", "line_no", "event_id", "attrs")
-    return keep.join(rules, ["feed_id", "file_id"], "left").mapInPandas(
+    routed = keep.join(rules, ["feed_id", "file_id"], "left").select("feed_id", "file_id", "raw_id", "line_no", "event_id", "schema_version", "attrs", "rules")
+    return routed.mapInArrow(
         _router(defaults or {}),
         "feed_id bigint, file_id bigint, raw_id bigint, line_no int, event_id string, schema_version int, nums map<string,double>, strs map<string,string>, bools map<string,boolean>, vecs map<string,array<string>>, uncast array<string>",
     )

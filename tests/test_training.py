@@ -78,11 +78,13 @@ def test_consistent_table(spark):
         (3, 1, 2, 2, "y", '{"aa": "n/a", "b": {"c": 8}}', "clash"),
         (4, 1, 2, 3, None, None, "clash"),
         (5, 1, 2, 4, None, "broken{", None),
+        (2**60 + 1, None, 2, 4, None, '{"q": 1}', None),
+        (2**60 + 3, 1, None, None, None, '{"q": "x"}', None),
     ]
     files = [(1, 1, datetime(2024, 1, 1), "f"), (2, 1, datetime(2024, 1, 2), "f")]
     locked = [(1, "t", "a", "Num"), (1, "t", "b.c", "Str")]
     rows = {r.raw_id: r for r in drift.consistent(spark.createDataFrame(lines, LINES), spark.createDataFrame(files, FILES), spark.createDataFrame(locked, LOCK)).collect()}
-    assert len(rows) == 5
+    assert len(rows) == 7 and rows[2**60 + 1].nums == {"q": 1.0} and rows[2**60 + 3].strs == {"q": "x"}
     assert rows[1].nums == {"a": 1.0} and rows[1].strs == {"b.c": "u"}
     assert rows[2].nums == {"a": 1.0} and rows[2].strs == {"b.c": "7", "n": "new"}  # renamed and cast
     assert rows[3].nums == {} and rows[3].uncast == ["aa"]
