@@ -23,7 +23,6 @@ from functools import lru_cache
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -264,11 +263,28 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _table(rows, _SUM)
 
 
-def _chain_source(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("block", ignore_index=True)
-    ends = {e: [list(zip(*x)) for x in zip(*(pdf[f"{e}_{n}"] for n in ("forms", "us", "costs")))] for e in ("first", "last")}
-    done = chain([(a, b, np.array(m, float).reshape(len(a), len(b))) for a, b, m in zip(ends["first"], ends["last"], pdf["matrix"])])
-    return pdf[["record_table", "source", "block"]].assign(first=[a for a, _ in done], last=[b for _, b in done])
+_FIXED = pa.schema([("record_table", pa.string()), ("source", pa.int64()), ("block", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+
+
+def _chain_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fixes the ends of the blocks, source by source, of a partition that is sorted by source and block."""
+    key, blocks, sums = None, [], []
+
+    def done() -> pa.RecordBatch:
+        return _table([(*key, block, *ends) for block, ends in zip(blocks, chain(sums))], _FIXED)
+
+    for batch in batches:
+        col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+        for i, now in enumerate(zip(col["record_table"], col["source"])):
+            if now != key:
+                if blocks:
+                    yield done()
+                key, blocks, sums = now, [], []
+            firsts, lasts = (list(zip(*(col[f"{end}_{n}"][i] for n in ("forms", "us", "costs")))) for end in ("first", "last"))
+            blocks.append(col["block"][i])
+            sums.append((firsts, lasts, np.array(col["matrix"][i]).reshape(len(firsts), len(lasts))))
+    if blocks:
+        yield done()
 
 
 _CHOSEN = pa.schema([("record_table", pa.string()), ("record_id", pa.int64()), ("utc_us", pa.int64()), ("form", pa.string())])
@@ -292,7 +308,8 @@ def normalise(records: DataFrame) -> DataFrame:
     read = records.select("record_table", "record_id", "source", "block", "pos", "text", "zone", "day_first").mapInArrow(_interpret, f"{_PLACE}, {_READINGS}")
     spread = read.repartition("record_table", "source", "block").sortWithinPartitions("record_table", "source", "block", "pos", "record_id").persist(StorageLevel.MEMORY_AND_DISK)
     sums = spread.mapInArrow(_sum_up, _SUM_DDL)
-    ends = sums.groupBy("record_table", "source").applyInPandas(_chain_source, "record_table string, source bigint, block bigint, first int, last int")
+    by_source = sums.repartition("record_table", "source").sortWithinPartitions("record_table", "source", "block")
+    ends = by_source.mapInArrow(_chain_sources, "record_table string, source bigint, block bigint, first int, last int")
     with_ends = (
         spread.alias("t")
         .join(ends.alias("e"), F.expr("t.record_table <=> e.record_table and t.source <=> e.source and t.block <=> e.block"))
