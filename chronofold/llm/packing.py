@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,15 +124,16 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Data
     own = F.row_number().over(Window.partitionBy("size", "salt").orderBy("id", "piece_no"))
     ranked = items.withColumn("own", own).join(starts, ["size", "salt"]).select("id", "piece_no", "first_token", "size", (F.col("own") + F.col("start") - 1).alias("rank"))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            size, rank = pdf["size"].to_numpy(), pdf["rank"].to_numpy()
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, rank = (batch.column(c).to_numpy() for c in ("size", "rank"))
             to = rank % max(containers, 1)
             for s in np.unique(size[size > 0]):
                 first_rank, first, times = slots[int(s)]
                 mine = size == s
                 run = np.searchsorted(first_rank, rank[mine], side="right") - 1
                 to[mine] = first[run] + (rank[mine] - first_rank[run]) % times[run]
-            yield pd.DataFrame({"doc_id": pdf["id"], "piece_no": pdf["piece_no"], "first_token": pdf["first_token"], "n_tokens": size, "container_id": to})
+            columns = [*(batch.column(c) for c in ("id", "piece_no", "first_token", "size")), pa.array(to, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece_no", "first_token", "n_tokens", "container_id"])
 
-    return ranked.mapInPandas(assign, "doc_id bigint, piece_no int, first_token bigint, n_tokens int, container_id bigint")
+    return ranked.mapInArrow(assign, "doc_id bigint, piece_no int, first_token bigint, n_tokens int, container_id bigint")
