@@ -254,3 +254,89 @@ AGGREGATES |= {
     "iqr": Aggregate(lambda r, x: Built(_sorted_values(r, x), NUM, finish=lambda c: _some(c, _percentile(F.sort_array(c), 0.75) - _percentile(F.sort_array(c), 0.25)))),
     "percentile": Aggregate(lambda r, x, p: Built(_sorted_values(r, x), NUM, finish=lambda c: _some(c, _percentile(F.sort_array(c), float(p) / 100))), arity=2),
 }
+
+
+@dataclass(frozen=True)
+class Parts:
+    """An aggregate as parts that add up: each a value per row and how values are combined; ``total`` makes the result of the combined parts."""
+
+    values: tuple[tuple[Column, str], ...]
+    total: Callable[..., Column]
+    kind: str
+    empty: object = None
+    type: T.DataType | None = None
+
+
+COMBINE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "product": F.product, "min": F.min, "max": F.max, "or": F.bool_or, "and": F.bool_and}
+
+
+def _one(op: str, kind: str, value: Callable[[Rows, Typed], Column], empty: object = None) -> Callable[[Rows, Typed], Parts]:
+    return lambda r, x: Parts(((value(r, x), op),), lambda a: a, kind, empty)
+
+
+def _number(r: Rows, x: Typed) -> Column:
+    return _used(r, x.num("argument"))
+
+
+def _mean_parts(square: bool) -> Callable[[Rows, Typed], Parts]:
+    def build(r: Rows, x: Typed) -> Parts:
+        v = x.num("argument")
+        v = _used(r, v * v if square else v)
+        return Parts(((v, "sum"), (F.when(v.isNotNull(), F.lit(1)), "sum")), lambda s, n: F.sqrt(s / n) if square else s / n, NUM)
+
+    return build
+
+
+def _edge_parts(op: str) -> Callable[[Rows, Typed], Parts | None]:
+    """The value at the first or last place."""
+
+    def build(r: Rows, x: Typed) -> Parts | None:
+        if x.kind in ("map", "struct", "list"):
+            return None  # has no order
+        placed = F.when(r.use & x.col.isNotNull(), F.struct(r.us.alias("us"), r.tie.alias("tie"), x.col.alias("x")))
+        return Parts(((placed, op),), lambda s: s["x"], x.kind, type=x.type)
+
+    return build
+
+
+def _extreme_parts(op: str) -> Callable[[Rows, Typed], Parts]:
+    def build(r: Rows, x: Typed) -> Parts:
+        if x.kind == BOOL:
+            return Parts(((_number(r, x), op),), lambda a: a, NUM)
+        return Parts(((_used(r, x.need("argument", *NUMBERS, STR, DATE, TIME)), op),), lambda a: a, x.kind)
+
+    return build
+
+
+def _arg_parts(low: bool) -> Callable[[Rows, Typed], Parts]:
+    def build(r: Rows, x: Typed) -> Parts:
+        v = x.num("argument") if x.kind == BOOL else x.need("argument", *NUMBERS, STR, DATE, TIME)
+        placed = F.when(r.use & v.isNotNull(), F.struct(v.alias("v"), (r.us if low else -r.us).alias("us"), r.time.alias("t")))
+        return Parts(((placed, "min" if low else "max"),), lambda s: s["t"], TIME)
+
+    return build
+
+
+def _time_parts(op: str) -> Callable[[Rows, Typed], Parts]:
+    return _one(op, TIME, lambda r, x: F.when(_bool(r, x), r.time))
+
+
+PARTS: dict[str, Callable[[Rows, Typed], Parts | None]] = {
+    "count": lambda r, x: Parts(((F.when(r.use & (F.lit(True) if x is None else x.col.isNotNull()), F.lit(1)), "sum"),), lambda a: a.cast("bigint"), INT, 0),
+    "sum": _one("sum", NUM, _number),
+    "product": _one("product", NUM, _number),
+    "min": _extreme_parts("min"),
+    "max": _extreme_parts("max"),
+    "avg": _mean_parts(False),
+    "rootmeansquare": _mean_parts(True),
+    "absenergy": _one("sum", NUM, lambda r, x: _used(r, x.num("argument") * x.num("argument"))),
+    "first": _edge_parts("min"),
+    "last": _edge_parts("max"),
+    "timeoflast": _time_parts("max"),
+    "timeoffirst": _time_parts("min"),
+    "timeofnext": _time_parts("min"),
+    "argmax": _arg_parts(False),
+    "argmin": _arg_parts(True),
+    "any": _one("or", BOOL, _bool, False),
+    "all": _one("and", BOOL, _bool, True),
+}

@@ -2,11 +2,13 @@
 
 Aggregates are computed in rounds, each round's as soon as the variables they read are known, by one of two plans:
 
-* frame: events and observations of an entity are put in one sequence and aggregated over a range frame; for intervals of fixed length
-  around the observation, sequences are cut into chunks of time with the events that reach over a border repeated, so that a hot entity
-  spreads. One shuffle for all aggregates of a round, nothing is joined.
+* frame: events and observations of an entity are put in one sequence and aggregated over a range frame. Sequences are cut into chunks of
+  time, so that a hot entity spreads: for intervals of fixed length, events that reach over a border are repeated; for the whole past or
+  future, each chunk carries in what the chunks on that side add up to, if the aggregate has parts that add up. (Medians, ordered lists and
+  runs over the whole past don't, and take an entity's events in one sequence.) Nothing is joined.
 * join: observations are joined to their events by entity within the hull of the round's intervals, and aggregated per observation. For
   calendar and bounded intervals, conditions on the observation, grouping, extremes, several entities, global events and all-event scope.
+  Entities with very many events are split over salts.
 
 Where no entity links the two sides, they are joined by time buckets.
 """
@@ -36,6 +38,11 @@ _EVENT = ["event_id", "event_type", "event_time", "entities", "attrs"]
 _KEY = ["o_key", "o_us"]
 #: Chunks of frame plans are at least this long.
 LEAST_CHUNK_US = 86_400_000_000
+#: Length of the chunks that carry in sums of the whole past or future.
+CARRY_CHUNK_US = 7 * 86_400_000_000
+#: An entity with more events is split in joins into parts of about so many; at most so many entities are, the largest first. Tables below the
+#: size can't have such an entity.
+HOT_ROWS, MOST_HOT, HOT_BYTES = 2_000_000, 10_000, 64_000_000
 #: Time buckets that the span of the events is cut into for joins without a key.
 BUCKETS = 512
 
@@ -183,9 +190,11 @@ class Engine:
         framed = [a for a in todo if self._framed(state, a.node)]
         joined = [a for a in todo if a not in framed]
         bounded = [a for a in framed if isinstance(a.node.interval, N.Span)]
-        for group in (bounded, [a for a in framed if a not in bounded]):
+        whole = [a for a in framed if a not in bounded]
+        carried = [a for a in whole if a.node.name in aggregates.PARTS and self._parts(state, a.node, self._rows(F.lit(True))) is not None]
+        for plan, group in ((self._frames, bounded), (self._carried, carried), (self._frames, [a for a in whole if a not in carried])):
             if group:
-                self._frames(state, group)
+                plan(state, group)
         by_link: dict[tuple, list[_Agg]] = {}
         for a in joined:
             by_link.setdefault(self._link(a.node), []).append(a)
@@ -244,7 +253,66 @@ class Engine:
             return found.build(rows, None)
         return found.build(rows, state.binder.bind(node.args[0], True))
 
-    # frame plan
+    def _parts(self, state: _State, node: N.Agg, rows: Rows) -> aggregates.Parts | None:
+        star = node.name == "count" and isinstance(node.args[0], N.Star)
+        return aggregates.PARTS[node.name](rows, None if star else state.binder.bind(node.args[0], True))
+
+    # frame plans
+
+    def _carried(self, state: _State, aggs: list[_Agg]) -> None:
+        """Aggregates over the whole past or future, in chunks that carry in what the chunks before and after them add up to."""
+        events = self._events(a.node for a in aggs)
+        each = events.select("e", "e_us", F.explode(F.col("e").getField("entities")).alias("t", "i")).filter("i is not null")
+        if state.single:
+            each = each.filter(F.col("t").isin(*state.single))
+        columns: dict[str, tuple[str, Column, str]] = {}
+        found: list[tuple[_Agg, aggregates.Parts, list[str]]] = []
+        for a in aggs:
+            p = self._parts(state, a.node, self._rows(self._use(state, a.node)))
+            names = []
+            for k, (value, op) in enumerate(p.values):
+                text = f"{a.node.name} {k} {a.node.args!r} {a.node.source!r} {a.node.where!r}"
+                name = next((n for n, (t, _, _) in columns.items() if t == text), None)
+                if name is None:
+                    name = f"p{len(columns)}"
+                    columns[name] = (text, value, op)
+                names.append(name)
+            found.append((a, p, names))
+        at = F.floor(F.col("us") / F.lit(CARRY_CHUNK_US))
+        o_type = state.rows.select(F.struct(*state.rows.columns).alias("o")).schema["o"].dataType
+        no_o = F.lit(None).cast(o_type).alias("o")
+        rows = each.select(F.concat_ws("\x01", "t", "i").alias("key"), F.col("e_us").alias("us"), *(v.alias(n) for n, (_, v, _) in columns.items())).withColumn("chunk", at)
+        types = {n: rows.schema[n].dataType for n in columns}
+        empty = [F.lit(None).cast(types[n]).alias(n) for n in columns]
+        obs = state.rows.select(F.col("o_key").alias("key"), F.col("o_us").alias("us"), *empty, F.struct(*state.rows.columns).alias("o")).withColumn("chunk", at)
+        combined = [aggregates.COMBINE[op](n).cast(types[n]).alias(n) for n, (_, _, op) in columns.items()]
+        sums = rows.groupBy("key", "chunk").agg(*combined).withColumn("asked", F.lit(False))
+        marks = obs.select("key", "chunk").distinct().select("key", "chunk", *empty, F.lit(True).alias("asked"))
+        steps = sums.unionByName(marks).groupBy("key", "chunk").agg(*combined, F.bool_or("asked").alias("asked"))
+        order = Window.partitionBy("key").orderBy("chunk")
+        sides = {}
+        if any(a.node.interval.past for a in aggs):
+            sides[-(2**62)] = order.rowsBetween(Window.unboundedPreceding, -1)
+        if any(not a.node.interval.past for a in aggs):
+            sides[2**62] = order.rowsBetween(1, Window.unboundedFollowing)
+        over = steps.select("key", "chunk", "asked", *(aggregates.COMBINE[op](n).over(w).cast(types[n]).alias(f"{n}_{i}") for i, w in enumerate(sides.values()) for n, (_, _, op) in columns.items())).filter("asked")
+        ends = F.explode(F.array(*(F.struct(F.lit(us).cast("bigint").alias("us"), *(F.col(f"{n}_{i}").alias(n) for n in columns)) for i, us in enumerate(sides))))
+        carry = over.select("key", "chunk", ends.alias("x")).select("key", "chunk", "x.*", no_o)
+        both = rows.select("key", "chunk", "us", *columns, no_o).unionByName(carry).unionByName(obs)
+        by_chunk = Window.partitionBy("key", "chunk").orderBy("us")
+        out = {}
+        for a, _, names in found:
+            low, high = intervals.frame(a.node.interval, self.inclusive)
+            w = by_chunk.rangeBetween(Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high)
+            for k, n in enumerate(names):
+                out[f"{a.column}_{k}"] = aggregates.COMBINE[columns[n][2]](n).over(w)
+        done = both.select("o", *(c.alias(n) for n, c in out.items())).filter("o is not null")
+        final = {}
+        for a, p, names in found:
+            total = p.total(*(F.col(f"{a.column}_{k}") for k in range(len(names))))
+            final[a.column] = total if p.empty is None else F.coalesce(total, F.lit(p.empty))
+            a.result = Typed(F.col(a.column), p.kind, p.type)
+        state.rows = done.select("o.*", *(c.alias(n) for n, c in final.items()))
 
     def _frames(self, state: _State, aggs: list[_Agg]) -> None:
         events = self._events(a.node for a in aggs)
@@ -382,7 +450,8 @@ class Engine:
         if link[0] == "equal":
             ek = F.try_element_at(F.col("e").getField("entities"), F.lit(link[1]))
             ok = F.try_element_at(F.col("o_entities"), F.lit(link[2]))
-            return obs.withColumn("j", ok).join(events.filter(F.size(F.col("e").getField("entities")) > 0).withColumn("k", ek), (F.col("j") == F.col("k")) & near).drop("j", "k")
+            keyed = events.filter(F.size(F.col("e").getField("entities")) > 0).withColumn("k", ek).filter("k is not null")
+            return self._by_key(obs.withColumn("j", ok), keyed, near)
         has_entities = F.size(F.col("e").getField("entities")) > 0
         if link[0] == "time":
             return self._by_time(obs, events.filter(has_entities), near)
@@ -395,13 +464,27 @@ class Engine:
         if single is None:
             of_event = F.col("e").getField("entities")
             match = match & F.forall(F.map_entries("o_entities"), lambda p: F.coalesce(F.try_element_at(of_event, p["key"]) == p["value"], F.lit(False)))
-            pairs = obs.filter(F.size("o_entities") > 0).withColumn("j", first).join(each, (F.col("j") == F.col("k")) & match).drop("j", "k")
+            pairs = self._by_key(obs.filter(F.size("o_entities") > 0).withColumn("j", first), each, match)
         else:
-            pairs = obs.join(each, (F.col("o_key") == F.col("k")) & match).drop("k")
+            pairs = self._by_key(obs.withColumn("j", F.col("o_key")), each, match)
         if self.store.has_global():
             pairs = pairs.unionByName(self._by_time(obs, events.filter(~has_entities), near))
         return pairs
 
+    def _by_key(self, obs: DataFrame, events: DataFrame, match: Column) -> DataFrame:
+        """Joins ``j`` of observations to ``k`` of events. The events of a hot key are split over salts, its observations repeated for each."""
+        size = int(str(self.store.events._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < HOT_BYTES:
+            return obs.join(events, (F.col("j") == F.col("k")) & match).drop("j", "k")
+        counts = events.groupBy("k").count().filter(F.col("count") > HOT_ROWS).orderBy(F.desc("count")).limit(MOST_HOT)
+        parts = F.ceil(F.col("count") / F.lit(HOT_ROWS)).cast("int")
+        hot = self.store.spark.createDataFrame([(r["k"], r["n"]) for r in counts.select("k", parts.alias("n")).collect()], "h string, n int")
+        hot = F.broadcast(hot)  # MOST_HOT rows at most
+        salt = F.coalesce(F.pmod(F.xxhash64("e_us", F.col("e").getField("event_id")), F.col("n")), F.lit(0)).cast("int")
+        left = obs.join(hot, F.col("j") == F.col("h"), "left").withColumn("js", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n") - 1, F.lit(0))))).drop("h", "n")
+        right = events.join(hot, F.col("k") == F.col("h"), "left").withColumn("ks", salt).drop("h", "n")
+        return left.join(right, (F.col("j") == F.col("k")) & (F.col("js") == F.col("ks")) & match).drop("j", "k", "js", "ks")
+
     def _by_time(self, obs: DataFrame, events: DataFrame, near: Column) -> DataFrame:
         """Joins by buckets of time: an observation goes into each bucket that its interval meets, an event into its own."""
         span = events.agg(F.min("e_us").alias("lo"), F.max("e_us").alias("hi")).first()

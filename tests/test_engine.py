@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from chronofold.fql import QueryError
+from chronofold.plans import engine
 from chronofold.plans import observations as O
 from chronofold.plans.engine import ALL, Engine
 from chronofold.sources import EventStore
@@ -100,12 +101,13 @@ def test_golden(six, text, want, scope):
         assert one(six, text, scope) == want
 
 
-FRAMED = ["count(*)", "count(temp)", "sum(temp)", "product(temp)", "min(temp)", "max(type)", "avg(pressure)", "median(pressure)", "first(type)", "last(temp)", "nth(temp, 1)", "values(type)", "argmax(pressure)", "argmin(pressure)", "any(is_overcast)", "all(is_overcast)", "max_consecutive_true(is_overcast)", "time_of_last(is_overcast)", "avg_days_between(is_overcast)"]
+FRAMED = ["count(*)", "count(temp)", "sum(temp)", "product(temp)", "min(temp)", "max(type)", "avg(pressure)", "median(pressure)", "first(type)", "last(temp)", "nth(temp, 1)", "values(type)", "argmax(pressure)", "argmin(pressure)", "any(is_overcast)", "all(is_overcast)", "max_consecutive_true(is_overcast)", "time_of_last(is_overcast)", "time_of_first(temp > 2)", "root_mean_square(temp)", "abs_energy(temp)", "last(dict)", "avg_days_between(is_overcast)"]
 
 
-@pytest.mark.parametrize("inclusive", [False, True])
-def test_frames_equal_joins(six, inclusive):
-    """The two plans are interchangeable, on and next to events."""
+@pytest.mark.parametrize("inclusive,chunk", [(False, 10**6), (True, 36 * 3600 * 10**6), (False, engine.CARRY_CHUNK_US)])
+def test_frames_equal_joins(six, inclusive, chunk, monkeypatch):
+    """The two plans are interchangeable, on and next to events, however the past is cut."""
+    monkeypatch.setattr(engine, "CARRY_CHUNK_US", chunk)
     times = [T0 + v * DAY + timedelta(microseconds=d) for v in range(0, 8) for d in (-1, 0, 1)]
     o = O.listed(six, [({"location": "a"}, t, None) for t in times])
     query = [f"{f} over {i} where pressure > -50 as c{k}" for k, (f, i) in enumerate((f, i) for f in FRAMED for i in ("past", "future", "last 2 days", "next 1 days", "last 1 seconds"))]
@@ -124,6 +126,16 @@ def test_past_and_future_are_all(six, inclusive, scope):
     assert {r[0] for r in rows} == {6.0} and len(rows) == 7
 
 
+def test_hot_entities_are_split(six, monkeypatch):
+    """Joins give the same whether keys are split or not."""
+    query = ["obs_dt as t", "count(*) over mtd as n", "values(type) over between null to obs_dt as v", "first(type) over ytd having max pressure as m", "count(*) over mtd group by is_overcast as g"]
+    o = O.every(six, 1, "day")
+    want = sorted(map(str, Engine(six).query(o, query).collect()))
+    for name, value in (("HOT_BYTES", 0), ("HOT_ROWS", 2)):
+        monkeypatch.setattr(engine, name, value)
+    assert sorted(map(str, Engine(six).query(o, query).collect())) == want
+
+
 def test_experiments_and_globals(spark):
     rows = [(str(i), t, datetime(2020, 1, i), {"": e}, x, (p,)) for i, t, e, x, p in ((1, "test", "a", None, 100.0), (2, "test2", "a", None, 200.0), (3, "test", "a", "experiment_1", 300.0), (4, "test", "b", "experiment_3", 400.0), (5, "test", "b", "experiment_3", 500.0))]
     store = EventStore(spark.createDataFrame(rows, EVENT.format("pressure: double")))
