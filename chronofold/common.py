@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +22,6 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; set an own one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "chronofold-checkpoints"))
-
-
 def counted(rows: DataFrame, row_id: str, *columns: Column) -> DataFrame:
     """Rows that count: of the rows of one ``event_id`` only the one with the earliest ``ingested_at`` (ties: the lowest
     ``row_id``; a null ``ingested_at`` comes last), picked over all rows, and of these the ones without an experiment.

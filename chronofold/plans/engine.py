@@ -27,7 +27,7 @@ from chronofold.fql import parse_query
 from chronofold.fql.lexer import QueryError
 from chronofold.functions import aggregates
 from chronofold.functions.aggregates import Built, Rows
-from chronofold.functions.typed import INT, MAP, Typed
+from chronofold.functions.typed import MAP, Typed
 from chronofold.plans import intervals
 from chronofold.plans.binder import Binder, group_key, uses_event, uses_observation
 from chronofold.plans.observations import Observations

@@ -98,6 +98,15 @@ _AGGREGATES = {
     "agg_abs_energy": ("abs_energy(value) over last 7 days", "round(sum(e.value * e.value) + 1e-8, 6)"),
     "agg_root_mean_square": ("root_mean_square(value) over last 7 days", "round(sqrt(avg(e.value * e.value)) + 1e-8, 6)"),
     "agg_has_duplicate": ("has_duplicate(event_type) over last 7 days", "count(e.event_type) > count(distinct e.event_type)"),
+    "agg_skewness": ("skewness(value) over past", "round((avg(pow(e.value, 3)) - 3 * avg(e.value) * avg(pow(e.value, 2)) + 2 * pow(avg(e.value), 3)) / nullif(pow(stddev_pop(e.value), 3), 0) + 1e-8, 6)"),
+    "agg_kurtosis": ("kurtosis(value) over past", "round((avg(pow(e.value, 4)) - 4 * avg(e.value) * avg(pow(e.value, 3)) + 6 * pow(avg(e.value), 2) * avg(pow(e.value, 2)) - 3 * pow(avg(e.value), 4)) / nullif(pow(var_pop(e.value), 2), 0) - 3 + 1e-8, 6)"),
+    "agg_has_duplicate_min": ("has_duplicate_min(props.k) over past", "coalesce((select count(*) > 1 from ev x where x.u = o.u and x.ts < o.t and x.k = min(e.k)), false)"),
+    "agg_has_duplicate_max": ("has_duplicate_max(props.k) over past", "coalesce((select count(*) > 1 from ev x where x.u = o.u and x.ts < o.t and x.k = max(e.k)), false)"),
+    "agg_stdev_pct": ("stdev_pct(value) over last 7 days", "round(case when count(e.value) = 1 then 0 else stddev_samp(e.value) / avg(e.value) * 100 end + 1e-8, 6)"),
+    "agg_median_abs_dev": ("median_abs_dev(value) over last 7 days", "round(mad(e.value) * 1.4826 + 1e-8, 6)"),
+    "agg_iqr": ("iqr(value) over last 7 days", "round(quantile_cont(e.value, 0.75) - quantile_cont(e.value, 0.25) + 1e-8, 6)"),
+    "agg_percentile": ("percentile(value, 90) over last 7 days", "round(quantile_cont(e.value, 0.9) + 1e-8, 6)"),
+    "agg_product_null": ("product(if(value > 95, 1.5, null)) over past", "round(product(case when e.value > 95 then 1.5 end) + 1e-8, 6)"),
     "where_null_contract": ("count(*) over last 7 days where if(value > 50, value, null) != 60", "count(e.id) filter (e.value <> 60)"),
     "where_in": ("count(*) over past where event_type in ('view', 'click') and props.k not in (1, 2, 3)", "count(e.id) filter (e.event_type in ('view', 'click') and e.k not in (1, 2, 3))"),
     "from_type": ("sum(value) over past from purchase", "round(sum(e.value) filter (e.event_type = 'purchase') + 1e-8, 6)"),
@@ -108,7 +117,7 @@ _AGGREGATES = {
     "context_obs_dt": ("count(*) over past where date_diff(obs_dt, event_time) > 3", "count(e.id) filter (cast(o.t as date) - cast(e.ts as date) > 3)"),
     "nested_aggregate": ("count(*) over past where value > avg(value) over past", "count(e.id) filter (e.value > (select avg(x.value) from ev x where x.u = o.u and x.ts < o.t))"),
 }
-_NARROW = {"where_in", "from_type", "bool_prec", "agg_ratio", "entity_attr", "context_entities", "context_obs_dt", "nested_aggregate"}
+_NARROW = {"agg_skewness", "agg_kurtosis", "agg_has_duplicate_min", "agg_has_duplicate_max", "agg_product_null", "where_in", "from_type", "bool_prec", "agg_ratio", "entity_attr", "context_entities", "context_obs_dt", "nested_aggregate"}
 
 #: Interval forms: keyword -> (query text, low, high) of an observation time t; calendar ends are 23:59:59 exclusive.
 _D = "date_trunc('day', o.t)"
@@ -369,6 +378,31 @@ def append_events(spark: SparkSession, d: str) -> DataFrame:
     return rounded(store.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("attrs.price").alias("price"), F.sum("attrs.value").alias("value"), F.count("attrs.status").alias("statuses")))
 
 
+def store_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events and entities by experiment, and what is left when experiments are flushed."""
+    store = app_store(spark, d)
+    events = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    parts = {"events": events(store.events), "entities": events(store.entities()), "with_experiment_1": events(store.visible("experiment_1")), "flushed": events(store.flush(experiments=True).events), "without_experiment_1": events(store.flush("experiment_1").events)}
+    out = None
+    for name, df in parts.items():
+        own = df.withColumn("what", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def unique_events(spark: SparkSession, d: str) -> DataFrame:
+    """One event per id."""
+    return app_store(spark, d).unique().events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("event_id").alias("ids"))
+
+
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return events_store(spark, d).by_id("77").select("event_id", "event_type", "event_time", "attrs.value")
+
+
+def type_scan(spark: SparkSession, d: str) -> DataFrame:
+    return events_store(spark, d).of_type("error").select("event_id", "event_time", "attrs.value")
+
+
 def interval_scan(spark: SparkSession, d: str) -> DataFrame:
     return events_store(spark, d).between("2024-01-10 00:00:00", "2024-01-12 00:00:00").select("event_id", "event_type", "event_time")
 
@@ -381,7 +415,7 @@ _REGULAR: dict[str, Callable] = {
     f.__name__: f
     for f in (
         agg_values, group_by_map, group_by_number, rolling_frames, variables, select_query, context_event, obs_interval, obs_fixed, obs_specific, obs_all_events, obs_by_entity, obs_conditional, obs_event_specific,
-        all_scope_link, all_scope_time, experiment_scope, global_events, weather_features, scan_all, entities, schema, ingest_json, append_events, interval_scan, entity_scan,
+        all_scope_link, all_scope_time, experiment_scope, global_events, weather_features, scan_all, entities, schema, ingest_json, append_events, interval_scan, entity_scan, store_counts, unique_events, point_lookup, type_scan,
     )
 }
 
@@ -472,5 +506,13 @@ union all select distinct 'location', entities['location'] from app_event where
     out["append_events"] = """select event_type, count(*) as n, cast(null as double) as price, round(sum(value) + 1e-8, 6) as value, cast(0 as bigint) as statuses from events group by 1
 union all select 'order', count(*), round(sum(o_totalprice) + 1e-8, 6), null, count(o_orderstatus) from orders"""
     out["interval_scan"] = "select cast(event_id as varchar) as event_id, event_type, ts as event_time from events where ts between timestamp '2024-01-10' and timestamp '2024-01-12'"
+    out["store_counts"] = f"""select 'events' as what, count(*) as n from app_event union all select 'entities', count(*) from ({out["entities"]})
+union all select 'with_experiment_1', count(*) from app_event where experiment_id is null or experiment_id = 'experiment_1'
+union all select 'flushed', count(*) from app_event where experiment_id is null
+union all select 'without_experiment_1', count(*) from app_event where experiment_id is null or experiment_id <> 'experiment_1'"""
+    out["unique_events"] = """with x as (select event_type, event_id, row_number() over (partition by event_id, case when event_id is null then row_id end order by event_time, event_type) as place from app_event)
+select event_type, count(*) as n, count(event_id) as ids from x where place = 1 group by 1"""
+    out["point_lookup"] = "select cast(event_id as varchar) as event_id, event_type, ts as event_time, value from events where event_id = 77"
+    out["type_scan"] = "select cast(event_id as varchar) as event_id, ts as event_time, value from events where event_type = 'error'"
     out["entity_scan"] = "select l_orderkey || '-' || l_linenumber as event_id, cast(l_partkey as varchar) as part, l_quantity as quantity from lineitem where l_suppkey = 3"
     return out

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronofold.common import use_utc
-from chronofold.fql.lexer import QueryError
 from chronofold.functions.scalars import parse_time
 from chronofold.functions.typed import kind_of
 
@@ -74,13 +73,14 @@ def _conform(c: Column, have: T.DataType, want: T.DataType) -> Column:
 
 
 class EventStore:
-    """Holds a lazy DataFrame; nothing is copied or collected."""
+    """Holds a lazy DataFrame; nothing is copied or collected. Whether there are global events is looked up in the entities when a query needs to
+    know; pass ``has_global`` to save the look."""
 
-    def __init__(self, events: DataFrame) -> None:
+    def __init__(self, events: DataFrame, has_global: bool | None = None) -> None:
         self.spark: SparkSession = events.sparkSession
         use_utc(self.spark)
         self.events = self._normal(events)
-        self._has_global: bool | None = None
+        self._has_global = has_global
 
     @staticmethod
     def _normal(events: DataFrame) -> DataFrame:
