@@ -6,6 +6,7 @@ A row of a plan has the observation's columns ``o_entities`` (map), ``obs_dt``,
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -38,6 +39,22 @@ def attribute(struct: Column, t: T.StructType, path: str) -> Typed:
     return of_type(col, at)
 
 
+def root_of(t: T.StructType, path: str) -> str:
+    """The outermost field that ``attribute`` reads for a path."""
+    part = path.split(".")[0]
+    for names in ([f.name for f in t.fields if f.name == path], [f.name for f in t.fields if f.name == part], [f.name for f in t.fields if f.name.lower() == part.lower()]):
+        if len(names) == 1:
+            return names[0]
+    raise QueryError(f"unknown attribute {path!r}")
+
+
+def narrow(event: dict[str, Column], t: T.StructType, paths: Iterable[str]) -> Column:
+    """An event as struct with only the attributes that the paths read, so that no others are scanned or moved."""
+    roots = sorted({root_of(t, p) for p in paths})
+    attrs = F.struct(*(event["attrs"].getField(r).alias(r) for r in roots)) if roots else F.struct(F.lit(None).cast("int").alias("_none"))
+    return F.struct(*(c.alias(n) for n, c in event.items() if n != "attrs"), attrs.alias("attrs"))
+
+
 @dataclass
 class Binder:
     attrs: T.StructType

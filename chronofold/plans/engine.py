@@ -29,7 +29,7 @@ from chronofold.functions import aggregates
 from chronofold.functions.aggregates import Built, Rows
 from chronofold.functions.typed import MAP, Typed
 from chronofold.plans import intervals
-from chronofold.plans.binder import Binder, group_key, uses_event, uses_observation
+from chronofold.plans.binder import Binder, group_key, narrow, uses_event, uses_observation
 from chronofold.plans.observations import Observations
 from chronofold.sources.store import EventStore
 
@@ -111,7 +111,8 @@ class Engine:
         features = parse_query(query)
         self.inclusive, self.scope, self.experiment = include_events_on_obs_date, scope, experiment_id
         attrs = self.store.events.schema["attrs"].dataType
-        state = _State(self._observations(observations, features), Binder(attrs if isinstance(attrs, T.StructType) else T.StructType([])), observations.single)
+        self.attrs = attrs if isinstance(attrs, T.StructType) else T.StructType([])
+        state = _State(self._observations(observations, features), Binder(self.attrs), observations.single)
         done: set[int] = set()
         ordered = variable_order(features)
         variables = {f.name for f in features if f.variable}
@@ -143,11 +144,15 @@ class Engine:
         variables = {f.name for f in features if f.variable}
         named = {x.path for f in features for x in f.expr.walk() if isinstance(x, N.Name) and x.context} - variables
         needs = bool(named) or any(uses_event(f.expr) for f in features)
+        inside = {id(x) for f in features for a in f.expr.walk() if isinstance(a, N.Agg) for y in (*a.args, a.where, a.group_by, a.having) if y is not None for x in y.walk()}
+        own = {x.path for f in features for x in f.expr.walk() if isinstance(x, N.Name) and not x.context and id(x) not in inside}
         if needs and not o.has_event:
-            found = self.store.events.filter("event_id is not null").select(F.col("event_id"), F.struct(*_EVENT).alias("ctx"))
+            found = self.store.events.filter("event_id is not null").select(F.col("event_id"), narrow({c: F.col(c) for c in _EVENT}, self.attrs, named | own).alias("ctx"))
             rows = rows.join(found, "event_id", "left")
-        elif not needs:
-            rows = rows.drop("ctx").withColumn("ctx", F.lit(None).cast(self.store.events.select(F.struct(*_EVENT).alias("x")).schema["x"].dataType))
+        elif needs:
+            rows = rows.withColumn("ctx", narrow({c: F.col("ctx").getField(c) for c in _EVENT}, self.attrs, named | own))
+        else:
+            rows = rows.drop("ctx").withColumn("ctx", F.lit(None).cast("struct<event_id: string>"))
         entities = F.coalesce("entities", F.create_map().cast("map<string,string>"))
         keyed = rows.filter("obs_dt is not null").select(entities.alias("o_entities"), "obs_dt", "ctx").select(canonical_key(F.col("o_entities")).alias("o_key"), F.unix_micros(F.col("obs_dt").cast("timestamp")).alias("o_us"), "o_entities", "obs_dt", "ctx")
         if o.has_event and needs:
@@ -224,13 +229,15 @@ class Engine:
             and not self.store.has_global()
         )
 
-    def _events(self, nodes: Iterable[N.Agg]) -> DataFrame:
-        """What the aggregates can read of the store, as column ``e`` and ``e_us``."""
+    def _events(self, nodes: list[N.Agg]) -> DataFrame:
+        """What the aggregates can read of the store: ``e``, ``e_us`` and ``e_entities``."""
         df = self.store.visible(None if self.scope == ALL else self.experiment).filter("event_time is not null")
         types = [event_types(n) for n in nodes]
         if all(t is not None for t in types):
             df = df.filter(F.col("event_type").isin(*sorted(set().union(*types))))
-        return df.select(F.struct(*_EVENT).alias("e"), F.unix_micros(F.col("event_time").cast("timestamp")).alias("e_us"))
+        paths = {x.path for n in nodes for x in n.walk() if isinstance(x, N.Name) and not x.context}
+        e = narrow({c: F.col(c) for c in _EVENT}, self.attrs, paths)
+        return df.select(e.alias("e"), F.unix_micros(F.col("event_time").cast("timestamp")).alias("e_us"), F.col("entities").alias("e_entities"))
 
     @staticmethod
     def _rows(use: Column) -> Rows:
@@ -257,14 +264,19 @@ class Engine:
         star = node.name == "count" and isinstance(node.args[0], N.Star)
         return aggregates.PARTS[node.name](rows, None if star else state.binder.bind(node.args[0], True))
 
+    @staticmethod
+    def _each(events: DataFrame, single: tuple[str, ...] | None, *columns: str) -> DataFrame:
+        """The events by ``key``, once for each of their entities of the types of ``single``, or of any type."""
+        each = events.select(F.explode("e_entities").alias("t", "i"), *columns).filter("i is not null")
+        if single:
+            each = each.filter(F.col("t").isin(*single))
+        return each.select(F.concat_ws("\x01", "t", "i").alias("key"), *columns)
+
     # frame plans
 
     def _carried(self, state: _State, aggs: list[_Agg]) -> None:
         """Aggregates over the whole past or future, in chunks that carry in what the chunks before and after them add up to."""
-        events = self._events(a.node for a in aggs)
-        each = events.select("e", "e_us", F.explode(F.col("e").getField("entities")).alias("t", "i")).filter("i is not null")
-        if state.single:
-            each = each.filter(F.col("t").isin(*state.single))
+        events = self._events([a.node for a in aggs])
         columns: dict[str, tuple[str, Column, str]] = {}
         found: list[tuple[_Agg, aggregates.Parts, list[str]]] = []
         for a in aggs:
@@ -281,7 +293,8 @@ class Engine:
         at = F.floor(F.col("us") / F.lit(CARRY_CHUNK_US))
         o_type = state.rows.select(F.struct(*state.rows.columns).alias("o")).schema["o"].dataType
         no_o = F.lit(None).cast(o_type).alias("o")
-        rows = each.select(F.concat_ws("\x01", "t", "i").alias("key"), F.col("e_us").alias("us"), *(v.alias(n) for n, (_, v, _) in columns.items())).withColumn("chunk", at)
+        ready = events.select("e_entities", F.col("e_us").alias("us"), *(v.alias(n) for n, (_, v, _) in columns.items()))
+        rows = self._each(ready, state.single, "us", *columns).withColumn("chunk", at)
         types = {n: rows.schema[n].dataType for n in columns}
         empty = [F.lit(None).cast(types[n]).alias(n) for n in columns]
         obs = state.rows.select(F.col("o_key").alias("key"), F.col("o_us").alias("us"), *empty, F.struct(*state.rows.columns).alias("o")).withColumn("chunk", at)
@@ -315,11 +328,7 @@ class Engine:
         state.rows = done.select("o.*", *(c.alias(n) for n, c in final.items()))
 
     def _frames(self, state: _State, aggs: list[_Agg]) -> None:
-        events = self._events(a.node for a in aggs)
-        each = events.select("e", "e_us", F.explode(F.col("e").getField("entities")).alias("t", "i")).filter("i is not null")
-        if state.single:
-            each = each.filter(F.col("t").isin(*state.single))
-        key = F.concat_ws("\x01", "t", "i")
+        events = self._events([a.node for a in aggs])
         # what aggregates read is computed before the shuffle, each expression once
         inputs: dict[str, Column] = {}
 
@@ -350,7 +359,8 @@ class Engine:
             chunk = max(LEAST_CHUNK_US, *(a.node.interval.micros for a in aggs)) + 1
         o_type = state.rows.select(F.struct(*state.rows.columns).alias("o")).schema["o"].dataType
         rows = self._rows(F.lit(True))
-        left = each.select(key.alias("key"), F.col("e_us").alias("us"), rows.time.alias("at"), rows.tie.alias("tie"), F.lit(None).cast(o_type).alias("o"), *(c.alias(n) for n, c in inputs.items()))
+        ready = events.select("e_entities", F.col("e_us").alias("us"), rows.time.alias("at"), rows.tie.alias("tie"), *(c.alias(n) for n, c in inputs.items()))
+        left = self._each(ready, state.single, "us", "at", "tie", *inputs).withColumn("o", F.lit(None).cast(o_type))
         types = {f.name: f.dataType for f in left.schema.fields}
         right = state.rows.select(F.col("o_key").alias("key"), F.col("o_us").alias("us"), F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(None).cast("string").alias("tie"), F.struct(*state.rows.columns).alias("o"), *((F.lit(False) if types[n] == T.BooleanType() and named[n].startswith("use ") else F.lit(None).cast(types[n])).alias(n) for n in inputs))
         by = ["key"]
@@ -393,7 +403,7 @@ class Engine:
         obs = state.rows
         limits = {a.column: intervals.bounds(a.node.interval, F.col("o_us"), F.col("obs_dt"), state.binder.bind) for a in aggs}
         obs = obs.withColumns({"o_low": _hull([x for x, _ in limits.values()], F.least, -(2**62)), "o_high": _hull([x for _, x in limits.values()], F.greatest, 2**62)})
-        events = self._events(a.node for a in aggs)
+        events = self._events([a.node for a in aggs])
         near = (F.col("e_us") > F.col("o_low")) & (F.col("e_us") <= F.col("o_high")) if self.inclusive else (F.col("e_us") >= F.col("o_low")) & (F.col("e_us") < F.col("o_high"))
         pairs = self._pairs(obs, events, near, link, state.single)
         extremes = {}
@@ -448,17 +458,14 @@ class Engine:
 
     def _pairs(self, obs: DataFrame, events: DataFrame, near: Column, link: tuple, single: tuple[str, ...] | None) -> DataFrame:
         if link[0] == "equal":
-            ek = F.try_element_at(F.col("e").getField("entities"), F.lit(link[1]))
+            ek = F.try_element_at(F.col("e_entities"), F.lit(link[1]))
             ok = F.try_element_at(F.col("o_entities"), F.lit(link[2]))
-            keyed = events.filter(F.size(F.col("e").getField("entities")) > 0).withColumn("k", ek).filter("k is not null")
+            keyed = events.filter(F.size("e_entities") > 0).select("e", "e_us", ek.alias("k")).filter("k is not null")
             return self._by_key(obs.withColumn("j", ok), keyed, near)
-        has_entities = F.size(F.col("e").getField("entities")) > 0
+        has_entities = F.size("e_entities") > 0
         if link[0] == "time":
-            return self._by_time(obs, events.filter(has_entities), near)
-        each = events.select("e", "e_us", F.explode(F.col("e").getField("entities")).alias("t", "i")).filter("i is not null")
-        if single:
-            each = each.filter(F.col("t").isin(*single))
-        each = each.select("e", "e_us", F.concat_ws("\x01", "t", "i").alias("k"))
+            return self._by_time(obs, events.filter(has_entities).select("e", "e_us"), near)
+        each = self._each(events, single, "e", "e_us").withColumnRenamed("key", "k")
         first = F.try_element_at(F.split(F.col("o_key"), "\x02"), F.lit(1))
         match = near
         if single is None:
@@ -468,7 +475,7 @@ class Engine:
         else:
             pairs = self._by_key(obs.withColumn("j", F.col("o_key")), each, match)
         if self.store.has_global():
-            pairs = pairs.unionByName(self._by_time(obs, events.filter(~has_entities), near))
+            pairs = pairs.unionByName(self._by_time(obs, events.filter(~has_entities).select("e", "e_us"), near))
         return pairs
 
     def _by_key(self, obs: DataFrame, events: DataFrame, match: Column) -> DataFrame:
