@@ -351,6 +351,50 @@ WEATHER = {
 }
 
 
+#: The shape of the published benchmark: name -> (aggregate, SQL of its value, days back, condition).
+WEEKLY = {
+    "avg_value_7": ("avg(value)", "avg(e.value)", 7, None),
+    "min_value_7": ("min(value)", "min(e.value)", 7, None),
+    "max_value_3": ("max(value)", "max(e.value)", 3, None),
+    "sum_value_30": ("sum(value)", "sum(e.value)", 30, None),
+    "avg_k_5": ("avg(props.k)", "avg(e.k)", 5, None),
+    "max_k_5": ("max(props.k)", "max(e.k)", 5, None),
+    "last_k_3": ("last(props.k)", "arg_max(e.k, e.ts)", 3, None),
+    "first_k_3": ("first(props.k)", "arg_min(e.k, e.ts)", 3, None),
+    "views_30": ("count(*)", "count(e.id)", 30, "view"),
+    "clicks_30": ("count(*)", "count(e.id)", 30, "click"),
+    "avg_k_7": ("avg(props.k)", "avg(e.k)", 7, None),
+    "avg_value_14": ("avg(value)", "avg(e.value)", 14, None),
+    "sum_value_3": ("sum(value)", "sum(e.value)", 3, None),
+    "sum_k_3": ("sum(props.k)", "sum(e.k)", 3, None),
+    "max_value_7": ("max(value)", "max(e.value)", 7, None),
+    "min_k_7": ("min(props.k)", "min(e.k)", 7, None),
+    "errors_14": ("count(*)", "count(e.id)", 14, "error"),
+    "spent_30": ("sum(value)", "sum(e.value)", 30, "purchase"),
+    "last_value": ("last(value)", "arg_max(e.value, e.ts)", None, None),
+    "last_type": ("last(event_type)", "arg_max(e.event_type, e.ts)", None, None),
+}
+
+
+def weekly_features(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty features over windows of 3 to 30 days, weekly per user."""
+    store = events_store(spark, d)
+    texts = []
+    for name, (agg, _, days, kind) in WEEKLY.items():
+        where = f" where event_type = '{kind}'" if kind else ""
+        texts.append(f"{agg} over {f'last {days} days' if days else 'past'}{where} as {name}")
+    return rounded(Engine(store).query(O.every(store, 7, "day", ["user"]), [*KEYS, *texts]))
+
+
+def _weekly_sql(head: str, grid: str) -> str:
+    cols = []
+    for name, (_, agg, days, kind) in WEEKLY.items():
+        tests = ["e.ts < o.t", *([f"e.ts >= o.t - interval {days} day"] if days else []), *([f"e.event_type = '{kind}'"] if kind else [])]
+        value = f"{agg} filter ({' and '.join(tests)})"
+        cols.append(f"{value} as {name}" if agg.startswith("count") or "type" in agg else f"round({value} + 1e-8, 6) as {name}")
+    return f"{head}{grid} select o.t as obs_dt, o.u as \"user\", {', '.join(cols)} from points o left join ev e on e.u = o.u and e.ts < o.t group by 1, 2"
+
+
 def scan_all(spark: SparkSession, d: str) -> DataFrame:
     return events_store(spark, d).sorted().select("event_id", "event_type", "event_time", F.col("entities")["user"].alias("user"), "attrs.value", F.col("attrs.props.k").alias("k"))
 
@@ -415,7 +459,7 @@ _REGULAR: dict[str, Callable] = {
     f.__name__: f
     for f in (
         agg_values, group_by_map, group_by_number, rolling_frames, variables, select_query, context_event, obs_interval, obs_fixed, obs_specific, obs_all_events, obs_by_entity, obs_conditional, obs_event_specific,
-        all_scope_link, all_scope_time, experiment_scope, global_events, weather_features, scan_all, entities, schema, ingest_json, append_events, interval_scan, entity_scan, store_counts, unique_events, point_lookup, type_scan,
+        all_scope_link, all_scope_time, experiment_scope, global_events, weather_features, weekly_features, scan_all, entities, schema, ingest_json, append_events, interval_scan, entity_scan, store_counts, unique_events, point_lookup, type_scan,
     )
 }
 
@@ -463,6 +507,7 @@ def oracle_sql() -> dict[str, str]:
     grid = """, spans as (select u, min(ts) - interval 1 millisecond as lo, max(ts) + interval 1 millisecond as hi from ev group by 1),
 points as (select u, unnest(list_distinct(list_append(generate_series(lo, hi, interval 7 day), hi))) as t from spans)"""
     out["obs_interval"] = f"{head}{grid} select o.t as obs_dt, o.u as \"user\", count(e.id) as n, round(avg(e.value) + 1e-8, 6) as mean from points o left join ev e on e.u = o.u and {_LAST7} group by 1, 2"
+    out["weekly_features"] = _weekly_sql(head, grid)
     out["obs_fixed"] = _sql("count(e.id) as n", _PAST)
     out["obs_specific"] = f"""{head}, points as (select u, t from (values ('1'), ('2'), ('3'), ('999999')) a(u) cross join (values (timestamp '2024-01-10'), (timestamp '2024-01-20')) b(t))
 select o.t as obs_dt, o.u as "user", count(e.id) as n from points o left join ev e on e.u = o.u and {_PAST} group by 1, 2"""
