@@ -32,7 +32,7 @@ _MATH = {
     "fn_signum": (f"signum({_Y})", f"case when {_YS} >= 0 then 1.0 else -1.0 end"),
     "fn_div_euclid": (f"div_euclid(round({_Y} * 10), -3)", f"-floor(round({_YS} * 10) / 3)"),
     "fn_rem_euclid": (f"rem_euclid(round({_Y} * 10), -3)", f"round({_YS} * 10) - 3 * floor(round({_YS} * 10) / 3)"),
-    "fn_powf": (f"powf({_Y}, 3)", f"pow({_YS}, 3)"),
+    "fn_powf": (f"powf({_Y} + 0.5, 3) + 1", f"pow({_YS} + 0.5, 3) + 1"),
     "fn_sqrt": (f"sqrt({_P})", f"sqrt({_PS})"),
     "fn_exp": (f"exp({_P})", f"exp({_PS})"),
     "fn_exp2": (f"exp2({_P})", f"pow(2, {_PS})"),
