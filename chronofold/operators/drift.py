@@ -6,8 +6,9 @@ versions, (path -> canonical attribute, canonical type), and every line is route
 
 Defined cases: a line whose ``attrs`` are null, broken or no object gives no attributes but keeps its row, as does one without feed or file, which is in no comparison; null values and
 empty objects give no attribute; files without lines are left out; equally common types go by the order number, string,
-boolean, array; a key that is repeated in an object holds its last value; a value that can't be cast to the canonical
-type becomes null and its path is listed in ``uncast``; an empty table gives an empty result.
+boolean, array; a key that is repeated in an object holds its last value; an array of one element is cast to a number or
+boolean as its element; a value that can't be cast to the canonical type becomes null, its path is listed in ``uncast`` and
+``uncast_json`` keeps it as JSON by its path; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -211,6 +212,8 @@ def _rules_of_feed(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def cast(value: object, to: str) -> object:
     """A value as the canonical type; None if it can't be."""
+    if to in ("number", "boolean") and isinstance(value, list) and len(value) == 1 and not isinstance(value[0], (list, dict, type(None))):
+        value = value[0]  # what a cast to an array wraps
     is_ = kind(value)
     if to == is_:
         if to == "array":
@@ -239,7 +242,7 @@ def cast(value: object, to: str) -> object:
     return {"true": True, "false": False}.get(value.strip().lower()) if is_ == "string" else None
 
 
-_CELLS = {k: pa.map_(pa.string(), t) for k, t in (("nums", pa.float64()), ("strs", pa.string()), ("bools", pa.bool_()), ("vecs", pa.list_(pa.string())))} | {"uncast": pa.list_(pa.string())}
+_CELLS = {k: pa.map_(pa.string(), t) for k, t in (("nums", pa.float64()), ("strs", pa.string()), ("bools", pa.bool_()), ("vecs", pa.list_(pa.string())))} | {"uncast": pa.list_(pa.string()), "uncast_json": pa.map_(pa.string(), pa.string())}
 _SLOT = {"number": "nums", "string": "strs", "boolean": "bools", "array": "vecs"}
 
 
@@ -248,21 +251,22 @@ def _router(defaults: dict[str, object]):
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells: dict[str, list] = {k: [] for k in (*_SLOT.values(), "uncast")}
+            cells: dict[str, list] = {k: [] for k in _CELLS}
             for text, rules in zip(batch.column("attrs").to_pylist(), batch.column("rules").to_pylist()):
                 row: dict[str, dict] = {k: dict(by_slot[k]) for k in by_slot}
-                bad = []
+                bad = {}
                 by_path = {r["path"]: (r["name"], r["kind"]) for r in rules} if rules else {}
                 for path, value in flatten(parse(text)).items():
                     name, to = by_path.get(path, (path, kind(value)))
                     done = cast(value, to)
                     if done is None:
-                        bad.append(path)
+                        bad[path] = json.dumps(value)
                     else:
                         row[_SLOT[to]][name] = done
                 for k, v in row.items():
                     cells[k].append(list(v.items()))
                 cells["uncast"].append(sorted(bad))
+                cells["uncast_json"].append(sorted(bad.items()))
             kept = batch.drop_columns(["attrs", "rules"])
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v, _CELLS[k]) for k, v in cells.items())], names=[*kept.schema.names, *cells])
 
@@ -272,7 +276,7 @@ def _router(defaults: dict[str, object]):
 def consistent(lines: DataFrame, files: DataFrame, locked: DataFrame, defaults: dict[str, object] | None = None) -> DataFrame:
     """Every line as one row of the consistent table: ``raw_id, feed_id, file_id, line_no, event_id, schema_version`` and the canonical
     attributes in ``nums``, ``strs``, ``bools`` and ``vecs`` by type, an attribute always in the same one within its feed; ``uncast`` lists
-    the paths of stray values. ``locked``: feed_id, attr_name, attr_type. ``defaults``: values of canonical attributes that a line lacks; without
+    the paths of stray values and ``uncast_json`` maps each to its value. ``locked``: feed_id, attr_name, attr_type. ``defaults``: values of canonical attributes that a line lacks; without
     one a missing attribute is missing."""
     prints = fingerprints(lines, files)
     log = changes(lines, files)
@@ -288,5 +292,5 @@ def consistent(lines: DataFrame, files: DataFrame, locked: DataFrame, defaults:
     routed = keep.join(rules, ["feed_id", "file_id"], "left").select("feed_id", "file_id", "raw_id", "line_no", "event_id", "schema_version", "attrs", "rules")
     return routed.mapInArrow(
         _router(defaults or {}),
-        "feed_id bigint, file_id bigint, raw_id bigint, line_no int, event_id string, schema_version int, nums map<string,double>, strs map<string,string>, bools map<string,boolean>, vecs map<string,array<string>>, uncast array<string>",
+        "feed_id bigint, file_id bigint, raw_id bigint, line_no int, event_id string, schema_version int, nums map<string,double>, strs map<string,string>, bools map<string,boolean>, vecs map<string,array<string>>, uncast array<string>, uncast_json map<string,string>",
     )

@@ -94,6 +94,25 @@ def test_consistent_table(spark):
     assert [r.nums for r in filled] == [{"a": 1.0}, {"a": 0.0}] and filled[0].bools == {"z": True}
 
 
+def test_arrays_come_back_as_numbers(spark):
+    """number -> array -> number and boolean -> array: no value is lost, and what can't be cast is kept as it came."""
+    lines = [
+        (1, 1, 1, 1, "x", '{"a": 5, "b": true}', None),
+        (2, 1, 2, 1, "y", '{"a": [6.5], "b": [false]}', None),
+        (3, 1, 2, 2, "z", '{"a": ["7"], "b": ["true"]}', None),
+        (4, 1, 2, 3, "s", '{"a": [1, 2], "b": [null]}', None),
+        (5, 1, 2, 4, "t", '{"a": [[3]], "b": [{"c": 1}]}', None),
+        (6, 1, 2, 5, "u", '{"a": [], "b": "n/a"}', None),
+        (7, 1, 3, 1, "v", '{"a": 8, "b": true}', None),
+    ]
+    files = [(i, 1, datetime(2024, 1, i), "f") for i in (1, 2, 3)]
+    rows = drift.consistent(spark.createDataFrame(lines, LINES), spark.createDataFrame(files, FILES), spark.createDataFrame([(1, "t", "a", "Num")], LOCK)).orderBy("raw_id").collect()
+    assert [r.nums.get("a") for r in rows] == [5.0, 6.5, 7.0, None, None, None, 8.0]
+    assert [r.bools.get("b") for r in rows] == [True, False, True, None, None, None, True]
+    assert [r.uncast_json for r in rows[3:6]] == [{"a": "[1, 2]", "b": "[null]"}, {"a": "[[3]]", "b": '[{"c": 1}]'}, {"a": "[]", "b": '"n/a"'}]
+    assert all(sorted(r.uncast_json) == r.uncast for r in rows) and not any(r.vecs for r in rows)
+
+
 def test_drift_of_empty_tables(spark):
     lines, files, locked = (spark.createDataFrame([], s) for s in (LINES, FILES, LOCK))
     assert drift.changes(lines, files).count() == 0
