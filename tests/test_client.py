@@ -72,6 +72,30 @@ def test_stream(spark, tmp_path):
     assert EventStore.read(spark, str(tmp_path / "out")).count() == 3
 
 
+def test_stream_keeps_late_rows(spark, tmp_path):
+    """First deliveries far behind the newest event are written, and their repeats aren't, in later batches and after a restart."""
+    shape = "event_id string, event_type string, event_time timestamp_ntz, entities map<string,string>, experiment_id string, attrs struct<v: double>"
+    source = str(tmp_path / "in")
+
+    def deliver(*ids_days):
+        rows = [(i, "a", datetime(2024, 1, day), {"u": "x"}, None, (0.0,)) for i, day in ids_days]
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(source)
+        append_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), trigger_once=True).awaitTermination(120)
+        return sorted(r.event_id or "" for r in EventStore.read(spark, str(tmp_path / "out")).events.collect())
+
+    deliver(("a", 20))
+    deliver(("c", 21))
+    assert run() == ["a", "c"]
+    deliver(("b", 15), (None, 2))
+    deliver(("b", 15), ("a", 20), ("d", 1))
+    assert run() == ["", "a", "b", "c", "d"]
+    deliver(("d", 1), ("c", 21))
+    assert run() == ["", "a", "b", "c", "d"]
+
+
 T1 = "2023-05-17 12:00:00"
 # The calendar intervals of an observation on a Wednesday, and edges of months and years.
 BOUNDS = [
