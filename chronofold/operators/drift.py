@@ -2,7 +2,8 @@
 
 Each file's schema is fingerprinted (dotted path -> commonest type). Fingerprints of a feed's consecutive files give the
 migration steps: added, removed, retyped and renamed attributes. Steps are chained into rules that hold for a range of
-versions, (path -> canonical attribute, canonical type), and every line is routed through the rules of its file.
+versions, (path -> canonical attribute, canonical type), and every line is routed through the rules of its file. A version that
+lacks an attribute of its feed, as it is added later or was removed before, has a default rule for it.
 
 Defined cases: a line whose ``attrs`` are null, broken or no object gives no attributes but keeps its row, as does one without feed or file, which is in no comparison; null values and
 empty objects give no attribute; files without lines are left out; equally common types go by the order number, string,
@@ -201,13 +202,30 @@ def chain_rules(prints: pd.DataFrame, steps: pd.DataFrame, locked: dict[str, str
     return out
 
 
-def _rules_of_feed(pdf: pd.DataFrame) -> pd.DataFrame:
-    prints = pdf[pdf["what"] == "file"]
-    steps = pdf[pdf["what"] == "step"]
-    locked = {r.attr_path: STORE_TYPES.get(r.old_type, "string") for r in pdf[pdf["what"] == "lock"].itertuples()}
-    versions = dict(zip(prints["file_id"], prints["version"]))
-    rows = [(int(pdf["feed_id"].iloc[0]), int(file), int(versions[file]), [{"path": p, "name": a, "kind": b} for p, (a, b) in rules.items()]) for file, rules in chain_rules(prints, steps, locked)]
-    return pd.DataFrame(rows, columns=["feed_id", "file_id", "schema_version", "rules"])
+def default_rules(chained: list[tuple[int, dict[str, tuple[str, str]]]]) -> dict[int, dict[str, str]]:
+    """By file, the canonical attributes of the feed that its version lacks, with their types."""
+    whole = {name: kind_ for _, rules in chained for name, kind_ in rules.values()}
+    return {file: {n: k for n, k in whole.items() if n not in have} for file, have in ((f, {n for n, _ in rules.values()}) for f, rules in chained)}
+
+
+def _rules_of_feed(absent: dict[str, object] | None):
+    """``absent``: declared values by canonical attribute; None for no default rules."""
+
+    def book(pdf: pd.DataFrame) -> pd.DataFrame:
+        prints = pdf[pdf["what"] == "file"]
+        steps = pdf[pdf["what"] == "step"]
+        locked = {r.attr_path: STORE_TYPES.get(r.old_type, "string") for r in pdf[pdf["what"] == "lock"].itertuples()}
+        versions = dict(zip(prints["file_id"], prints["version"]))
+        chained = chain_rules(prints, steps, locked)
+        lacking = {} if absent is None else default_rules(chained)
+        rows = []
+        for file, rules in chained:
+            own = [{"path": p, "name": a, "kind": b, "value": None} for p, (a, b) in rules.items()]
+            own += [{"path": None, "name": a, "kind": b, "value": json.dumps(absent.get(a))} for a, b in lacking.get(file, {}).items()]
+            rows.append((int(pdf["feed_id"].iloc[0]), int(file), int(versions[file]), own))
+        return pd.DataFrame(rows, columns=["feed_id", "file_id", "schema_version", "rules"])
+
+    return book
 
 
 def cast(value: object, to: str) -> object:
@@ -249,13 +267,28 @@ _SLOT = {"number": "nums", "string": "strs", "boolean": "bools", "array": "vecs"
 def _router(defaults: dict[str, object]):
     by_slot = {slot: {n: cast(v, k) for n, v in defaults.items() if kind(v) == k} for k, slot in _SLOT.items()}
 
+    def read(rules: list[dict] | None) -> tuple[dict[str, tuple[str, str]], dict[str, dict]]:
+        start = {k: dict(v) for k, v in by_slot.items()}
+        by_path = {}
+        for r in rules or ():
+            if r["path"] is not None:
+                by_path[r["path"]] = (r["name"], r["kind"])
+            elif r["name"] not in start[_SLOT[r["kind"]]]:
+                value = json.loads(r["value"])
+                start[_SLOT[r["kind"]]][r["name"]] = None if value is None else cast(value, r["kind"])
+        return by_path, start
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells: dict[str, list] = {k: [] for k in _CELLS}
-            for text, rules in zip(batch.column("attrs").to_pylist(), batch.column("rules").to_pylist()):
-                row: dict[str, dict] = {k: dict(by_slot[k]) for k in by_slot}
+            of_file: dict[tuple, tuple] = {}  # a file's lines have the same rules
+            rules = batch.column("rules")
+            for i, (file, text) in enumerate(zip(zip(batch.column("feed_id").to_pylist(), batch.column("file_id").to_pylist()), batch.column("attrs").to_pylist())):
+                if file not in of_file:
+                    of_file[file] = read(rules[i].as_py())
+                by_path, start = of_file[file]
+                row: dict[str, dict] = {k: dict(v) for k, v in start.items()}
                 bad = {}
-                by_path = {r["path"]: (r["name"], r["kind"]) for r in rules} if rules else {}
                 for path, value in flatten(parse(text)).items():
                     name, to = by_path.get(path, (path, kind(value)))
                     done = cast(value, to)
@@ -273,11 +306,14 @@ def _router(defaults: dict[str, object]):
     return route
 
 
-def consistent(lines: DataFrame, files: DataFrame, locked: DataFrame, defaults: dict[str, object] | None = None) -> DataFrame:
+def consistent(
+    lines: DataFrame, files: DataFrame, locked: DataFrame, defaults: dict[str, object] | None = None, absent: dict[str, object] | None = None, others: tuple[str, ...] = ()
+) -> DataFrame:
     """Every line as one row of the consistent table: ``raw_id, feed_id, file_id, line_no, event_id, schema_version`` and the canonical
     attributes in ``nums``, ``strs``, ``bools`` and ``vecs`` by type, an attribute always in the same one within its feed; ``uncast`` lists
     the paths of stray values and ``uncast_json`` maps each to its value. ``locked``: feed_id, attr_name, attr_type. ``defaults``: values of canonical attributes that a line lacks; without
-    one a missing attribute is missing."""
+    one a missing attribute is missing. ``absent``: if given, lines get the attributes of their feed that their version lacks, with the declared
+    value, else an explicit null. ``others``: further columns of ``lines`` to keep as they are."""
     prints = fingerprints(lines, files)
     log = changes(lines, files)
     none = F.lit(None).cast("string")
@@ -287,10 +323,11 @@ def consistent(lines: DataFrame, files: DataFrame, locked: DataFrame, defaults:
         .unionByName(log.select("feed_id", "file_id", "seq", F.lit("step").alias("what"), "change_kind", "attr_path", "old_path", "old_type", no_map.alias("fields"), F.lit(0).alias("version")))
         .unionByName(locked.select("feed_id", F.lit(0).cast("bigint").alias("file_id"), F.lit(0).alias("seq"), F.lit("lock").alias("what"), none.alias("change_kind"), F.col("attr_name").alias("attr_path"), none.alias("old_path"), F.col("attr_type").alias("old_type"), no_map.alias("fields"), F.lit(0).alias("version")))
     )
-    rules = book.filter("feed_id is not null").groupBy("feed_id").applyInPandas(_rules_of_feed, "feed_id bigint, file_id bigint, schema_version int, rules array<struct<path:string,name:string,kind:string>>")
-    keep = lines.select("raw_id", "feed_id", "file_id", "line_no", "event_id", "attrs")
-    routed = keep.join(rules, ["feed_id", "file_id"], "left").select("feed_id", "file_id", "raw_id", "line_no", "event_id", "schema_version", "attrs", "rules")
+    rules = book.filter("feed_id is not null").groupBy("feed_id").applyInPandas(_rules_of_feed(absent), "feed_id bigint, file_id bigint, schema_version int, rules array<struct<path:string,name:string,kind:string,value:string>>")
+    keep = lines.select("raw_id", "feed_id", "file_id", "line_no", "event_id", *others, "attrs")
+    routed = keep.join(rules, ["feed_id", "file_id"], "left").select("feed_id", "file_id", "raw_id", "line_no", "event_id", *others, "schema_version", "attrs", "rules")
+    kept = "".join(f"`{c}` {lines.schema[c].dataType.simpleString()}, " for c in others)
     return routed.mapInArrow(
         _router(defaults or {}),
-        "feed_id bigint, file_id bigint, raw_id bigint, line_no int, event_id string, schema_version int, nums map<string,double>, strs map<string,string>, bools map<string,boolean>, vecs map<string,array<string>>, uncast array<string>, uncast_json map<string,string>",
+        f"feed_id bigint, file_id bigint, raw_id bigint, line_no int, event_id string, {kept}schema_version int, nums map<string,double>, strs map<string,string>, bools map<string,boolean>, vecs map<string,array<string>>, uncast array<string>, uncast_json map<string,string>",
     )

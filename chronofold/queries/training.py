@@ -20,7 +20,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent(table(spark, d, "raw_event"), table(spark, d, "event_file"), table(spark, d, "attribute_value_type"))
+    others = ("event_type", "event_time", "entities", "experiment_id")
+    return drift.consistent(table(spark, d, "raw_event"), table(spark, d, "event_file"), table(spark, d, "attribute_value_type"), absent={}, others=others)
 
 
 def _time_texts(spark: SparkSession, d: str) -> DataFrame:

@@ -113,6 +113,27 @@ def test_arrays_come_back_as_numbers(spark):
     assert all(sorted(r.uncast_json) == r.uncast for r in rows) and not any(r.vecs for r in rows)
 
 
+def test_default_rules_of_versions(spark):
+    """What a version lacks, by a later added or an earlier removed step, has its default; what only a line lacks stays missing."""
+    lines = [
+        (1, 1, 1, 1, "x", '{"a": 5, "t": "u"}', "E"),
+        (2, 1, 2, 1, "y", '{"aa": 6, "n": 1, "t": "v"}', "F"),
+        (3, 1, 2, 2, "x", '{"aa": 5}', None),
+        (4, 1, 3, 1, "z", '{"n": 2}', "G"),
+        (5, 2, 4, 1, "z", '{"q": true}', "H"),
+        (6, None, None, 1, "z", '{"q": true}', "I"),
+    ]
+    files = [(i, 1 + (i == 4), datetime(2024, 1, i), "f") for i in (1, 2, 3, 4)]
+    locked = [(1, "t", "a", "Num")]
+    data = [spark.createDataFrame(*x) for x in ((lines, LINES), (files, FILES), (locked, LOCK))]
+    rows = drift.consistent(*data, absent={}, others=("value",)).orderBy("raw_id").collect()
+    assert [r.nums for r in rows] == [{"a": 5.0, "n": None}, {"a": 6.0, "n": 1.0}, {"a": 5.0}, {"a": None, "n": 2.0}, {}, {}]
+    assert [r.strs for r in rows] == [{"t": "u"}, {"t": "v"}, {}, {"t": None}, {}, {}]
+    assert [r.value for r in rows] == ["E", "F", None, "G", "H", "I"] and rows[4].bools == {"q": True}
+    declared = drift.consistent(*data, absent={"n": 7, "t": "-"}).orderBy("raw_id").collect()
+    assert declared[0].nums == {"a": 5.0, "n": 7.0} and declared[2].nums == {"a": 5.0} and declared[3].strs == {"t": "-"} and declared[3].nums == {"a": None, "n": 2.0}
+
+
 def test_drift_of_empty_tables(spark):
     lines, files, locked = (spark.createDataFrame([], s) for s in (LINES, FILES, LOCK))
     assert drift.changes(lines, files).count() == 0
