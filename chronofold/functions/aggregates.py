@@ -1,4 +1,4 @@
-"""Aggregates of the query language as Spark aggregate columns, usable in a grouping and, where ``framed``, over a range frame.
+"""Aggregates of the query language as Spark aggregate columns, usable in a grouping, and, if they add up, as parts.
 
 ``Rows`` has what an aggregate needs of the scanned rows: ``use`` (does the row count for this feature), the time and a tiebreak. A value is
 null where the row isn't used, so that aggregates skip it; ``empty`` is the result without any row.
@@ -36,14 +36,13 @@ class Built:
     #: What it is where no row is used; a null column if None.
     empty: object = None
     type: T.DataType | None = None
-    #: Puts the aggregated column into its final form, after a frame or a grouping.
+    #: Puts the aggregated column into its final form, after a grouping.
     finish: Callable[[Column], Column] | None = None
 
 
 @dataclass(frozen=True)
 class Aggregate:
     build: Callable[..., Built]
-    framed: bool = True
     arity: int = 1
 
 
@@ -181,8 +180,8 @@ AGGREGATES: dict[str, Aggregate] = {
     "max": Aggregate(_extreme(F.max)),
     "avg": Aggregate(_numeric(F.avg)),
     "median": Aggregate(_numeric(lambda v: F.percentile(v, F.lit(0.5)))),
-    "var": Aggregate(_spread(F.var_samp), framed=False),
-    "stdev": Aggregate(_spread(F.stddev_samp), framed=False),
+    "var": Aggregate(_spread(F.var_samp)),
+    "stdev": Aggregate(_spread(F.stddev_samp)),
     "first": Aggregate(_at(F.min_by)),
     "last": Aggregate(_at(F.max_by)),
     "nth": Aggregate(_nth, arity=2),
@@ -193,12 +192,12 @@ AGGREGATES: dict[str, Aggregate] = {
     "values": Aggregate(_values),
     "argmax": Aggregate(_arg(False)),
     "argmin": Aggregate(_arg(True)),
-    "mode": Aggregate(lambda r, x: _same(x, F.mode(_used(r, x.col), True)), framed=False),
+    "mode": Aggregate(lambda r, x: _same(x, F.mode(_used(r, x.col), True))),
     "any": Aggregate(lambda r, x: Built(F.bool_or(_bool(r, x)), BOOL, False)),
     "all": Aggregate(lambda r, x: Built(F.bool_and(_bool(r, x)), BOOL, True)),
     "maxconsecutivetrue": Aggregate(_run),
     # beyond the ones a reference query can reach
-    "nunique": Aggregate(lambda r, x: Built(F.count_distinct(_used(r, x.col)), INT, 0), framed=False),
+    "nunique": Aggregate(lambda r, x: Built(F.count_distinct(_used(r, x.col)), INT, 0)),
     "kurtosis": Aggregate(_numeric(F.kurtosis)),
     "skewness": Aggregate(_numeric(F.skewness)),
     "hasduplicate": Aggregate(_twice(None)),
@@ -247,7 +246,7 @@ def _some(c: Column, value: Column) -> Column:
 
 
 AGGREGATES |= {
-    "stdevpct": Aggregate(lambda r, x: Built(F.struct(F.count(_used(r, x.num())).alias("n"), F.stddev_samp(_used(r, x.num())).alias("s"), F.avg(_used(r, x.num())).alias("m")), NUM, finish=lambda c: F.when(c["n"] == 1, F.lit(0.0)).otherwise(c["s"] / F.nullif(c["m"], F.lit(0.0)) * 100)), framed=False),
+    "stdevpct": Aggregate(lambda r, x: Built(F.struct(F.count(_used(r, x.num())).alias("n"), F.stddev_samp(_used(r, x.num())).alias("s"), F.avg(_used(r, x.num())).alias("m")), NUM, finish=lambda c: F.when(c["n"] == 1, F.lit(0.0)).otherwise(c["s"] / F.nullif(c["m"], F.lit(0.0)) * 100))),
     "medianabsdev": Aggregate(lambda r, x: Built(_sorted_values(r, x), NUM, finish=lambda c: _some(c, _deviation(c)))),
     "medianabsdevpct": Aggregate(lambda r, x: Built(_sorted_values(r, x), NUM, finish=lambda c: _some(c, _deviation(c) / F.nullif(_percentile(F.sort_array(c), 0.5), F.lit(0.0)) * 100))),
     "quartiles": Aggregate(lambda r, x: Built(_sorted_values(r, x), LIST, type=T.ArrayType(T.DoubleType()), finish=lambda c: _some(c, F.array(*(_percentile(F.sort_array(c), q) for q in (0.25, 0.5, 0.75)))))),
@@ -268,6 +267,49 @@ class Parts:
 
 
 COMBINE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "product": F.product, "min": F.min, "max": F.max, "or": F.bool_or, "and": F.bool_and}
+_BOTH: dict[str, Callable[[Column, Column], Column]] = {"sum": lambda a, b: a + b, "product": lambda a, b: a * b, "or": lambda a, b: a | b, "and": lambda a, b: a & b}
+
+
+def gather(op: str, x: Column, over: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Aggregates a part of rows. Moments are count, mean and sum of squared distances from it, which no subtraction spoils."""
+    if op != "moments":
+        return over(COMBINE[op](x))
+    n = over(F.count(x))
+    return F.when(n > 0, F.struct(n.cast("double").alias("n"), over(F.avg(x)).alias("m"), (over(F.var_pop(x)) * n).alias("q")))
+
+
+def addends(op: str, x: Column, anchor: Column | None) -> dict[str, tuple[Column, str]]:
+    """A gathered part as columns that built-in aggregates combine; moments are taken around an anchor that is near the values."""
+    if op != "moments":
+        return {"": (x, op)}
+    d = x["m"] - anchor
+    return {"n": (x["n"], "sum"), "s": (x["n"] * d, "sum"), "q": (x["q"] + x["n"] * d * d, "sum"), "a": (anchor, "max")}
+
+
+def added(op: str, found: dict[str, Column], head: str) -> Column:
+    """The gathered part of combined ``addends``, named ``head_NAME``."""
+    if op != "moments":
+        return found[f"{head}_"]
+    n, s, q, a = (found[f"{head}_{k}"] for k in "nsqa")
+    return F.when(n > 0, F.struct(n.alias("n"), (a + s / n).alias("m"), F.greatest(q - s * s / n, F.lit(0.0)).alias("q")))
+
+
+def merged(op: str, parts: list[Column]) -> Column:
+    """Gathered parts of separate rows as one; null ones are of no row."""
+    if len(parts) == 1:
+        return parts[0]
+    if op in ("min", "max"):
+        return (F.least if op == "min" else F.greatest)(*parts)
+    out = parts[0]
+    for b in parts[1:]:
+        a = out
+        if op == "moments":
+            n, d = a["n"] + b["n"], b["m"] - a["m"]
+            both = F.struct(n.alias("n"), (a["m"] + d * b["n"] / n).alias("m"), (a["q"] + b["q"] + d * d * a["n"] * b["n"] / n).alias("q"))
+            out = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
+        else:
+            out = F.coalesce(_BOTH[op](a, b), a, b)
+    return out
 
 
 def _one(op: str, kind: str, value: Callable[[Rows, Typed], Column], empty: object = None) -> Callable[[Rows, Typed], Parts]:
@@ -321,7 +363,14 @@ def _time_parts(op: str) -> Callable[[Rows, Typed], Parts]:
     return _one(op, TIME, lambda r, x: F.when(_bool(r, x), r.time))
 
 
+def _moment_parts(total: Callable[[Column], Column]) -> Callable[[Rows, Typed], Parts]:
+    return lambda r, x: Parts(((_number(r, x), "moments"),), lambda s: F.when(s["n"] == 1, F.lit(0.0)).otherwise(total(s)), NUM)
+
+
 PARTS: dict[str, Callable[[Rows, Typed], Parts | None]] = {
+    "var": _moment_parts(lambda s: s["q"] / (s["n"] - 1)),
+    "stdev": _moment_parts(lambda s: F.sqrt(s["q"] / (s["n"] - 1))),
+    "stdevpct": _moment_parts(lambda s: F.sqrt(s["q"] / (s["n"] - 1)) / F.nullif(s["m"], F.lit(0.0)) * 100),
     "count": lambda r, x: Parts(((F.when(r.use & (F.lit(True) if x is None else x.col.isNotNull()), F.lit(1)), "sum"),), lambda a: a.cast("bigint"), INT, 0),
     "sum": _one("sum", NUM, _number),
     "product": _one("product", NUM, _number),

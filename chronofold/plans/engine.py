@@ -2,20 +2,19 @@
 
 Aggregates are computed in rounds, each round's as soon as the variables they read are known, by one of two plans:
 
-* frame: events and observations of an entity are put in one sequence and aggregated over a range frame. Sequences are cut into chunks of
-  time, so that a hot entity spreads: for intervals of fixed length, events that reach over a border are repeated; for the whole past or
-  future, each chunk carries in what the chunks on that side add up to, if the aggregate has parts that add up. (Medians, ordered lists and
-  runs over the whole past don't, and take an entity's events in one sequence.) Nothing is joined.
+* blocks: aggregates that add up, over any interval but ``between``. See ``blocks``; linear in the events, whatever the intervals. Global events are
+  a sequence of their own whose sums are added to every entity's, and all events without link by entity are one sequence.
 * join: observations are joined to their events by entity within the hull of the round's intervals, and aggregated per observation. For
-  calendar and bounded intervals, conditions on the observation, grouping, extremes, several entities, global events and all-event scope.
-  Entities with very many events are split over salts.
+  ordered lists, medians, conditions on the observation, grouping and extremes. Intervals of fixed length are joined by stretches of time,
+  else entities with very many events are split over salts.
 
-Where no entity links the two sides, they are joined by time buckets.
+Where no entity links the two sides of a join, they are joined by time buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +27,7 @@ from chronofold.fql.lexer import QueryError
 from chronofold.functions import aggregates
 from chronofold.functions.aggregates import Built, Rows
 from chronofold.functions.typed import MAP, Typed
-from chronofold.plans import intervals
+from chronofold.plans import blocks, intervals
 from chronofold.plans.binder import Binder, group_key, narrow, uses_event, uses_observation
 from chronofold.plans.observations import Observations
 from chronofold.sources.store import EventStore
@@ -36,13 +35,12 @@ from chronofold.sources.store import EventStore
 RELATED, ALL = "related", "all"
 _EVENT = ["event_id", "event_type", "event_time", "entities", "attrs"]
 _KEY = ["o_key", "o_us"]
-#: Chunks of frame plans are at least this long.
-LEAST_CHUNK_US = 86_400_000_000
-#: Length of the chunks that carry in sums of the whole past or future.
-CARRY_CHUNK_US = 7 * 86_400_000_000
-#: An entity with more events is split in joins into parts of about so many; at most so many entities are, the largest first. Tables below the
-#: size can't have such an entity.
-HOT_ROWS, MOST_HOT, HOT_BYTES = 2_000_000, 10_000, 64_000_000
+#: Events of an entity are split in joins into parts of about so many; so at most one entity of so many rows is, and the list of them fits every task.
+HOT_ROWS = 2_000_000
+#: Joins by stretches of time have stretches of at least this length.
+LEAST_STRETCH_US = 86_400_000_000
+#: Parts that results of all entities' events are repeated in, since many observations may have one time.
+TIME_SALTS = 8
 #: Time buckets that the span of the events is cut into for joins without a key.
 BUCKETS = 512
 
@@ -59,7 +57,9 @@ class _Agg:
 class _State:
     rows: DataFrame
     binder: Binder
-    single: tuple[str, ...] | None
+    observations: Observations
+    #: The observations before anything is computed for them.
+    asked: DataFrame
     aggs: dict[str, _Agg] = field(default_factory=dict)
 
 
@@ -112,7 +112,8 @@ class Engine:
         self.inclusive, self.scope, self.experiment = include_events_on_obs_date, scope, experiment_id
         attrs = self.store.events.schema["attrs"].dataType
         self.attrs = attrs if isinstance(attrs, T.StructType) else T.StructType([])
-        state = _State(self._observations(observations, features), Binder(self.attrs), observations.single)
+        asked = self._observations(observations, features)
+        state = _State(asked, Binder(self.attrs), observations, asked)
         done: set[int] = set()
         ordered = variable_order(features)
         variables = {f.name for f in features if f.variable}
@@ -192,17 +193,13 @@ class Engine:
         todo = [_Agg(n, f"a_{len(state.binder.aggregates) + i}") for i, n in enumerate(self._pending(state, features, variables))]
         for a in todo:
             self._check(a.node)
-        framed = [a for a in todo if self._framed(state, a.node)]
-        joined = [a for a in todo if a not in framed]
-        bounded = [a for a in framed if isinstance(a.node.interval, N.Span)]
-        whole = [a for a in framed if a not in bounded]
-        carried = [a for a in whole if a.node.name in aggregates.PARTS and self._parts(state, a.node, self._rows(F.lit(True))) is not None]
-        for plan, group in ((self._frames, bounded), (self._carried, carried), (self._frames, [a for a in whole if a not in carried])):
-            if group:
-                plan(state, group)
+        summed = [a for a in todo if self._summed(state, a.node)]
+        if summed:
+            self._blocks(state, summed)
         by_link: dict[tuple, list[_Agg]] = {}
-        for a in joined:
-            by_link.setdefault(self._link(a.node), []).append(a)
+        for a in todo:
+            if a not in summed:
+                by_link.setdefault(self._link(a.node), []).append(a)
         for link, group in by_link.items():
             self._joins(state, group, link)
         for a in todo:
@@ -216,17 +213,15 @@ class Engine:
         if node.having is not None and node.group_by is not None:
             raise QueryError("GROUP BY and HAVING can't be combined")
 
-    def _framed(self, state: _State, node: N.Agg) -> bool:
+    def _summed(self, state: _State, node: N.Agg) -> bool:
         inside = [*node.args, *([node.where] if node.where else [])]
         return (
-            self.scope == RELATED
-            and state.single is not None
-            and aggregates.find(node.name).framed
-            and intervals.frame(node.interval, self.inclusive) is not None
+            node.name in aggregates.PARTS
+            and isinstance(node.interval, (N.Whole, N.Span, N.Calendar))
             and node.group_by is None
             and node.having is None
             and not any(uses_observation(x) for x in inside)
-            and not self.store.has_global()
+            and self._parts(state, node, self._rows(F.lit(True))) is not None
         )
 
     def _events(self, nodes: list[N.Agg]) -> DataFrame:
@@ -264,128 +259,86 @@ class Engine:
         star = node.name == "count" and isinstance(node.args[0], N.Star)
         return aggregates.PARTS[node.name](rows, None if star else state.binder.bind(node.args[0], True))
 
-    @staticmethod
-    def _each(events: DataFrame, single: tuple[str, ...] | None, *columns: str) -> DataFrame:
-        """The events by ``key``, once for each of their entities of the types of ``single``, or of any type."""
-        each = events.select(F.explode("e_entities").alias("t", "i"), *columns).filter("i is not null")
-        if single:
-            each = each.filter(F.col("t").isin(*single))
-        return each.select(F.concat_ws("\x01", "t", "i").alias("key"), *columns)
-
-    # frame plans
-
-    def _carried(self, state: _State, aggs: list[_Agg]) -> None:
-        """Aggregates over the whole past or future, in chunks that carry in what the chunks before and after them add up to."""
+    def _keyed(self, events: DataFrame, state: _State, *columns: str) -> DataFrame:
+        """The events by ``key``, once for each observed set of entity types of which they have all entities."""
+        o = state.observations
+        if o.single is not None:
+            each = events.select(F.explode("e_entities").alias("t", "i"), *columns).filter("i is not null")
+            if o.single:
+                each = each.filter(F.col("t").isin(*o.single))
+            return each.select(F.concat_ws("\x01", "t", "i").alias("key"), *columns)
+        if o.together:
+            sets = F.array(F.array(*(F.lit(t) for t in sorted(o.together))))
+        else:  # the sets of entity types that occur, as a subquery
+            sets = state.asked.filter(F.size("o_entities") > 0).agg(F.collect_set(F.array_sort(F.map_keys("o_entities")))).scalar()
+        each = events.select("e_entities", F.explode(sets).alias("s"), *columns).filter(F.forall("s", lambda t: F.try_element_at(F.col("e_entities"), t).isNotNull()))
+        return each.select(canonical_key(F.map_filter("e_entities", lambda k, _: F.array_contains("s", k))).alias("key"), *columns)
+
+    # block plan
+
+    def _blocks(self, state: _State, aggs: list[_Agg]) -> None:
         events = self._events([a.node for a in aggs])
         columns: dict[str, tuple[str, Column, str]] = {}
-        found: list[tuple[_Agg, aggregates.Parts, list[str]]] = []
+        found: dict[str, tuple[aggregates.Parts, list[str]]] = {}
         for a in aggs:
             p = self._parts(state, a.node, self._rows(self._use(state, a.node)))
             names = []
             for k, (value, op) in enumerate(p.values):
-                text = f"{a.node.name} {k} {a.node.args!r} {a.node.source!r} {a.node.where!r}"
+                text = f"{op} {value._jc.toString()}"
                 name = next((n for n, (t, _, _) in columns.items() if t == text), None)
                 if name is None:
                     name = f"p{len(columns)}"
                     columns[name] = (text, value, op)
                 names.append(name)
-            found.append((a, p, names))
-        at = F.floor(F.col("us") / F.lit(CARRY_CHUNK_US))
-        o_type = state.rows.select(F.struct(*state.rows.columns).alias("o")).schema["o"].dataType
-        no_o = F.lit(None).cast(o_type).alias("o")
-        ready = events.select("e_entities", F.col("e_us").alias("us"), *(v.alias(n) for n, (_, v, _) in columns.items()))
-        rows = self._each(ready, state.single, "us", *columns).withColumn("chunk", at)
-        types = {n: rows.schema[n].dataType for n in columns}
-        empty = [F.lit(None).cast(types[n]).alias(n) for n in columns]
-        obs = state.rows.select(F.col("o_key").alias("key"), F.col("o_us").alias("us"), *empty, F.struct(*state.rows.columns).alias("o")).withColumn("chunk", at)
-        combined = [aggregates.COMBINE[op](n).cast(types[n]).alias(n) for n, (_, _, op) in columns.items()]
-        sums = rows.groupBy("key", "chunk").agg(*combined).withColumn("asked", F.lit(False))
-        marks = obs.select("key", "chunk").distinct().select("key", "chunk", *empty, F.lit(True).alias("asked"))
-        steps = sums.unionByName(marks).groupBy("key", "chunk").agg(*combined, F.bool_or("asked").alias("asked"))
-        order = Window.partitionBy("key").orderBy("chunk")
-        sides = {}
-        if any(a.node.interval.past for a in aggs):
-            sides[-(2**62)] = order.rowsBetween(Window.unboundedPreceding, -1)
-        if any(not a.node.interval.past for a in aggs):
-            sides[2**62] = order.rowsBetween(1, Window.unboundedFollowing)
-        over = steps.select("key", "chunk", "asked", *(aggregates.COMBINE[op](n).over(w).cast(types[n]).alias(f"{n}_{i}") for i, w in enumerate(sides.values()) for n, (_, _, op) in columns.items())).filter("asked")
-        ends = F.explode(F.array(*(F.struct(F.lit(us).cast("bigint").alias("us"), *(F.col(f"{n}_{i}").alias(n) for n in columns)) for i, us in enumerate(sides))))
-        carry = over.select("key", "chunk", ends.alias("x")).select("key", "chunk", "x.*", no_o)
-        both = rows.select("key", "chunk", "us", *columns, no_o).unionByName(carry).unionByName(obs)
-        by_chunk = Window.partitionBy("key", "chunk").orderBy("us")
-        out = {}
-        for a, _, names in found:
-            low, high = intervals.frame(a.node.interval, self.inclusive)
-            w = by_chunk.rangeBetween(Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high)
-            for k, n in enumerate(names):
-                out[f"{a.column}_{k}"] = aggregates.COMBINE[columns[n][2]](n).over(w)
-        done = both.select("o", *(c.alias(n) for n, c in out.items())).filter("o is not null")
+            found[a.column] = (p, names)
+        # with the observation's own time, low < t <= high is low <= t - 1 < high
+        us = F.col("e_us") - 1 if self.inclusive else F.col("e_us")
+        ready = events.select("e_entities", us.alias("us"), *(v.alias(n) for n, (_, v, _) in columns.items()))
+        links = []
+        if self.scope == RELATED:
+            links.append(("e", self._keyed(ready, state, "us", *columns), False))
+            if self.store.has_global():
+                links.append(("g", ready.filter(F.size("e_entities") == 0), True))
+        else:
+            links.append(("g", ready.filter(F.size("e_entities") > 0), True))
+        pieces: dict[str, list[list[Column]]] = {a.column: [[] for _ in found[a.column][1]] for a in aggs}
+        for i, (block, own) in enumerate(blocks.groups(list(dict.fromkeys(a.node.interval for a in aggs)))):
+            mine = [a for a in aggs if a.node.interval in own]
+            wanted: dict[str, list[N.Interval]] = {}
+            for a in mine:
+                for n in found[a.column][1]:
+                    if a.node.interval not in wanted.setdefault(n, []):
+                        wanted[n].append(a.node.interval)
+            parts = {n: columns[n][2] for n in columns if n in wanted}
+            for what, rows, whole in links:
+                if whole:
+                    length = next(n for n in range(min(block, blocks.MINUTE_US), 0, -1) if block % n == 0)
+                    rows = rows.withColumn("key", F.lit(""))
+                    asks = state.asked.select(F.lit("").alias("key"), "o_us").distinct()
+                    result, terms = blocks.terms(rows, asks, wanted, parts, length, True)
+                    result = result.drop("key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TIME_SALTS - 1))))
+                else:
+                    asks = state.rows.select(F.col("o_key").alias("key"), "o_us", F.struct(*state.rows.columns).alias("o"))
+                    result, terms = blocks.terms(rows, asks, wanted, parts, block, False)
+                    result = result.drop("key", "o_us")
+                named = {c: f"{what}{i}_{c}" for c in result.columns if c not in ("o", "o_us", "salt")}
+                result = result.withColumnsRenamed(named)
+                if whole:
+                    salted = state.rows.withColumn("salt", F.pmod(F.xxhash64("o_key"), F.lit(TIME_SALTS)).cast("int"))
+                    state.rows = salted.join(result, ["o_us", "salt"], "left").drop("salt")
+                else:
+                    state.rows = result.select("o.*", *named.values())
+                for a in mine:
+                    for k, n in enumerate(found[a.column][1]):
+                        pieces[a.column][k] += [F.col(named[c]) for c in terms[n, a.node.interval]]
         final = {}
-        for a, p, names in found:
-            total = p.total(*(F.col(f"{a.column}_{k}") for k in range(len(names))))
+        for a in aggs:
+            p, names = found[a.column]
+            total = p.total(*(aggregates.merged(columns[n][2], x) for n, x in zip(names, pieces[a.column])))
             final[a.column] = total if p.empty is None else F.coalesce(total, F.lit(p.empty))
             a.result = Typed(F.col(a.column), p.kind, p.type)
-        state.rows = done.select("o.*", *(c.alias(n) for n, c in final.items()))
-
-    def _frames(self, state: _State, aggs: list[_Agg]) -> None:
-        events = self._events([a.node for a in aggs])
-        # what aggregates read is computed before the shuffle, each expression once
-        inputs: dict[str, Column] = {}
-
-        def carried(c: Column, text: str) -> Column:
-            name = next((n for n, x in named.items() if x == text), None)
-            if name is None:
-                name = f"x{len(named)}"
-                named[name] = text
-                inputs[name] = c
-            return F.col(name)
-
-        named: dict[str, str] = {}
-        built: list[tuple[_Agg, Built]] = []
-        for a in aggs:
-            use = carried(self._use(state, a.node), f"use {a.node.source!r} {a.node.where!r}")
-            rows = Rows(use, F.col("us"), F.col("at"), F.col("tie"))
-            found = aggregates.find(a.node.name)
-            star = a.node.name == "count" and isinstance(a.node.args[0], N.Star)
-            if star:
-                built.append((a, found.build(rows, None)))
-                continue
-            value = state.binder.bind(a.node.args[0], True)
-            arg = Typed(carried(value.col, f"arg {a.node.args[0]!r}"), value.kind, value.type)
-            extra = (a.node.args[1].value if isinstance(a.node.args[1], N.Lit) else None,) if found.arity == 2 else ()
-            built.append((a, found.build(rows, arg, *extra)))
-        chunk = None
-        if all(isinstance(a.node.interval, N.Span) for a in aggs):
-            chunk = max(LEAST_CHUNK_US, *(a.node.interval.micros for a in aggs)) + 1
-        o_type = state.rows.select(F.struct(*state.rows.columns).alias("o")).schema["o"].dataType
-        rows = self._rows(F.lit(True))
-        ready = events.select("e_entities", F.col("e_us").alias("us"), rows.time.alias("at"), rows.tie.alias("tie"), *(c.alias(n) for n, c in inputs.items()))
-        left = self._each(ready, state.single, "us", "at", "tie", *inputs).withColumn("o", F.lit(None).cast(o_type))
-        types = {f.name: f.dataType for f in left.schema.fields}
-        right = state.rows.select(F.col("o_key").alias("key"), F.col("o_us").alias("us"), F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(None).cast("string").alias("tie"), F.struct(*state.rows.columns).alias("o"), *((F.lit(False) if types[n] == T.BooleanType() and named[n].startswith("use ") else F.lit(None).cast(types[n])).alias(n) for n in inputs))
-        by = ["key"]
-        if chunk:
-            # an event also goes into the chunks that its frames reach
-            back = any(a.node.interval.past for a in aggs)
-            ahead = any(not a.node.interval.past for a in aggs)
-            most = max(a.node.interval.micros for a in aggs)
-            at = lambda c: F.floor(c / F.lit(chunk))
-            low = at(F.col("us") - most) if ahead else at(F.col("us"))
-            high = at(F.col("us") + most) if back else at(F.col("us"))
-            left = left.withColumn("chunk", F.explode(F.sequence(low, high)))
-            right = right.withColumn("chunk", at(F.col("us")))
-            by.append("chunk")
-        both = left.unionByName(right)
-        order = Window.partitionBy(*by).orderBy("us")
-        out = {}
-        for a, b in built:
-            low, high = intervals.frame(a.node.interval, self.inclusive)
-            frame = order.rangeBetween(Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high)
-            out[a.column] = b.over.over(frame)
-        rows_ = both.select("o", *(c.alias(n) for n, c in out.items())).filter("o is not null")
-        for a, b in built:
-            a.result = Typed(F.col(a.column), b.kind, b.type)
-        state.rows = rows_.select("o.*", *(aggregates.finished(b, F.col(a.column)).alias(a.column) for a, b in built))
+        used = [c for c in state.rows.columns if re.match(r"[eg]\d+_", c)]
+        state.rows = state.rows.withColumns(final).drop(*used)
 
     # join plan
 
@@ -405,7 +358,11 @@ class Engine:
         obs = obs.withColumns({"o_low": _hull([x for x, _ in limits.values()], F.least, -(2**62)), "o_high": _hull([x for _, x in limits.values()], F.greatest, 2**62)})
         events = self._events([a.node for a in aggs])
         near = (F.col("e_us") > F.col("o_low")) & (F.col("e_us") <= F.col("o_high")) if self.inclusive else (F.col("e_us") >= F.col("o_low")) & (F.col("e_us") < F.col("o_high"))
-        pairs = self._pairs(obs, events, near, link, state.single)
+        spans = [a.node.interval for a in aggs]
+        hull = None
+        if all(isinstance(i, N.Span) for i in spans):
+            hull = (-max((i.micros for i in spans if i.past), default=0), max((i.micros for i in spans if not i.past), default=0))
+        pairs = self._pairs(obs, events, near, link, state, hull)
         extremes = {}
         for a in aggs:
             use = self._use(state, a.node) & intervals.inside(F.col("e_us"), *limits[a.column], self.inclusive)
@@ -456,49 +413,47 @@ class Engine:
                 a.result = Typed(F.col(a.column), MAP, t)
         state.rows = rows.withColumns(final)
 
-    def _pairs(self, obs: DataFrame, events: DataFrame, near: Column, link: tuple, single: tuple[str, ...] | None) -> DataFrame:
+    def _pairs(self, obs: DataFrame, events: DataFrame, near: Column, link: tuple, state: _State, hull: tuple[int, int] | None) -> DataFrame:
         if link[0] == "equal":
             ek = F.try_element_at(F.col("e_entities"), F.lit(link[1]))
             ok = F.try_element_at(F.col("o_entities"), F.lit(link[2]))
             keyed = events.filter(F.size("e_entities") > 0).select("e", "e_us", ek.alias("k")).filter("k is not null")
-            return self._by_key(obs.withColumn("j", ok), keyed, near)
+            return self._by_key(obs.withColumn("j", ok), keyed, near, hull)
         has_entities = F.size("e_entities") > 0
         if link[0] == "time":
             return self._by_time(obs, events.filter(has_entities).select("e", "e_us"), near)
-        each = self._each(events, single, "e", "e_us").withColumnRenamed("key", "k")
-        first = F.try_element_at(F.split(F.col("o_key"), "\x02"), F.lit(1))
-        match = near
-        if single is None:
-            of_event = F.col("e").getField("entities")
-            match = match & F.forall(F.map_entries("o_entities"), lambda p: F.coalesce(F.try_element_at(of_event, p["key"]) == p["value"], F.lit(False)))
-            pairs = self._by_key(obs.filter(F.size("o_entities") > 0).withColumn("j", first), each, match)
-        else:
-            pairs = self._by_key(obs.withColumn("j", F.col("o_key")), each, match)
+        each = self._keyed(events, state, "e", "e_us").withColumnRenamed("key", "k")
+        pairs = self._by_key(obs.withColumn("j", F.col("o_key")), each, near, hull)
         if self.store.has_global():
             pairs = pairs.unionByName(self._by_time(obs, events.filter(~has_entities).select("e", "e_us"), near))
         return pairs
 
-    def _by_key(self, obs: DataFrame, events: DataFrame, match: Column) -> DataFrame:
-        """Joins ``j`` of observations to ``k`` of events. The events of a hot key are split over salts, its observations repeated for each."""
-        size = int(str(self.store.events._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if size < HOT_BYTES:
-            return obs.join(events, (F.col("j") == F.col("k")) & match).drop("j", "k")
-        counts = events.groupBy("k").count().filter(F.col("count") > HOT_ROWS).orderBy(F.desc("count")).limit(MOST_HOT)
-        parts = F.ceil(F.col("count") / F.lit(HOT_ROWS)).cast("int")
-        hot = self.store.spark.createDataFrame([(r["k"], r["n"]) for r in counts.select("k", parts.alias("n")).collect()], "h string, n int")
-        hot = F.broadcast(hot)  # MOST_HOT rows at most
-        salt = F.coalesce(F.pmod(F.xxhash64("e_us", F.col("e").getField("event_id")), F.col("n")), F.lit(0)).cast("int")
-        left = obs.join(hot, F.col("j") == F.col("h"), "left").withColumn("js", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n") - 1, F.lit(0))))).drop("h", "n")
-        right = events.join(hot, F.col("k") == F.col("h"), "left").withColumn("ks", salt).drop("h", "n")
+    @staticmethod
+    def _by_key(obs: DataFrame, events: DataFrame, match: Column, hull: tuple[int, int] | None) -> DataFrame:
+        """Joins ``j`` of observations to ``k`` of events, within stretches of time at least as long as the hull, or with the events of a hot key split
+        over salts and its observations repeated for each."""
+        if hull:
+            length = F.lit(max(LEAST_STRETCH_US, hull[1] - hull[0])).cast("bigint")
+            at = lambda us: F.floor(us / length)
+            left = obs.withColumn("js", F.explode(F.sequence(at(F.col("o_us") + hull[0]), at(F.col("o_us") + hull[1]))))
+            right = events.withColumn("ks", at(F.col("e_us")))
+        else:
+            counts = events.groupBy("k").count().filter(F.col("count") > HOT_ROWS)
+            # a row for HOT_ROWS events at least
+            hot = F.broadcast(counts.select(F.col("k").alias("h"), F.ceil(F.col("count") / F.lit(HOT_ROWS)).cast("int").alias("n")))
+            salt = F.coalesce(F.pmod(F.xxhash64("e_us", F.col("e").getField("event_id")), F.col("n")), F.lit(0)).cast("int")
+            left = obs.join(hot, F.col("j") == F.col("h"), "left").withColumn("js", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n") - 1, F.lit(0))))).drop("h", "n")
+            right = events.join(hot, F.col("k") == F.col("h"), "left").withColumn("ks", salt).drop("h", "n")
         return left.join(right, (F.col("j") == F.col("k")) & (F.col("js") == F.col("ks")) & match).drop("j", "k", "js", "ks")
 
-    def _by_time(self, obs: DataFrame, events: DataFrame, near: Column) -> DataFrame:
+    @staticmethod
+    def _by_time(obs: DataFrame, events: DataFrame, near: Column) -> DataFrame:
         """Joins by buckets of time: an observation goes into each bucket that its interval meets, an event into its own."""
-        span = events.agg(F.min("e_us").alias("lo"), F.max("e_us").alias("hi")).first()
-        lo, hi = (0, 0) if span is None or span["lo"] is None else (span["lo"], span["hi"])
-        width = max((hi - lo) // BUCKETS, 1) + 1
-        at = lambda c: F.floor((c - lo) / F.lit(width))
-        low, high = F.greatest(F.col("o_low"), F.lit(lo)), F.least(F.col("o_high"), F.lit(hi))
+        span = events.agg(F.struct(F.min("e_us").alias("lo"), F.max("e_us").alias("hi"))).scalar()
+        lo, hi = F.coalesce(span["lo"], F.lit(0)), F.coalesce(span["hi"], F.lit(0))
+        width = F.greatest(F.floor((hi - lo) / F.lit(BUCKETS)), F.lit(1)) + 1
+        at = lambda c: F.floor((c - lo) / width)
+        low, high = F.greatest(F.col("o_low"), lo), F.least(F.col("o_high"), hi)
         spread = obs.filter(low <= high).withColumn("j", F.explode(F.sequence(at(low), at(high))))
         return spread.join(events.withColumn("k", at(F.col("e_us"))), (F.col("j") == F.col("k")) & near).drop("j", "k")
 

@@ -87,6 +87,18 @@ _CALENDAR: dict[str, Callable[[Column], tuple[Column, Column]]] = {
 _TO_DATE = {"ytd": "year", "mtd": "month", "wtd": "week"}
 
 
+def to_date(keyword: str) -> bool:
+    """Does the interval end with the observation?"""
+    return keyword in _TO_DATE
+
+
+def unit_of(keyword: str) -> str:
+    """The calendar unit whose start is the start of the interval, and in one of which the interval lies."""
+    if unit := _TO_DATE.get(keyword):
+        return unit
+    return next((u for u in ("week", "month", "quarter", "year") if keyword in (f"last{u}", f"next{u}")), "day")
+
+
 def _bound(x: Typed, high: bool) -> Column | None:
     """A date is its first or last second; texts and nulls are open."""
     if x.kind == DATE:
@@ -121,13 +133,3 @@ def inside(us: Column, low: Column | None, high: Column | None, inclusive: bool)
     if high is not None:
         out = out & (F.coalesce(us <= high, F.lit(True)) if inclusive else F.coalesce(us < high, F.lit(True)))
     return out
-
-
-def frame(interval: Interval, inclusive: bool) -> tuple[int | None, int | None] | None:
-    """The range frame around the observation's time, None for an open side, if the interval has one."""
-    if isinstance(interval, Whole):
-        return (None, 0 if inclusive else -1) if interval.past else (1 if inclusive else 0, None)
-    if isinstance(interval, Span):
-        n = interval.micros
-        return ((1 - n, 0) if inclusive else (-n, -1)) if interval.past else ((1, n) if inclusive else (0, n - 1))
-    return None

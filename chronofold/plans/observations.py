@@ -25,6 +25,8 @@ class Observations:
     #: Every observation has one entity, of one of these types, or of any if empty; None if observations may have several.
     single: tuple[str, ...] | None = None
     has_event: bool = False
+    #: Every observation has one entity of each of these types, if known.
+    together: tuple[str, ...] | None = None
 
 
 _UNIT = {"millisecond": "milliseconds", "second": "seconds", "minute": "minutes", "hour": "hours", "day": "days", "week": "weeks"}
@@ -51,9 +53,8 @@ def every(store: EventStore, nth: int, unit: str, entity_types: Iterable[str] |
         each = each.filter(F.col("t").isin(*types))
     span = each.groupBy("t", "i").agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi"))
     if store.has_global():
-        g = base.filter(F.size("entities") == 0).agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).first()
-        at = lambda x: F.lit(x).cast("timestamp_ntz")
-        span = span.select("t", "i", F.least("lo", at(g["lo"])).alias("lo"), F.greatest("hi", at(g["hi"])).alias("hi"))
+        g = base.filter(F.size("entities") == 0).agg(F.struct(F.min("event_time").alias("lo"), F.max("event_time").alias("hi"))).scalar()
+        span = span.select("t", "i", F.least("lo", g["lo"]).alias("lo"), F.greatest("hi", g["hi"]).alias("hi"))
     lo, hi = F.col("lo") - F.expr("interval 1 millisecond"), F.col("hi") + F.expr("interval 1 millisecond")
     steps = F.array_distinct(F.array_append(F.sequence(lo, hi, F.expr(f"interval {nth} {_UNIT[unit]}")), hi))
     return Observations(span.select(_of_entity("t", "i").alias("entities"), F.explode(steps).alias("obs_dt"), _none()), types or ())
@@ -77,8 +78,8 @@ def listed(store: EventStore, rows: list[tuple[dict[str, str], datetime, str | N
     return Observations(store.spark.createDataFrame([(e, d, i) for e, d, i in rows], shape), single)
 
 
-def _from_events(events: DataFrame) -> Observations:
-    return Observations(events.filter("event_time is not null").select("entities", F.col("event_time").alias("obs_dt"), "event_id", F.struct(*_EVENT).alias("ctx")), None, True)
+def _from_events(events: DataFrame, together: tuple[str, ...] | None = None) -> Observations:
+    return Observations(events.filter("event_time is not null").select("entities", F.col("event_time").alias("obs_dt"), "event_id", F.struct(*_EVENT).alias("ctx")), None, True, together)
 
 
 def all_events(store: EventStore) -> Observations:
@@ -89,7 +90,7 @@ def all_events(store: EventStore) -> Observations:
 def events_by_entity(store: EventStore, entity_types: Iterable[str]) -> Observations:
     """Events with exactly these entity types."""
     want = F.array(*(F.lit(t) for t in sorted(set(entity_types))))
-    return _from_events(store.events.filter("event_id is not null").filter(F.array_sort(F.map_keys("entities")) == want))
+    return _from_events(store.events.filter("event_id is not null").filter(F.array_sort(F.map_keys("entities")) == want), tuple(sorted(set(entity_types))))
 
 
 def conditional(store: EventStore, condition: str) -> Observations:

@@ -1,8 +1,10 @@
 """Golden results on small fixtures."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronofold.fql import QueryError
 from chronofold.plans import engine
@@ -101,21 +103,24 @@ def test_golden(six, text, want, scope):
         assert one(six, text, scope) == want
 
 
-FRAMED = ["count(*)", "count(temp)", "sum(temp)", "product(temp)", "min(temp)", "max(type)", "avg(pressure)", "median(pressure)", "first(type)", "last(temp)", "nth(temp, 1)", "values(type)", "argmax(pressure)", "argmin(pressure)", "any(is_overcast)", "all(is_overcast)", "max_consecutive_true(is_overcast)", "time_of_last(is_overcast)", "time_of_first(temp > 2)", "root_mean_square(temp)", "abs_energy(temp)", "last(dict)", "avg_days_between(is_overcast)"]
+SUMMED = ["count(*)", "count(temp)", "sum(temp)", "product(temp)", "min(temp)", "max(type)", "avg(pressure)", "var(pressure)", "stdev(temp)", "first(type)", "last(temp)", "argmax(pressure)", "any(is_overcast)", "all(is_overcast)", "time_of_last(is_overcast)", "root_mean_square(temp)"]
+INTERVALS = ["past", "future", "last 2 days", "next 1 days", "last 1 seconds", "next 36 hours", "last 90 minutes", "ytd", "wtd", "yesterday", "nextweek", "lastmonth", "samedaylastweek"]
 
 
-@pytest.mark.parametrize("inclusive,chunk", [(False, 10**6), (True, 36 * 3600 * 10**6), (False, engine.CARRY_CHUNK_US)])
-def test_frames_equal_joins(six, inclusive, chunk, monkeypatch):
-    """The two plans are interchangeable, on and next to events, however the past is cut."""
-    monkeypatch.setattr(engine, "CARRY_CHUNK_US", chunk)
-    times = [T0 + v * DAY + timedelta(microseconds=d) for v in range(0, 8) for d in (-1, 0, 1)]
+@pytest.mark.parametrize("inclusive", [False, True])
+@pytest.mark.parametrize("scope", ["related", ALL])
+def test_blocks_equal_joins(six, inclusive, scope, monkeypatch):
+    """The two plans are interchangeable, on and next to events."""
+    times = [T0 + v * DAY + timedelta(microseconds=d) for v in range(0, 8) for d in (-1, 0, 1)] + [T0 + 40 * DAY]
     o = O.listed(six, [({"location": "a"}, t, None) for t in times])
-    query = [f"{f} over {i} where pressure > -50 as c{k}" for k, (f, i) in enumerate((f, i) for f in FRAMED for i in ("past", "future", "last 2 days", "next 1 days", "last 1 seconds"))]
-    framed = Engine(six).query(o, ["obs_dt as t", *query], include_events_on_obs_date=inclusive)
-    joined = Engine(six).query(O.Observations(o.rows, None), ["obs_dt as t", *query], include_events_on_obs_date=inclusive)
-    assert "Join" not in framed._jdf.queryExecution().optimizedPlan().toString()
-    a, b = (sorted(map(str, x.collect())) for x in (framed, joined))
-    assert a == b
+    query = [f"{f} over {i} where pressure > -50 as c{k}" for k, (f, i) in enumerate((f, i) for a, f in enumerate(SUMMED) for b, i in enumerate(INTERVALS) if (a + b) % 4 == 0)]
+    near = lambda rows: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in sorted(map(tuple, rows))]
+    blocked = near(Engine(six).query(o, ["obs_dt as t", *query], scope, inclusive).collect())
+    monkeypatch.setattr(engine.Engine, "_summed", lambda *_: False)
+    joined = near(Engine(six).query(o, ["obs_dt as t", *query], scope, inclusive).collect())
+    for got, want in zip(blocked, joined):
+        assert dict(zip(["t", *query], got)) == dict(zip(["t", *query], want))
+    assert len(blocked) == len(times)
 
 
 @pytest.mark.parametrize("inclusive", [False, True])
@@ -131,8 +136,7 @@ def test_hot_entities_are_split(six, monkeypatch):
     query = ["obs_dt as t", "count(*) over mtd as n", "values(type) over between null to obs_dt as v", "first(type) over ytd having max pressure as m", "count(*) over mtd group by is_overcast as g"]
     o = O.every(six, 1, "day")
     want = sorted(map(str, Engine(six).query(o, query).collect()))
-    for name, value in (("HOT_BYTES", 0), ("HOT_ROWS", 2)):
-        monkeypatch.setattr(engine, name, value)
+    monkeypatch.setattr(engine, "HOT_ROWS", 2)
     assert sorted(map(str, Engine(six).query(o, query).collect())) == want
 
 
@@ -186,3 +190,31 @@ def test_observations(six, spark):
     assert sorted(map(tuple, got)) == [("a", 3.0, 2, "c"), ("b", 5.0, 0, "e")]
     double = O.listed(with_ids, [({"location": "a"}, OBS, None)] * 2)
     assert Engine(with_ids).query(double, ["count(*) over past"]).count() == 1
+
+
+def _line(spark, n):
+    """One entity with n events in 13 days."""
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * F.lit(13 * 86_400_000_000 // n)).cast("timestamp_ntz")
+    rows = spark.range(n).select(F.col("id").cast("string").alias("event_id"), F.lit("x").alias("event_type"), at.alias("event_time"), F.create_map(F.lit("u"), F.lit("a")).alias("entities"), F.struct(F.col("id").cast("double").alias("v")).alias("attrs"))
+    return EventStore(rows, False)
+
+
+@pytest.mark.parametrize("interval", ["last 14 days", "future"])
+def test_time_grows_with_the_events(spark, interval):
+    """An observation per event, each with all events before or after it in its interval."""
+    took = {}
+    for n in (1_000, 32_000, 128_000):
+        store = _line(spark, n)
+        began = time.time()
+        (row,) = Engine(store).query(O.all_events(store), [f"sum(v) over {interval} as total", f"max(v) over {interval} as most"]).agg(F.sum("total"), F.sum("most")).collect()
+        took[n] = time.time() - began
+        assert row[0] == (sum(i * (n - 1 - i) for i in range(n)) if interval != "future" else sum(i * (i + 1) for i in range(n)))
+    assert took[128_000] < 5 * took[32_000] + 2
+
+
+def test_global_events_keep_the_block_plan(spark, monkeypatch):
+    rows = [(str(i), "x", T0 + i * DAY, {} if i == 3 else {"u": "a"}, None, (float(i),)) for i in range(6)]
+    store = EventStore(spark.createDataFrame(rows, EVENT.format("v: double")))
+    monkeypatch.setattr(Engine, "_joins", None)
+    got = Engine(store).query(O.fixed(store, ["u"], [OBS]), ["sum(v) over past", "max(v) over last 26 days", "var(v) over past"]).collect()
+    assert [tuple(r) for r in got] == [(15.0, 5.0, 3.5)]
