@@ -15,17 +15,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_US = 14 * 86_400_000_000
+#: A shard with more rows is split into parts of about so many. At most one shard of so many rows is, so the list of them fits every task.
+SHARD_ROWS = 1_000_000
+#: Numbers of the parts of a shard.
+_PARTS = 1 << 20
 
 
-def as_known(versions: DataFrame, observations: DataFrame, shard_us: int = SHARD_US) -> DataFrame:
+def _sharded(rows: DataFrame, crowded: DataFrame, shard_us: int) -> DataFrame:
+    """Adds ``shard``: the number of the time shard and, in crowded ones, of the part, in the order of time."""
+    own = rows.withColumn("shard", F.floor(F.col("us") / F.lit(shard_us))).join(F.broadcast(crowded), ["entity", "shard"], "left")
+    part = F.floor((F.col("us") - F.col("shard") * shard_us) * F.least("parts", F.lit(_PARTS)) / shard_us)
+    return own.withColumn("shard", F.col("shard") * _PARTS + F.coalesce(F.least(part, F.lit(_PARTS - 1)), F.lit(0))).drop("parts")
+
+
+def as_known(versions: DataFrame, observations: DataFrame, shard_us: int = SHARD_US, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``versions``: ``entity, attr`` string, ``held_us, known_us, id`` bigint, ``value``; ``observations``: ``obs_id, entity, us, inclusive``.
-    Returns ``obs_id, attr, id, value``. The result does not depend on ``shard_us``."""
+    Returns ``obs_id, attr, id, value``. The result does not depend on ``shard_us`` and ``shard_rows``."""
     v = versions.select("entity", "attr", "held_us", "known_us", "id", "value").dropna(subset=["entity", "attr", "held_us", "known_us", "id"])
     v = v.select(
         "entity", "attr", F.greatest("held_us", "known_us").alias("us"), F.struct(F.col("held_us"), F.col("known_us"), F.col("id"), F.col("value")).alias("best")
-    ).withColumn("shard", F.floor(F.col("us") / F.lit(shard_us)))
+    )
     o = observations.select("obs_id", "entity", "us", F.coalesce("inclusive", F.lit(False)).alias("inclusive")).dropna()
-    o = o.withColumn("shard", F.floor(F.col("us") / F.lit(shard_us)))
+    counts = v.select("entity", "us").unionByName(o.select("entity", "us")).groupBy("entity", F.floor(F.col("us") / F.lit(shard_us)).alias("shard")).count()
+    crowded = counts.filter(F.col("count") > shard_rows).select("entity", "shard", F.ceil(F.col("count") / F.lit(shard_rows)).alias("parts"))
+    v, o = _sharded(v, crowded, shard_us), _sharded(o, crowded, shard_us)
     # per entity and attribute: a shard's best version, and a mark for each shard that has observations
     own = v.groupBy("entity", "attr", "shard").agg(F.max("best").alias("best")).withColumn("asked", F.lit(False))
     asked = o.select("entity", "shard").distinct()

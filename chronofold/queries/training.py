@@ -49,16 +49,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.normalise(_time_texts(spark, d)).select("record_table", "record_id", "utc_us")
 
 
-def _rolling(spark: SparkSession, d: str) -> DataFrame:
+def _purchases(spark: SparkSession, d: str) -> DataFrame:
+    """Counted purchases: ``entity, day, cents, late``, whether they were ingested in the last 30 days of the table's ingestion."""
+    app = _app(spark, d)
     rows = counted(
-        _app(spark, d),
+        app,
         "row_id",
         F.col("event_type"),
         F.col("entities")["user"].alias("entity"),
         F.to_date("event_time").alias("day"),
         F.round(F.nanvl("attrs.purchase_amount", F.lit(None).cast("double")) * 100).cast("bigint").alias("cents"),
+        F.col("ingested_at").alias("known"),
     ).filter("event_type = 'PurchaseEvent'")
-    return rolling.rolling_state(rolling.daily(rows.select("entity", "day", "cents")))
+    cut = app.agg(F.max("ingested_at") - F.expr("interval 30 days")).scalar()
+    return rows.select("entity", "day", "cents", F.coalesce(F.col("known") >= cut, F.lit(True)).alias("late"))
+
+
+def _rolling(spark: SparkSession, d: str) -> DataFrame:
+    """The state of what was ingested before the last 30 days, advanced by those days' arrivals, late rows being corrections of earlier days."""
+    days = _purchases(spark, d).dropna(subset=["entity", "day"]).groupBy("entity", "day", "late").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"))
+    return rolling.advance(rolling.rolling_state(days.filter("not late").drop("late")), days.filter("late").drop("late"), 1)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +85,14 @@ def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The advanced state against one computed at once: days, days of equal totals, and days whose totals the later batch left alone."""
+    columns = ["entity", "day", "n", "cents", "n_7", "cents_7", "n_30", "cents_30", "since_first"]
+    whole = rolling.rolling_state(rolling.daily(_purchases(spark, d))).select("entity", "day", F.struct(*columns).alias("whole"))
+    both = _rolling(spark, d).select("entity", "day", F.struct(*columns).alias("advanced"), "version").join(whole, ["entity", "day"], "full_outer")
+    return both.agg(F.count(F.lit(1)).alias("n_days"), F.count_if(F.col("whole").eqNullSafe(F.col("advanced"))).alias("n_equal"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = counted(_app(spark, d), "row_id", micros(F.col("event_time")).alias("us"), *(F.col("entities")[t].alias(t) for t in ("user", "device")))
     each = rows.select("us", F.explode(F.array(*(F.struct(F.lit(t).alias("entity_type"), F.col(t).alias("entity_id")) for t in ("user", "device")))).alias("e"))
@@ -112,12 +130,9 @@ def p6_attributes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "observation").select("obs_id").join(known, "obs_id", "left").select("obs_id", F.coalesce("attributes", none).alias("attributes"))
 
 
-def p7_features(spark: SparkSession, d: str) -> DataFrame:
-    app = _app(spark, d)
-    seen = app.groupBy("event_type").agg(F.max(micros(F.col("event_time"))).alias("us")).filter("event_type is not null")
-    head = seen.limit(entity_features.MOST_TYPES + 1).collect()  # one row per event type
+def _stats(spark: SparkSession, d: str) -> DataFrame:
     rows = counted(
-        app,
+        _app(spark, d),
         "row_id",
         F.col("row_id").alias("salt"),
         F.col("entities")["user"].alias("entity"),
@@ -125,19 +140,26 @@ def p7_features(spark: SparkSession, d: str) -> DataFrame:
         micros(F.col("event_time")).alias("us"),
         F.round(F.nanvl("attrs.purchase_amount", F.lit(None).cast("double")) * 100).cast("bigint").alias("cents"),
     )
-    stats = entity_features.entity_type_stats(rows, F.col("salt"))
-    types = sorted(x.event_type for x in head)
-    table_ = entity_features.feature_table(stats, types, max((x.us for x in head if x.us is not None), default=0))
-    return table_.withColumnRenamed("entity", "user_id")
+    return entity_features.entity_type_stats(rows, F.col("salt"))
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
+def p7_features(spark: SparkSession, d: str) -> DataFrame:
+    seen = _app(spark, d).groupBy("event_type").agg(F.max(micros(F.col("event_time"))).alias("us")).filter("event_type is not null")
+    return entity_features.feature_table(_stats(spark, d), seen).withColumnRenamed("entity", "user_id")
+
+
+def p7_expanded(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of ``p7_features`` as rows."""
     each = p7_features(spark, d).select("user_id", F.explode("features").alias("event_type", "f"))
-    return each.select("user_id", "event_type", F.col("f.n").alias("n_events")).filter("n_events > 0")
+    return each.select("user_id", "event_type", F.col("f.n").alias("n_events"), "f.cents", "f.seconds_since_last")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _stats(spark, d).select(F.col("entity").alias("user_id"), "event_type", F.col("n").alias("n_events"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_table, p2_found, p3_found, p3_rolling, p4_found, p6_found, p6_attributes, p7_found, p7_features)}
+    return {f.__name__: f for f in (p1_found, p1_table, p2_found, p3_found, p3_rolling, p3_versions, p4_found, p6_found, p6_attributes, p7_found, p7_features, p7_expanded)}
 
 
 _COUNTED = """with counted as (
@@ -165,6 +187,7 @@ union all select user_id, strftime(day, '%Y-%m-%d'), 'burst' from totals where s
         "p3_rolling": _ROLLING
         + """select user_id, strftime(day, '%Y-%m-%d') as on_day, cast(n_7 as bigint) as n_7, cast(cents_7 as bigint) as cents_7, cents_7 / nullif(n_7, 0) / 100 as mean_7,
   cast(n_30 as bigint) as n_30, cast(cents_30 as bigint) as cents_30, cents_30 / nullif(n_30, 0) / 100 as mean_30 from totals""",
+        "p3_versions": _ROLLING + "select count(*) as n_days, count(*) as n_equal from totals",
         "p4_found": _COUNTED.format(table="app_event", id="row_id")
         + """, each as (select 'user' as entity_type, entities['user'] as entity_id, epoch_us(event_time) as us from counted
   union all select 'device', entities['device'], epoch_us(event_time) from counted),
@@ -180,4 +203,11 @@ select entity_type, entity_id, min(us) as start_us, max(us) as end_us, count(*)
 select obs_id, attr_name, change_id from ranked where place = 1 and attr_name is not null""",
         "p7_found": _COUNTED.format(table="app_event", id="row_id")
         + """ select entities['user'] as user_id, event_type, count(*) as n_events from counted where entities['user'] is not null and event_type is not null group by 1, 2""",
+        "p7_expanded": _COUNTED.format(table="app_event", id="row_id")
+        + """, stats as (select entities['user'] as user_id, event_type, count(*) as n, max(event_time) as last_at, sum(coalesce(cast(round(attrs.purchase_amount * 100) as bigint), 0)) as cents
+  from counted where entities['user'] is not null and event_type is not null group by 1, 2),
+types as (select distinct event_type from app_event where event_type is not null), users as (select distinct user_id from stats)
+select u.user_id, t.event_type, coalesce(n, 0) as n_events, cast(coalesce(cents, 0) as bigint) as cents,
+  (epoch_us((select max(event_time) from app_event where event_type is not null)) - epoch_us(last_at)) / 1e6 as seconds_since_last
+from users u cross join types t left join stats s on s.user_id = u.user_id and s.event_type = t.event_type""",
     }

@@ -256,6 +256,24 @@ def test_rolling_versions(spark):
     assert shown(same) == shown(after) and {r.version for r in same.collect()} <= {0, 1}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_advanced_state_equals_the_whole(spark, seed):
+    """Any batch, of new days, late days, days before the first, withdrawals, in any number of versions."""
+    rnd, start = random.Random(seed), date(2024, 1, 1)
+    parts = [[(e, start + timedelta(days=rnd.randint(10 + 30 * k, 80 + 60 * k) if rnd.random() < 0.9 else rnd.randint(0, 10)), rnd.randint(1, 3), rnd.randint(-90, 900)) for e in "abcdefg"[: 3 + 2 * k] for _ in range(rnd.randint(0, 6))] for k in range(3)]
+    if seed % 2:
+        parts[2] += [(e, d, -n, -c) for e, d, n, c in parts[0][::4]]
+    state = rolling.rolling_state(rolling.daily_sum(spark.createDataFrame(parts[0], DAYS)))
+    for k in (1, 2):
+        state = rolling.advance(state, spark.createDataFrame(parts[k], DAYS), k)
+    both = spark.createDataFrame([x for p in parts for x in p], DAYS)
+    whole = rolling.rolling_state(rolling.daily_sum(both).filter("n != 0 or cents != 0"))
+    rows = lambda s: sorted(map(tuple, s.drop("version").collect()))
+    assert rows(state) == rows(whole)
+    # days that no batch reaches keep their version
+    assert {r.version for r in state.collect()} <= {0, 1, 2}
+
+
 def test_rolling_edges(spark):
     rows = spark.createDataFrame([("a", date(2024, 1, 1), None), (None, date(2024, 1, 1), 5), ("a", None, 5), ("a", date(2024, 1, 1), 7)], "entity string, day date, cents bigint")
     (r,) = rolling.rolling_state(rolling.daily(rows)).collect()
@@ -314,7 +332,8 @@ def test_as_known_whatever_the_shards(spark, shard):
                 want.add((i, attr, best[4], best[5]))
     v = spark.createDataFrame(versions, "entity string, attr string, held_us bigint, known_us bigint, id bigint, value string, best int")
     o = spark.createDataFrame(asked, "obs_id bigint, entity string, us bigint, inclusive boolean")
-    assert set(map(tuple, asof.as_known(v, o, shard).collect())) == want
+    for rows in (asof.SHARD_ROWS, 7):
+        assert set(map(tuple, asof.as_known(v, o, shard, rows).collect())) == want
     assert asof.as_known(v.limit(0), o, shard).count() == 0 and asof.as_known(v, o.limit(0), shard).count() == 0
 
 
@@ -332,13 +351,19 @@ def test_counted(spark):
 def test_entity_features(spark, salts):
     rows = [("u", "A", 10_000_000, 5), ("u", "A", 30_000_000, None), ("u", "B", None, 7), ("w", "B", 1, 1), (None, "A", 1, 1), ("u", None, 1, 1)] + [("hot", "A", i, 1) for i in range(500)]
     df = spark.createDataFrame(rows, "entity string, event_type string, us bigint, cents bigint").withColumn("have", F.lit(1))
-    got = {r.entity: r.features for r in entity_features.feature_table(entity_features.entity_type_stats(df, F.col("us"), salts), ["A", "B", "C"], 40_000_000).collect()}
+    types = spark.createDataFrame([("C", 40_000_000), ("B", None), ("A", 3)], "event_type string, us bigint")
+    got = {r.entity: r.features for r in entity_features.feature_table(entity_features.entity_type_stats(df, F.col("us"), salts), types).collect()}
     assert set(got) == {"u", "w", "hot"}
     assert tuple(got["u"]["A"]) == (2, 5, 10.0) and tuple(got["u"]["B"]) == (1, 7, None) and tuple(got["u"]["C"]) == (0, 0, None)
     assert got["hot"]["A"]["n"] == 500 and list(got["hot"]) == ["A", "B", "C"]
-    with pytest.raises(ValueError):
-        entity_features.feature_table(df, [str(i) for i in range(entity_features.MOST_TYPES + 1)], 0)
-    assert entity_features.feature_table(entity_features.entity_type_stats(df.limit(0), F.col("us")), [], 0).count() == 0
+    assert entity_features.feature_table(entity_features.entity_type_stats(df.limit(0), F.col("us")), types.limit(0)).count() == 0
+
+
+def test_entity_features_of_very_many_types(spark):
+    df = spark.range(30_000).select(F.lit("u").alias("entity"), F.concat(F.lit("t"), "id").alias("event_type"), F.lit(5).cast("bigint").alias("us"), F.lit(1).cast("bigint").alias("cents"))
+    types = df.select("event_type", "us").unionByName(spark.createDataFrame([("other", 1)], "event_type string, us bigint"))
+    (r,) = entity_features.feature_table(entity_features.entity_type_stats(df, F.col("event_type")), types).collect()
+    assert len(r.features) == 30_001 and tuple(r.features["other"]) == (0, 0, None) and tuple(r.features["t7"]) == (1, 1, 0.0)
 
 
 def test_types_stay(spark):
