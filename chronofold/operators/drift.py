@@ -1,9 +1,10 @@
 """Schemas that drift between files: one consistently typed table, and a report of every change.
 
-Each file's schema is fingerprinted (dotted path -> commonest type). Fingerprints of a feed's consecutive files give the
-migration steps: added, removed, retyped and renamed attributes. Steps are chained into rules that hold for a range of
-versions, (path -> canonical attribute, canonical type), and every line is routed through the rules of its file. A version that
-lacks an attribute of its feed, as it is added later or was removed before, has a default rule for it.
+Each file's schema is fingerprinted (dotted path -> commonest type), and a feed's version goes up where the fingerprint changes. Two consecutive
+versions give the migration steps: added, removed, retyped and renamed attributes. Steps are chained into the rules of each
+version, (path -> canonical attribute, canonical type), and every line is routed through the rules of its file's version. A version that
+lacks an attribute of its feed, as it is added later or was removed before, has a default rule for it. Two paths of one version never
+share a canonical attribute: a path that is added anew while another one goes on under its old name gets a name of its own (``NAME#2``).
 
 Defined cases: a line whose ``attrs`` are null, broken or no object gives no attributes but keeps its row, as does one without feed or file, which is in no comparison; null values and
 empty objects give no attribute; files without lines are left out; equally common types go by the order number, string,
@@ -90,30 +91,31 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """``feed_id, file_id, seq`` (the file's place among the feed's files with lines, from 1), ``fields``, a map from path to type, empty
-    where no line gives an attribute, ``fingerprint``, a hash of the fields, and ``version``, from 1, one more with each change of the
-    fingerprint. ``lines``: feed_id, file_id, attrs; ``files``: feed_id, file_id, period_start."""
+    """``feed_id, file_id, n_lines, seq`` (the file's place among the feed's files with lines, from 1), ``fields``, a map from path to type, empty
+    where no line gives an attribute, ``fingerprint``, a hash of the fields, ``version``, from 1, one more with each change of the
+    fingerprint, and ``begins``, whether the file is the first of its version. ``lines``: feed_id, file_id, attrs; ``files``: feed_id, file_id,
+    period_start."""
     lines = lines.select("feed_id", "file_id", "attrs").dropna(subset=["feed_id", "file_id"])
     counted = lines.mapInArrow(_profile, "feed_id bigint, file_id bigint, attr_path string, attr_type string, n bigint")
     order = F.create_map(*[x for i, t in enumerate(TYPES) for x in (F.lit(t), F.lit(i))])
     by_type = counted.groupBy("feed_id", "file_id", "attr_path", "attr_type").agg(F.sum("n").alias("n"))
     by_path = by_type.groupBy("feed_id", "file_id", "attr_path").agg(F.max_by("attr_type", F.struct(F.col("n"), -order[F.col("attr_type")])).alias("attr_type"))
     fields = by_path.groupBy("feed_id", "file_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("attr_path", "attr_type")))).alias("fields"))
-    used = lines.select("feed_id", "file_id").distinct()
+    used = lines.groupBy("feed_id", "file_id").agg(F.count(F.lit(1)).alias("n_lines"))
     ordered = files.select("feed_id", "file_id", "period_start").join(used, ["feed_id", "file_id"])
     seq = F.row_number().over(Window.partitionBy("feed_id").orderBy("period_start", "file_id"))
     none = F.create_map().cast("map<string,string>")
-    found = ordered.withColumn("seq", seq).join(fields, ["feed_id", "file_id"], "left").select("feed_id", "file_id", "seq", F.coalesce("fields", none).alias("fields"))
+    found = ordered.withColumn("seq", seq).join(fields, ["feed_id", "file_id"], "left").select("feed_id", "file_id", "n_lines", "seq", F.coalesce("fields", none).alias("fields"))
     marked = found.withColumn("fingerprint", F.sha2(F.to_json("fields"), 256))
     w = Window.partitionBy("feed_id").orderBy("seq")
-    changed = F.when(F.col("fingerprint").eqNullSafe(F.lag("fingerprint").over(w)), 0).otherwise(1)
-    return marked.withColumn("_new", changed).withColumn("version", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+    changed = ~F.col("fingerprint").eqNullSafe(F.lag("fingerprint").over(w))
+    return marked.withColumn("begins", changed).withColumn("version", F.count_if("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
 
 
 def _steps(prints: DataFrame) -> DataFrame:
-    """Each file that has one before it, with both fingerprints and the paths that are gone and new."""
+    """Each version that has one before it: its first file, the file before that, both versions' fields, and the paths that are gone and new."""
     w = Window.partitionBy("feed_id").orderBy("seq")
-    pair = prints.withColumns({"old": F.lag("fields").over(w), "prev_file": F.lag("file_id").over(w)}).filter("old is not null")
+    pair = prints.withColumns({"old": F.lag("fields").over(w), "prev_file": F.lag("file_id").over(w)}).filter("begins and version > 1")
     return pair.withColumns({"gone": F.array_except(F.map_keys("old"), F.map_keys("fields")), "new": F.array_except(F.map_keys("fields"), F.map_keys("old"))})
 
 
@@ -160,10 +162,10 @@ def renames(lines: DataFrame, steps: DataFrame) -> DataFrame:
     )
 
 
-def changes(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """The migration steps: ``feed_id, file_id`` (of the later file), ``change_kind``, ``attr_path``, ``old_path``, and ``old_type``,
+def changes(lines: DataFrame, files: DataFrame, prints: DataFrame | None = None) -> DataFrame:
+    """The migration steps between versions: ``feed_id, file_id`` (of the later file), ``change_kind``, ``attr_path``, ``old_path``, and ``old_type``,
     ``new_type`` of the attribute (null where it is gone or new), ``seq`` of the file."""
-    steps = _steps(fingerprints(lines, files))
+    steps = _steps(fingerprints(lines, files) if prints is None else prints)
     moved = renames(lines, steps)
     of = moved.groupBy("feed_id", "file_id").agg(F.collect_list(F.struct("old_path", "attr_path")).alias("moved"))
     s = steps.join(of, ["feed_id", "file_id"], "left")
@@ -185,20 +187,31 @@ def changes(lines: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def chain_rules(prints: pd.DataFrame, steps: pd.DataFrame, locked: dict[str, str]) -> list[tuple[int, dict[str, tuple[str, str]]]]:
-    """Rules of a feed by file: path -> (canonical attribute, canonical type). A renamed attribute goes on under the name it had
-    first; an attribute that returns under a name is the one that had it before; the type is the locked one, else the
-    first. Pure bookkeeping over the change log of one feed, of which there is an entry per change, not per line."""
+    """Rules of a feed by the first file of each version: path -> (canonical attribute, canonical type). A renamed attribute goes on under the
+    name it had first; an attribute that returns under a name is the one that had it before, unless that one lives on under another path, when it
+    gets a fresh name; the type is the locked one, else the first. Pure bookkeeping over the versions of one feed, of which there is
+    an entry per change, not per line or file."""
     types, name, by_file, out = dict(locked), {}, defaultdict(list), []
+    before: dict[str, tuple[str, str]] = {}
     for x in steps.itertuples():
         by_file[x.file_id].append(x)
     for x in prints.sort_values("seq").itertuples():
-        taken = {c.attr_path: name.get(c.old_path, c.old_path) for c in sorted(by_file.get(x.file_id, []), key=lambda c: (c.attr_path, c.old_path)) if c.change_kind == "renamed"}
-        name.update(taken)
-        rules = {}
-        for path, kind_ in dict(x.fields).items():
-            root = name.setdefault(path, path)
-            rules[path] = (root, types.setdefault(root, kind_))
-        out.append((x.file_id, rules))
+        fields = dict(x.fields)
+        roots = {path: before[path][0] for path in fields if path in before}
+        moved = sorted(((c.attr_path, c.old_path) for c in by_file.get(x.file_id, []) if c.change_kind == "renamed" and c.attr_path in fields))
+        for path, old in moved:
+            root = before[old][0] if old in before else name.get(old, old)
+            if root not in roots.values():  # of several paths with one old path the first goes on
+                roots[path] = root
+        for path in sorted(set(fields) - set(roots)):
+            root, n = name.get(path, path), 2
+            while root in roots.values() or root != name.get(path, path) and root in types:
+                root, n = f"{path}#{n}", n + 1
+            roots[path] = root
+        name.update(roots)
+        before = {path: (roots[path], types.setdefault(roots[path], kind_)) for path, kind_ in fields.items()}
+        assert len({root for root, _ in before.values()}) == len(before)
+        out.append((x.file_id, before))
     return out
 
 
@@ -222,8 +235,8 @@ def _rules_of_feed(absent: dict[str, object] | None):
         for file, rules in chained:
             own = [{"path": p, "name": a, "kind": b, "value": None} for p, (a, b) in rules.items()]
             own += [{"path": None, "name": a, "kind": b, "value": json.dumps(absent.get(a))} for a, b in lacking.get(file, {}).items()]
-            rows.append((int(pdf["feed_id"].iloc[0]), int(file), int(versions[file]), own))
-        return pd.DataFrame(rows, columns=["feed_id", "file_id", "schema_version", "rules"])
+            rows.append((int(pdf["feed_id"].iloc[0]), int(versions[file]), own))
+        return pd.DataFrame(rows, columns=["feed_id", "version", "rules"])
 
     return book
 
@@ -279,14 +292,20 @@ def _router(defaults: dict[str, object]):
         return by_path, start
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines come after the row with the rules of their file."""
+        (by_path, start), version, file = read(None), None, None
         for batch in batches:
             cells: dict[str, list] = {k: [] for k in _CELLS}
-            of_file: dict[tuple, tuple] = {}  # a file's lines have the same rules
-            rules = batch.column("rules")
-            for i, (file, text) in enumerate(zip(zip(batch.column("feed_id").to_pylist(), batch.column("file_id").to_pylist()), batch.column("attrs").to_pylist())):
-                if file not in of_file:
-                    of_file[file] = read(rules[i].as_py())
-                by_path, start = of_file[file]
+            versions, lines = [], []
+            rules, of_rules = batch.column("rules"), batch.column("version").to_pylist()
+            files = zip(batch.column("feed_id").to_pylist(), batch.column("file_id").to_pylist())
+            for i, (own, text, is_line) in enumerate(zip(files, batch.column("attrs").to_pylist(), batch.column("is_line").to_pylist())):
+                if not is_line or own != file:
+                    (by_path, start), version, file = read(None if is_line else rules[i].as_py()), None if is_line else of_rules[i], own
+                if not is_line:
+                    continue
+                lines.append(i)
+                versions.append(version)
                 row: dict[str, dict] = {k: dict(v) for k, v in start.items()}
                 bad = {}
                 for path, value in flatten(parse(text)).items():
@@ -300,12 +319,18 @@ def _router(defaults: dict[str, object]):
                     cells[k].append(list(v.items()))
                 cells["uncast"].append(sorted(bad))
                 cells["uncast_json"].append(sorted(bad.items()))
-            kept = batch.drop_columns(["attrs", "rules"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v, _CELLS[k]) for k, v in cells.items())], names=[*kept.schema.names, *cells])
+            kept = batch.drop_columns(["attrs", "rules", "version", "is_line", "salt"]).take(pa.array(lines, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(versions, pa.int32()), *(pa.array(v, _CELLS[k]) for k, v in cells.items())], names=[*kept.schema.names, "schema_version", *cells])
 
     return route
 
 
+#: A file with more lines is routed in parts of about so many. At most one file of so many lines is, so the list of them fits every task.
+FILE_LINES = 1_000_000
+#: Parts of the lines that have no file.
+STRAY_SALTS = 64
+
+
 def consistent(
     lines: DataFrame, files: DataFrame, locked: DataFrame, defaults: dict[str, object] | None = None, absent: dict[str, object] | None = None, others: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -315,19 +340,26 @@ def consistent(
     one a missing attribute is missing. ``absent``: if given, lines get the attributes of their feed that their version lacks, with the declared
     value, else an explicit null. ``others``: further columns of ``lines`` to keep as they are."""
     prints = fingerprints(lines, files)
-    log = changes(lines, files)
+    log = changes(lines, files, prints)
     none = F.lit(None).cast("string")
     no_map = F.lit(None).cast("map<string,string>")
     book = (
-        prints.select("feed_id", "file_id", "seq", F.lit("file").alias("what"), none.alias("change_kind"), none.alias("attr_path"), none.alias("old_path"), none.alias("old_type"), "fields", "version")
+        prints.filter("begins").select("feed_id", "file_id", "seq", F.lit("file").alias("what"), none.alias("change_kind"), none.alias("attr_path"), none.alias("old_path"), none.alias("old_type"), "fields", "version")
         .unionByName(log.select("feed_id", "file_id", "seq", F.lit("step").alias("what"), "change_kind", "attr_path", "old_path", "old_type", no_map.alias("fields"), F.lit(0).alias("version")))
         .unionByName(locked.select("feed_id", F.lit(0).cast("bigint").alias("file_id"), F.lit(0).alias("seq"), F.lit("lock").alias("what"), none.alias("change_kind"), F.col("attr_name").alias("attr_path"), none.alias("old_path"), F.col("attr_type").alias("old_type"), no_map.alias("fields"), F.lit(0).alias("version")))
     )
-    rules = book.filter("feed_id is not null").groupBy("feed_id").applyInPandas(_rules_of_feed(absent), "feed_id bigint, file_id bigint, schema_version int, rules array<struct<path:string,name:string,kind:string,value:string>>")
-    keep = lines.select("raw_id", "feed_id", "file_id", "line_no", "event_id", *others, "attrs")
-    routed = keep.join(rules, ["feed_id", "file_id"], "left").select("feed_id", "file_id", "raw_id", "line_no", "event_id", *others, "schema_version", "attrs", "rules")
-    kept = "".join(f"`{c}` {lines.schema[c].dataType.simpleString()}, " for c in others)
+    rule = "array<struct<path:string,name:string,kind:string,value:string>>"
+    by_version = book.filter("feed_id is not null").groupBy("feed_id").applyInPandas(_rules_of_feed(absent), f"feed_id bigint, version int, rules {rule}")
+    # each file's rules go once before its lines, or before each part of a very long file
+    parts = F.ceil(F.col("n_lines") / F.lit(FILE_LINES)).cast("int")
+    of_file = prints.select("feed_id", "file_id", "version", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")).join(by_version, ["feed_id", "version"])
+    long = F.broadcast(prints.filter(F.col("n_lines") > FILE_LINES).select("feed_id", "file_id", parts.alias("_parts")))
+    stray = F.when(F.col("feed_id").isNull() | F.col("file_id").isNull(), F.lit(STRAY_SALTS)).otherwise(F.coalesce("_parts", F.lit(1)))
+    kept = lines.select("feed_id", "file_id", "raw_id", "line_no", "event_id", *others, "attrs").join(long, ["feed_id", "file_id"], "left").withColumns({"salt": F.pmod(F.xxhash64("raw_id"), stray).cast("int"), "is_line": F.lit(True)}).drop("_parts")
+    both = kept.unionByName(of_file.withColumn("is_line", F.lit(False)), allowMissingColumns=True)
+    routed = both.repartition("feed_id", "file_id", "salt").sortWithinPartitions("feed_id", "file_id", "salt", "is_line")
+    extra = "".join(f"`{c}` {lines.schema[c].dataType.simpleString()}, " for c in others)
     return routed.mapInArrow(
         _router(defaults or {}),
-        f"feed_id bigint, file_id bigint, raw_id bigint, line_no int, event_id string, {kept}schema_version int, nums map<string,double>, strs map<string,string>, bools map<string,boolean>, vecs map<string,array<string>>, uncast array<string>, uncast_json map<string,string>",
+        f"feed_id bigint, file_id bigint, raw_id bigint, line_no int, event_id string, {extra}schema_version int, nums map<string,double>, strs map<string,string>, bools map<string,boolean>, vecs map<string,array<string>>, uncast array<string>, uncast_json map<string,string>",
     )

@@ -134,6 +134,34 @@ def test_default_rules_of_versions(spark):
     assert declared[0].nums == {"a": 5.0, "n": 7.0} and declared[2].nums == {"a": 5.0} and declared[3].strs == {"t": "-"} and declared[3].nums == {"a": None, "n": 2.0}
 
 
+def test_renamed_and_added_again(spark):
+    """A path that is renamed while its old name comes back for another attribute: both go on, no value is lost."""
+    lines = [
+        (1, 1, 1, 1, "x", '{"a": 1}', None),
+        (2, 1, 2, 1, "x", '{"aa": 1}', None),
+        (3, 1, 3, 1, "y", '{"aa": 5, "a": 9}', None),
+        (4, 1, 4, 1, "y", '{"a": 9}', None),
+        (5, 1, 5, 1, "z", '{"a": "t", "aa": 7, "a#2": 8}', None),
+    ]
+    files = [(i, 1, datetime(2024, 1, i), "f") for i in range(1, 6)]
+    rows = drift.consistent(spark.createDataFrame(lines, LINES), spark.createDataFrame(files, FILES), spark.createDataFrame([(1, "t", "a", "Num")], LOCK)).orderBy("raw_id").collect()
+    assert [r.nums for r in rows] == [{"a": 1.0}, {"a": 1.0}, {"a": 5.0, "a#2": 9.0}, {"a#2": 9.0}, {"a": 7.0, "a#2#2": 8.0}]
+    assert rows[4].uncast_json == {"a": '"t"'}
+
+
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("most", [drift.FILE_LINES, 3])
+def test_no_value_is_lost(spark, seed, most, monkeypatch):
+    """Values in are values out and uncast ones, whatever the files are cut into."""
+    monkeypatch.setattr(drift, "FILE_LINES", most)
+    lines, files = _drift_data(random.Random(100 + seed))
+    locked = [(f, "t", a, t) for f in (1, 2) for a, t in (("a", "Num"), ("b.c", "Str"), ("d", "Bool"), ("e", "VecStr"))]
+    lines += [(900, None, 3, 1, None, '{"q": 1}', None), (901, 1, 101, None, None, '{"a": {"b": []}, "c": {}}', None)]
+    rows = drift.consistent(spark.createDataFrame(lines, LINES), spark.createDataFrame(files, FILES), spark.createDataFrame(locked, LOCK)).collect()
+    out = {r.raw_id: len(r.nums) + len(r.strs) + len(r.bools) + len(r.vecs) + len(r.uncast_json) for r in rows}
+    assert out == {x[0]: len(drift.flatten(drift.parse(x[5]))) for x in lines} and len(rows) == len(lines)
+
+
 def test_drift_of_empty_tables(spark):
     lines, files, locked = (spark.createDataFrame([], s) for s in (LINES, FILES, LOCK))
     assert drift.changes(lines, files).count() == 0
