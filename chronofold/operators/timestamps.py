@@ -2,10 +2,14 @@
 
 Every text is expanded into the array of its valid interpretations (format, instant, cost of breaking a declared rule of
 its source), and one of them is chosen by a Viterbi pass over each source's record order that penalises rules broken, backward
-jumps in time and format switches, in this order of weight. The pass works on bounded blocks of records: each block is summed up as
-a min-plus transfer matrix between the readings of its first and its last record, the matrices of a source are chained, and each
-block is then traced back between its fixed ends, so the result is that of one pass over the whole source. Steps between two
-records of one reading each cost the same whatever is chosen and are left out.
+jumps in time, the longer the more up to a week, and format switches. The pass works on bounded blocks of records: each block is summed up as
+a min-plus transfer matrix between the readings of its first and its last record. Min-plus products can be put together in any grouping, so the
+matrices are multiplied level by level, in groups of bounded size, up to one per source; the cheapest ends are then fixed at the top
+and pushed down level by level, and each block is traced back between its fixed ends. The result is that of one pass over the whole
+source. Steps between two records of one reading each cost the same whatever is chosen and are left out.
+
+A record's choice saves at most the cost of its two steps, 6, so a declared rule, which costs 1000 to break, always holds where a reading
+keeps it; the steps choose between readings that keep the rules, or all of them where the source declares no day order.
 
 Defined cases: null, blank and unreadable texts, impossible dates and times, and texts of which every reading breaks a declared
 rule have no interpretation and no row in the result of ``normalise``; a null ``zone`` is read as UTC; where ``day_first`` is
@@ -24,12 +28,14 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Costs: breaking a declared rule of the source outranks all else, then backward jumps, then format switches.
+#: Costs of breaking a declared rule of the source, of a jump back by a week or more, and of a format switch.
 RULE, BACKWARD, SWITCH = 1000.0, 2.0, 1.0
+FULL_JUMP_US = 7 * 86_400_000_000
+#: Bits of the block number that are dropped from level to level of the tree of blocks.
+LEVELS = (16, 31)
 
 # Month names by their first three letters.
 _MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_abbr) if m}
@@ -152,7 +158,7 @@ def _instants(form: str, year: int, month: int, day: int, g: dict, zone: str, co
 
 
 def step_cost(a: tuple[str, int, float], b: tuple[str, int, float]) -> float:
-    return SWITCH * (a[0] != b[0]) + BACKWARD * (b[1] < a[1])
+    return SWITCH * (a[0] != b[0]) + BACKWARD * min(max(a[1] - b[1], 0) / FULL_JUMP_US, 1.0)
 
 
 Block = list[list[tuple[str, int, float]]]
@@ -192,19 +198,39 @@ def trace(block: Block, back: list[np.ndarray], first: int, last: int) -> list[i
     return chosen
 
 
-def chain(blocks: list[tuple[list, list, np.ndarray]]) -> list[tuple[int, int]]:
-    """Chosen first and last readings of each block of a source, from (first readings, last readings, transfer matrix)."""
+Sum = tuple[list, list, np.ndarray]
+
+
+def product(sums: list[Sum]) -> Sum:
+    """Consecutive (first readings, last readings, transfer matrix) as one."""
+    firsts, lasts, whole = sums[0]
+    for to, end, matrix in sums[1:]:
+        step = np.array([[step_cost(a, b) for b in to] for a in lasts])
+        if whole.size == step.size == matrix.size == 1:
+            whole = whole + step + matrix
+        else:
+            whole = (whole[:, :, None] + step[None]).min(axis=1)
+            whole = (whole[:, :, None] + matrix[None]).min(axis=1)
+        lasts = end
+    return firsts, lasts, whole
+
+
+def chain(blocks: list[Sum], ends: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+    """Chosen first and last readings of each of consecutive blocks, the outermost ones being given or free."""
     best, path = None, []
     for i, (firsts, lasts, matrix) in enumerate(blocks):
         if i == 0:
             enter, came = np.zeros(len(firsts)), np.zeros(len(firsts), int)
+            if ends is not None:
+                enter[:] = np.inf
+                enter[ends[0]] = 0.0
         else:
             step = best[:, None] + np.array([[step_cost(a, b) for b in firsts] for a in blocks[i - 1][1]])
             enter, came = step.min(axis=0), step.argmin(axis=0)
         total = enter[:, None] + matrix
         best = total.min(axis=0)
         path.append((came, total.argmin(axis=0)))
-    out, last = [], int(best.argmin())
+    out, last = [], int(best.argmin()) if ends is None else ends[1]
     for came, first_of in reversed(path):
         first = int(first_of[last])
         out.append((first, last))
@@ -264,27 +290,38 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _FIXED = pa.schema([("record_table", pa.string()), ("source", pa.int64()), ("block", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+_FIXED_DDL = "record_table string, source bigint, block bigint, first int, last int"
 
 
-def _chain_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fixes the ends of the blocks, source by source, of a partition that is sorted by source and block."""
-    key, blocks, sums = None, [], []
-
-    def done() -> pa.RecordBatch:
-        return _table([(*key, block, *ends) for block, ends in zip(blocks, chain(sums))], _FIXED)
-
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[int], list[Sum], tuple[int, int] | None]]:
+    """The sums of a partition that is sorted by group and block, group by group: key, blocks, sums, and the ends if they are given."""
+    key, blocks, sums, ends = None, [], [], None
     for batch in batches:
         col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        for i, now in enumerate(zip(col["record_table"], col["source"])):
+        for i, now in enumerate(zip(col["record_table"], col["source"], col["above"])):
             if now != key:
                 if blocks:
-                    yield done()
+                    yield key, blocks, sums, ends
                 key, blocks, sums = now, [], []
+                ends = (col["up_first"][i], col["up_last"][i]) if "up_first" in col else None
             firsts, lasts = (list(zip(*(col[f"{end}_{n}"][i] for n in ("forms", "us", "costs")))) for end in ("first", "last"))
             blocks.append(col["block"][i])
             sums.append((firsts, lasts, np.array(col["matrix"][i]).reshape(len(firsts), len(lasts))))
     if blocks:
-        yield done()
+        yield key, blocks, sums, ends
+
+
+def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for key, _, sums, _ in _groups(batches):
+        *both, matrix = product(sums)
+        rows.append((*key, *([x[k] for x in end] for end in both for k in range(3)), matrix.ravel().tolist()))
+    yield _table(rows, _SUM)
+
+
+def _fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, blocks, sums, ends in _groups(batches):
+        yield _table([(*key[:2], block, *fixed) for block, fixed in zip(blocks, chain(sums, ends))], _FIXED)
 
 
 _CHOSEN = pa.schema([("record_table", pa.string()), ("record_id", pa.int64()), ("utc_us", pa.int64()), ("form", pa.string())])
@@ -298,18 +335,31 @@ def _trace_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def normalise(records: DataFrame) -> DataFrame:
-    """``records``: ``record_table`` string, ``record_id`` bigint, ``source`` bigint, ``block`` bigint (of a bounded number of
+    """``records``: ``record_table`` string, ``record_id`` bigint, ``source`` bigint, ``block`` bigint from 0 (of a bounded number of
     records, ascending in the source's order), ``pos`` bigint (order in the block), ``text``, ``zone`` string,
     ``day_first`` boolean. Returns ``record_table, record_id, utc_us, form``, a row for each readable record.
 
-    The readings are computed once, brought together by block and kept (memory and disk, with lineage). A task holds a block; per source only
-    the sums of its blocks come together.
+    The readings are computed once, brought together by block and used again from that shuffle. A task holds a block, or the sums of a group of blocks,
+    which have the same number but for the bits of ``LEVELS``.
     """
+    key = ["record_table", "source"]
     read = records.select("record_table", "record_id", "source", "block", "pos", "text", "zone", "day_first").mapInArrow(_interpret, f"{_PLACE}, {_READINGS}")
-    spread = read.repartition("record_table", "source", "block").sortWithinPartitions("record_table", "source", "block", "pos", "record_id").persist(StorageLevel.MEMORY_AND_DISK)
-    sums = spread.mapInArrow(_sum_up, _SUM_DDL)
-    by_source = sums.repartition("record_table", "source").sortWithinPartitions("record_table", "source", "block")
-    ends = by_source.mapInArrow(_chain_sources, "record_table string, source bigint, block bigint, first int, last int")
+    spread = read.repartition("record_table", "source", "block").sortWithinPartitions("record_table", "source", "block", "pos", "record_id")
+    levels = [spread.mapInArrow(_sum_up, _SUM_DDL)]
+    gathered = []
+    for shift in (*levels_from(LEVELS), None):
+        above = F.shiftright("block", shift) if shift is not None else F.lit(0).cast("bigint")
+        together = levels[-1].withColumn("above", above).repartition(*key, "above")
+        gathered.append(together)
+        if shift is not None:
+            levels.append(together.sortWithinPartitions(*key, "above", "block").mapInArrow(_multiply, _SUM_DDL))
+    ends = None
+    for together in reversed(gathered):
+        own = together
+        if ends is not None:
+            up = ends.select(*key, F.col("block").alias("above"), F.col("first").alias("up_first"), F.col("last").alias("up_last"))
+            own = together.alias("t").join(up.alias("e"), F.expr("t.record_table <=> e.record_table and t.source <=> e.source and t.above <=> e.above")).select("t.*", "up_first", "up_last").repartition(*key, "above")
+        ends = own.sortWithinPartitions(*key, "above", "block").mapInArrow(_fix, _FIXED_DDL)
     with_ends = (
         spread.alias("t")
         .join(ends.alias("e"), F.expr("t.record_table <=> e.record_table and t.source <=> e.source and t.block <=> e.block"))
@@ -318,3 +368,8 @@ def normalise(records: DataFrame) -> DataFrame:
         .sortWithinPartitions("record_table", "source", "block", "pos", "record_id")
     )
     return with_ends.mapInArrow(_trace_blocks, "record_table string, record_id bigint, utc_us bigint, form string")
+
+
+def levels_from(bits: tuple[int, ...]) -> list[int]:
+    """Bits dropped from one level to the next, from bits dropped in all."""
+    return [b - a for a, b in zip((0, *bits), bits)]

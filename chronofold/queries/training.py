@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.common import counted, micros, table, use_utc
@@ -24,15 +24,25 @@ def p1_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent(table(spark, d, "raw_event"), table(spark, d, "event_file"), table(spark, d, "attribute_value_type"), absent={}, others=others)
 
 
+#: Parts in which the lines of a file find its place, since a file may hold very many.
+_FILE_SALTS = 8
+
+
 def _time_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines in the order of their feed's files by period, in blocks of 4,096 lines of a file; observations in that of their ids."""
     feed = table(spark, d, "feed").select("feed_id", F.col("feed_zone").alias("zone"), "day_first")
-    events = table(spark, d, "raw_event").select(
+    files = table(spark, d, "event_file")
+    seq = F.row_number().over(Window.partitionBy("feed_id").orderBy("period_start", "file_id"))
+    place = files.dropna(subset=["feed_id", "file_id"]).select("feed_id", "file_id", seq.cast("bigint").alias("seq"), F.explode(F.sequence(F.lit(0), F.lit(_FILE_SALTS - 1))).alias("salt"))
+    at = F.coalesce("line_no", F.col("raw_id").bitwiseAND(0x7FFFFFFF)).cast("bigint")
+    lines = table(spark, d, "raw_event").select("raw_id", "feed_id", "file_id", at.alias("pos"), F.col("event_time").alias("text")).withColumn("salt", F.pmod("raw_id", F.lit(_FILE_SALTS)).cast("int"))
+    events = lines.join(place, ["feed_id", "file_id", "salt"], "left").select(
         F.lit("raw_event").alias("record_table"),
         F.col("raw_id").alias("record_id"),
         "feed_id",
-        F.shiftright("file_id", 9).alias("block"),  # of at most 512 files of a feed
-        (F.col("file_id") * F.lit(1 << 32) + F.col("line_no")).alias("pos"),
-        F.col("event_time").alias("text"),
+        (F.coalesce("seq", F.lit(0)) * F.lit(1 << 21) + F.shiftright("pos", 12)).alias("block"),
+        "pos",
+        "text",
     )
     asked = table(spark, d, "raw_observation").select(
         F.lit("raw_observation").alias("record_table"),
@@ -49,6 +59,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.normalise(_time_texts(spark, d)).select("record_table", "record_id", "utc_us")
 
 
+def p2_undeclared(spark: SparkSession, d: str) -> DataFrame:
+    """The records whose day order is settled by the sequence alone: slash dates that can be read both ways, read without the feeds' declared
+    order, beside the reading in that order."""
+    texts = _time_texts(spark, d)
+    numbers = [F.regexp_extract("text", rf"^\s*{p}", 1).try_cast("int") for p in (r"(\d{1,2})/\d{1,2}/\d{4}", r"\d{1,2}/(\d{1,2})/\d{4}")]
+    both = texts.filter((numbers[0] <= 12) & (numbers[1] <= 12) & (numbers[0] != numbers[1])).select("record_table", "record_id")
+    free = timestamps.normalise(texts.withColumn("day_first", F.lit(None).cast("boolean")))
+    declared = timestamps.normalise(texts).select("record_table", "record_id", F.col("utc_us").alias("declared_us"))
+    return free.join(both, ["record_table", "record_id"]).join(declared, ["record_table", "record_id"]).select("record_table", "record_id", "utc_us", "declared_us")
+
+
 def _purchases(spark: SparkSession, d: str) -> DataFrame:
     """Counted purchases: ``entity, day, cents, late``, whether they were ingested in the last 30 days of the table's ingestion."""
     app = _app(spark, d)
@@ -159,7 +180,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_table, p2_found, p3_found, p3_rolling, p3_versions, p4_found, p6_found, p6_attributes, p7_found, p7_features, p7_expanded)}
+    return {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_undeclared, p3_found, p3_rolling, p3_versions, p4_found, p6_found, p6_attributes, p7_found, p7_features, p7_expanded)}
 
 
 _COUNTED = """with counted as (
