@@ -120,6 +120,18 @@ class Between(Interval):
     high: Node
 
 
+@dataclass(frozen=True)
+class Sessions(Interval):
+    """``last 2 sessions of 30 minutes``: from the start of a session of the entity, which ends with longer inactivity, to the observation."""
+
+    count: int
+    gap: int
+
+    @property
+    def column(self) -> str:
+        return f"s_{self.count}_{self.gap}"
+
+
 @dataclass(frozen=True)
 class Agg(Node):
     name: str

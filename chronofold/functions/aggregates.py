@@ -255,6 +255,21 @@ AGGREGATES |= {
 }
 
 
+def _winsorized(r: Rows, x: Typed, p: object) -> Built:
+    """The values in time order, those beyond the percentile p and its counterpart being set to these."""
+
+    def finish(c: Column) -> Column:
+        v = _in_order(c)
+        s = F.sort_array(v)
+        low, high = _percentile(s, float(p) / 100), _percentile(s, 1 - float(p) / 100)
+        return _some(c, F.transform(v, lambda a: F.when(a > high, high).when(a < low, low).otherwise(a)))
+
+    return Built(_collected(r, x.num("argument")), LIST, type=T.ArrayType(T.DoubleType()), finish=finish)
+
+
+AGGREGATES["winsorize"] = Aggregate(_winsorized, arity=2)
+
+
 @dataclass(frozen=True)
 class Parts:
     """An aggregate as parts that add up: each a value per row and how values are combined; ``total`` makes the result of the combined parts."""

@@ -14,7 +14,7 @@ Where no entity links the two sides of a join, they are joined by time buckets.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +27,7 @@ from chronofold.fql.lexer import QueryError
 from chronofold.functions import aggregates
 from chronofold.functions.aggregates import Built, Rows
 from chronofold.functions.typed import MAP, Typed
+from chronofold.operators import sessions
 from chronofold.plans import blocks, intervals
 from chronofold.plans.binder import Binder, group_key, narrow, uses_event, uses_observation
 from chronofold.plans.observations import Observations
@@ -103,13 +104,15 @@ class Engine:
         scope: str = RELATED,
         include_events_on_obs_date: bool = False,
         experiment_id: str | None = None,
+        related: Iterable[str] | None = None,
     ) -> DataFrame:
         """A row per observation, a column per feature, in the order of the query. ``scope``: events of the observation's entities and global events,
-        or all events that have entities."""
+        or all events that have entities. ``related``: entity types; events are found by the observation's entities of these types alone."""
         if scope not in (RELATED, ALL):
             raise ValueError(f"scope {scope!r}")
         features = parse_query(query)
         self.inclusive, self.scope, self.experiment = include_events_on_obs_date, scope, experiment_id
+        self.related = None if related is None else sorted(set(related))
         attrs = self.store.events.schema["attrs"].dataType
         self.attrs = attrs if isinstance(attrs, T.StructType) else T.StructType([])
         asked = self._observations(observations, features)
@@ -259,18 +262,27 @@ class Engine:
         star = node.name == "count" and isinstance(node.args[0], N.Star)
         return aggregates.PARTS[node.name](rows, None if star else state.binder.bind(node.args[0], True))
 
+    def _linked(self) -> Column:
+        """The entities by which an observation finds its events."""
+        if self.related is None:
+            return F.col("o_entities")
+        return F.map_filter("o_entities", lambda t, _: t.isin(*self.related) if self.related else F.lit(False))
+
     def _keyed(self, events: DataFrame, state: _State, *columns: str) -> DataFrame:
         """The events by ``key``, once for each observed set of entity types of which they have all entities."""
-        o = state.observations
+        o, only = state.observations, self.related
         if o.single is not None:
             each = events.select(F.explode("e_entities").alias("t", "i"), *columns).filter("i is not null")
-            if o.single:
-                each = each.filter(F.col("t").isin(*o.single))
+            for types in (o.single or None, only):
+                if types is not None:
+                    each = each.filter(F.col("t").isin(*types))
             return each.select(F.concat_ws("\x01", "t", "i").alias("key"), *columns)
         if o.together:
-            sets = F.array(F.array(*(F.lit(t) for t in sorted(o.together))))
+            own = [t for t in sorted(o.together) if only is None or t in only]
+            sets = F.array(F.array(*(F.lit(t) for t in own))) if own else F.array().cast("array<array<string>>")
         else:  # the sets of entity types that occur, as a subquery
-            sets = state.asked.filter(F.size("o_entities") > 0).agg(F.collect_set(F.array_sort(F.map_keys("o_entities")))).scalar()
+            own = F.array_sort(F.map_keys(self._linked()))
+            sets = state.asked.select(own.alias("s")).filter(F.size("s") > 0).agg(F.collect_set("s")).scalar()
         each = events.select("e_entities", F.explode(sets).alias("s"), *columns).filter(F.forall("s", lambda t: F.try_element_at(F.col("e_entities"), t).isNotNull()))
         return each.select(canonical_key(F.map_filter("e_entities", lambda k, _: F.array_contains("s", k))).alias("key"), *columns)
 
@@ -317,15 +329,20 @@ class Engine:
                     asks = state.asked.select(F.lit("").alias("key"), "o_us").distinct()
                     result, terms = blocks.terms(rows, asks, wanted, parts, length, True)
                     result = result.drop("key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TIME_SALTS - 1))))
+                elif self.related is not None:  # several observations may have the same of these entities
+                    asks = state.asked.select(canonical_key(self._linked()).alias("key"), "o_us").distinct()
+                    result, terms = blocks.terms(rows, asks, wanted, parts, block, False)
                 else:
                     asks = state.rows.select(F.col("o_key").alias("key"), "o_us", F.struct(*state.rows.columns).alias("o"))
                     result, terms = blocks.terms(rows, asks, wanted, parts, block, False)
                     result = result.drop("key", "o_us")
-                named = {c: f"{what}{i}_{c}" for c in result.columns if c not in ("o", "o_us", "salt")}
+                named = {c: f"{what}{i}_{c}" for c in result.columns if c not in ("o", "o_us", "salt", "key")}
                 result = result.withColumnsRenamed(named)
                 if whole:
                     salted = state.rows.withColumn("salt", F.pmod(F.xxhash64("o_key"), F.lit(TIME_SALTS)).cast("int"))
                     state.rows = salted.join(result, ["o_us", "salt"], "left").drop("salt")
+                elif self.related is not None:
+                    state.rows = state.rows.withColumn("key", canonical_key(self._linked())).join(result, ["key", "o_us"], "left").drop("key")
                 else:
                     state.rows = result.select("o.*", *named.values())
                 for a in mine:
@@ -352,7 +369,29 @@ class Engine:
                 return ("equal", event.kind, own.kind)
         return ("time",)
 
+    def _sessions(self, state: _State, interval: N.Sessions) -> None:
+        """Adds to the observations where their last sessions begin. All visible events of an entity make up its sessions."""
+        if self.scope != RELATED or self.related is not None:
+            raise QueryError("sessions are those of the observation's entities")
+        events = self.store.visible(self.experiment).filter("event_time is not null").select(F.col("entities").alias("e_entities"), F.unix_micros(F.col("event_time").cast("timestamp")).alias("us"))
+        keyed = self._keyed(events, state, "us").select(F.lit("").alias("entity_type"), F.col("key").alias("entity_id"), "us", F.lit(interval.gap).cast("bigint").alias("gap_us"))
+        found = sessions.sessions(keyed)
+        low = F.col("start_us")
+        if interval.count > 1:
+            order = Window.partitionBy("entity_id").orderBy("start_us")
+            low = F.coalesce(F.lag("start_us", interval.count - 1).over(order), F.min("start_us").over(order))
+        # with the observation's own time, low < t <= high is low <= t - 1 < high
+        own = 1 if self.inclusive else 0
+        rows = found.select(F.col("entity_id").alias("key"), (F.col("start_us") - own).alias("us"), F.struct(F.col("start_us"), (low - own).alias("low")).alias("p"))
+        asks = state.rows.select(F.col("o_key").alias("key"), "o_us", F.struct(*state.rows.columns).alias("o"))
+        past = N.Whole(True)
+        result, terms = blocks.terms(rows, asks, {"p": [past]}, {"p": "max"}, blocks.DAY_US, False)
+        state.rows = result.select("o.*", aggregates.merged("max", [F.col(c) for c in terms["p", past]])["low"].alias(interval.column))
+
     def _joins(self, state: _State, aggs: list[_Agg], link: tuple) -> None:
+        for i in dict.fromkeys(a.node.interval for a in aggs):
+            if isinstance(i, N.Sessions) and i.column not in state.rows.columns:
+                self._sessions(state, i)
         obs = state.rows
         limits = {a.column: intervals.bounds(a.node.interval, F.col("o_us"), F.col("obs_dt"), state.binder.bind) for a in aggs}
         obs = obs.withColumns({"o_low": _hull([x for x, _ in limits.values()], F.least, -(2**62)), "o_high": _hull([x for _, x in limits.values()], F.greatest, 2**62)})
@@ -423,7 +462,7 @@ class Engine:
         if link[0] == "time":
             return self._by_time(obs, events.filter(has_entities).select("e", "e_us"), near)
         each = self._keyed(events, state, "e", "e_us").withColumnRenamed("key", "k")
-        pairs = self._by_key(obs.withColumn("j", F.col("o_key")), each, near, hull)
+        pairs = self._by_key(obs.withColumn("j", F.col("o_key") if self.related is None else canonical_key(self._linked())), each, near, hull)
         if self.store.has_global():
             pairs = pairs.unionByName(self._by_time(obs, events.filter(~has_entities).select("e", "e_us"), near))
         return pairs

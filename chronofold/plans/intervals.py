@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chronofold.fql.nodes import Between, Calendar, Interval, Span, Star, Whole
+from chronofold.fql.nodes import Between, Calendar, Interval, Sessions, Span, Star, Whole
 from chronofold.functions.typed import DATE, NULL, STR, TIME, Typed
 
 DAY_US = 86_400_000_000
@@ -114,6 +114,8 @@ def bounds(interval: Interval, obs_us: Column, obs_dt: Column, bind: Callable[[o
     """Low and high; None is open. ``bind`` binds scalar expressions of the observation."""
     if isinstance(interval, Whole):
         return (None, obs_us) if interval.past else (obs_us, None)
+    if isinstance(interval, Sessions):
+        return F.col(interval.column), obs_us
     if isinstance(interval, Span):
         return (obs_us - interval.micros, obs_us) if interval.past else (obs_us, obs_us + interval.micros)
     d = obs_dt.cast("date")

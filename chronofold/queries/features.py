@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronofold import sdk
 from chronofold.common import table, use_utc
 from chronofold.plans import observations as O
 from chronofold.plans.engine import ALL, RELATED, Engine
@@ -106,6 +107,10 @@ _AGGREGATES = {
     "agg_median_abs_dev": ("median_abs_dev(value) over last 7 days", "round(mad(e.value) * 1.4826 + 1e-8, 6)"),
     "agg_iqr": ("iqr(value) over last 7 days", "round(quantile_cont(e.value, 0.75) - quantile_cont(e.value, 0.25) + 1e-8, 6)"),
     "agg_percentile": ("percentile(value, 90) over last 7 days", "round(quantile_cont(e.value, 0.9) + 1e-8, 6)"),
+    "agg_median_abs_dev_pct": ("median_abs_dev_pct(value) over last 7 days", "round(mad(e.value) * 1.4826 / median(e.value) * 100 + 1e-8, 6)"),
+    "agg_approx_median": ("approx_median(value) over last 7 days", "quantile_disc(e.value, 0.5)"),
+    "bool_in": ("count(*) over last 7 days where (value > 50) in (true)", "count(e.id) filter (e.value > 50)"),
+    "interval_case": ("count(*) over LAST 7 Days", "count(e.id)"),
     "agg_product_null": ("product(if(value > 95, 1.5, null)) over past", "round(product(case when e.value > 95 then 1.5 end) + 1e-8, 6)"),
     "where_null_contract": ("count(*) over last 7 days where if(value > 50, value, null) != 60", "count(e.id) filter (e.value <> 60)"),
     "where_in": ("count(*) over past where event_type in ('view', 'click') and props.k not in (1, 2, 3)", "count(e.id) filter (e.event_type in ('view', 'click') and e.k not in (1, 2, 3))"),
@@ -205,6 +210,61 @@ def agg_values(spark: SparkSession, d: str) -> DataFrame:
     return on_events(spark, d, ["values(event_type) over last 7 days as x"]).withColumn("x", F.array_join("x", ","))
 
 
+def agg_quartiles(spark: SparkSession, d: str) -> DataFrame:
+    rows = on_events(spark, d, ["quartiles(value) over last 7 days as x"])
+    return rounded(rows.select("obs_dt", "user", *(F.try_element_at("x", F.lit(i)).alias(f"q{i}") for i in (1, 2, 3))))
+
+
+def agg_winsorize(spark: SparkSession, d: str) -> DataFrame:
+    rows = on_events(spark, d, ["winsorize(value, 10) over last 7 days as x"])
+    return rounded(rows.select("obs_dt", "user", F.size("x").alias("n"), F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("total"), F.array_max("x").alias("most")))
+
+
+def agg_last_map(spark: SparkSession, d: str) -> DataFrame:
+    """A map as value; its keys for comparison."""
+    store = app_store(spark, d)
+    rows = Engine(store).query(O.fixed(store, ["user"], ["2024-04-01 00:00:00"]), ["@entities.user as user", "last(view_stats) over last 30 days as x"])
+    return rows.withColumn("x", F.array_join(F.array_sort(F.map_keys("x")), ","))
+
+
+def scope_list(spark: SparkSession, d: str) -> DataFrame:
+    """Observations of a part and a supplier whose events are found by the supplier alone."""
+    store = shipments_store(spark, d)
+    obs = O.conditional(store, "quantity = 50")
+    query = ["event_id as event_id", "count(*) over past as n", "sum(quantity) over last 90 days where flag = 'R' as returned", "median(quantity) over last 30 days as middle"]
+    return rounded(Engine(store).query(obs, query, related=["supplier"]))
+
+
+def interval_offset(spark: SparkSession, d: str) -> DataFrame:
+    return on_events(spark, d, ['count(*) over between "2024-01-05" to "2024-01-11" as n', 'sum(value) over between "2024-01-05" to "2024-01-11" as total'])
+
+
+def interval_since(spark: SparkSession, d: str) -> DataFrame:
+    """Since the last event of a kind; without one, all of the past."""
+    return on_events(spark, d, ["count(*) over since event_type = 'purchase' as n", "sum(value) over since event_type = 'purchase' where event_type = 'view' as total"])
+
+
+def interval_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return on_events(spark, d, ["count(*) over last 1 session of 12 hours as n", "sum(value) over last 3 sessions of 12 hours as total"])
+
+
+def new_event(spark: SparkSession, d: str) -> DataFrame:
+    """Events given one by one; a feature without alias is named by its text."""
+    session = sdk.Session(spark)
+    for r in table(spark, d, "nation").orderBy("n_nationkey").toLocalIterator():
+        at = datetime(2024, 1, 1) + timedelta(days=r.n_nationkey)
+        session.new_event(sdk.Event(at, "founded", {"region": str(r.n_regionkey)}, {"size": float(r.n_nationkey)}, r.n_name))
+    return session.query(sdk.Fixed(["2024-01-15 00:00:00"], ["region"]), ["@entities.region as region", "count(*) over past", "sum(size) over future"], config=sdk.QueryConfig(parallel=False))
+
+
+def obs_interval_units(spark: SparkSession, d: str) -> DataFrame:
+    store, out = events_store(spark, d), None
+    for n, unit in ((36, "hour"), (2, "week"), (5000, "minute"), (400_000, "second"), (700_000_000, "millisecond")):
+        own = Engine(store).query(O.every(store, n, unit, ["user"]), [*KEYS, "count(*) over last 36 hours as n"]).withColumn("unit", F.lit(unit))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def group_by_map(spark: SparkSession, d: str) -> DataFrame:
     """A map in one cell, as text for comparison."""
     return on_events(spark, d, ["count(*) over past group by event_type as x"]).withColumn("x", F.array_join(F.transform(F.array_sort(F.map_entries("x")), lambda e: F.concat_ws(":", e["key"], e["value"])), ","))
@@ -458,7 +518,7 @@ def entity_scan(spark: SparkSession, d: str) -> DataFrame:
 _REGULAR: dict[str, Callable] = {
     f.__name__: f
     for f in (
-        agg_values, group_by_map, group_by_number, rolling_frames, variables, select_query, context_event, obs_interval, obs_fixed, obs_specific, obs_all_events, obs_by_entity, obs_conditional, obs_event_specific,
+        agg_quartiles, agg_winsorize, agg_last_map, scope_list, interval_offset, interval_since, interval_sessions, new_event, obs_interval_units, agg_values, group_by_map, group_by_number, rolling_frames, variables, select_query, context_event, obs_interval, obs_fixed, obs_specific, obs_all_events, obs_by_entity, obs_conditional, obs_event_specific,
         all_scope_link, all_scope_time, experiment_scope, global_events, weather_features, weekly_features, scan_all, entities, schema, ingest_json, append_events, interval_scan, entity_scan, store_counts, unique_events, point_lookup, type_scan,
     )
 }
@@ -508,6 +568,29 @@ def oracle_sql() -> dict[str, str]:
 points as (select u, unnest(list_distinct(list_append(generate_series(lo, hi, interval 7 day), hi))) as t from spans)"""
     out["obs_interval"] = f"{head}{grid} select o.t as obs_dt, o.u as \"user\", count(e.id) as n, round(avg(e.value) + 1e-8, 6) as mean from points o left join ev e on e.u = o.u and {_LAST7} group by 1, 2"
     out["weekly_features"] = _weekly_sql(head, grid)
+    out["agg_quartiles"] = _sql(", ".join(f"round(quantile_cont(e.value, {q}) + 1e-8, 6) as q{i}" for i, q in ((1, 0.25), (2, 0.5), (3, 0.75))), _LAST7)
+    ends = f", ends as (select o.u, o.t, quantile_cont(e.value, 0.1) as lo, quantile_cont(e.value, 0.9) as hi from obs o join ev e on e.u = o.u and {_LAST7} group by 1, 2)"
+    out["agg_winsorize"] = _own("case when count(e.value) > 0 then cast(count(e.value) as integer) end as n, round(sum(least(greatest(e.value, lo), hi)) + 1e-8, 6) as total, round(max(least(greatest(e.value, lo), hi)) + 1e-8, 6) as most", ends, f"left join ends x on x.u = o.u and x.t = o.t left join ev e on e.u = o.u and {_LAST7} group by 1, 2")
+    out["agg_last_map"] = """with users as (select distinct entities['user'] as u from app_event where experiment_id is null and entities['user'] is not null),
+e as (select u, event_id, event_time, attrs.view_stats as m from (select entities['user'] as u, * from app_event) where experiment_id is null and u is not null
+  union all select u, event_id, event_time, attrs.view_stats from users cross join app_event where experiment_id is null and coalesce(cardinality(entities), 0) = 0)
+select users.u as "user", array_to_string(list_sort(map_keys(arg_max(m, (event_time, coalesce(event_id, ''))))), ',') as x from users left join e on e.u = users.u and m is not null
+  and event_time >= timestamp '2024-03-02' and event_time < timestamp '2024-04-01' group by 1"""
+    out["scope_list"] = """select o.l_orderkey || '-' || o.l_linenumber as event_id, count(e.l_orderkey) as n,
+  round(sum(e.l_quantity) filter (e.l_returnflag = 'R' and e.l_shipdate >= o.l_shipdate - interval 90 day) + 1e-8, 6) as returned,
+  round(median(e.l_quantity) filter (e.l_shipdate >= o.l_shipdate - interval 30 day) + 1e-8, 6) as middle
+from (select * from (select *, row_number() over (partition by l_partkey, l_suppkey, l_shipdate order by l_orderkey || '-' || l_linenumber desc) as place from lineitem where l_quantity = 50) where place = 1) o
+left join lineitem e on e.l_suppkey = o.l_suppkey and e.l_shipdate < o.l_shipdate group by 1, o.l_partkey, o.l_suppkey, o.l_shipdate"""
+    out["interval_offset"] = _sql("count(e.id) as n, round(sum(e.value) + 1e-8, 6) as total", "e.ts >= timestamp '2024-01-05' and e.ts < timestamp '2024-01-11 23:59:59'")
+    since = ", since as (select o.u, o.t, max(e.ts) as lo from obs o left join ev e on e.u = o.u and e.ts < o.t and e.event_type = 'purchase' group by 1, 2)"
+    out["interval_since"] = _own("count(e.id) as n, round(sum(e.value) filter (e.event_type = 'view') + 1e-8, 6) as total", since, "join since s on s.u = o.u and s.t = o.t left join ev e on e.u = o.u and e.ts < o.t and (lo is null or e.ts >= lo) group by 1, 2")
+    starts = """, marked as (select u, ts, case when ts - lag(ts) over (partition by u order by ts) <= interval 12 hour then 0 else 1 end as begins from ev),
+starts as (select u, ts from marked where begins = 1),
+lows as (select o.u, o.t, list_sort(list(s.ts), 'desc') as x from obs o left join starts s on s.u = o.u and s.ts < o.t group by 1, 2)"""
+    out["interval_sessions"] = _own("count(e.id) filter (e.ts >= x[1]) as n, round(sum(e.value) filter (e.ts >= x[least(3, len(x))]) + 1e-8, 6) as total", starts, "join lows l on l.u = o.u and l.t = o.t left join ev e on e.u = o.u and e.ts < o.t group by 1, 2")
+    out["new_event"] = """select cast(n_regionkey as varchar) as region, count(*) filter (n_nationkey < 14) as "count(*) over past", sum(cast(n_nationkey as double)) filter (n_nationkey >= 14) as "sum(size) over future" from nation group by 1"""
+    steps = " union all ".join(f"select u, unnest(list_distinct(list_append(generate_series(lo, hi, interval '{n} {unit}s'), hi))) as t, '{unit}' as unit from spans" for n, unit in ((36, "hour"), (14, "day"), (5000, "minute"), (400_000, "second"), (700_000_000, "millisecond"))).replace("'day' as unit", "'week' as unit")
+    out["obs_interval_units"] = f"{head}{grid.split(chr(10))[0]} points as ({steps}) select o.t as obs_dt, o.u as \"user\", o.unit, count(e.id) as n from points o left join ev e on e.u = o.u and e.ts >= o.t - interval 36 hour and e.ts < o.t group by 1, 2, 3"
     out["obs_fixed"] = _sql("count(e.id) as n", _PAST)
     out["obs_specific"] = f"""{head}, points as (select u, t from (values ('1'), ('2'), ('3'), ('999999')) a(u) cross join (values (timestamp '2024-01-10'), (timestamp '2024-01-20')) b(t))
 select o.t as obs_dt, o.u as "user", count(e.id) as n from points o left join ev e on e.u = o.u and {_PAST} group by 1, 2"""

@@ -116,7 +116,7 @@ def documents_store(spark: SparkSession, d: str) -> EventStore:
     return EventStore(
         docs.select(
             F.col("doc_id").cast("string").alias("event_id"), F.lit("revision").alias("event_type"), F.col("rev_time").alias("event_time"),
-            F.create_map(F.lit("page"), F.col("doc_id").cast("string")).alias("entities"), F.struct("title", "lang", "source").alias("attrs"),
+            F.create_map(F.lit("page"), F.col("page_id").cast("string")).alias("entities"), F.struct("title", "lang", "source", "text").alias("attrs"),
         )
     )
 

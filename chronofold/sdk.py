@@ -86,9 +86,10 @@ ObservationConfig = Interval | Fixed | EntitySpecific | ConditionalEvents | Enti
 
 @dataclass
 class EventScope:
-    """Events of the observation's entities, or all events that have entities."""
+    """Events of the observation's entities, of those of the listed types if any are, or all events that have entities."""
 
     all_events: bool = False
+    related_entities_events: list[str] | None = None
 
 
 @dataclass
@@ -154,7 +155,8 @@ class Session:
     def query(self, observation_config: ObservationConfig, query: str | list[str], scope: EventScope | None = None, config: QueryConfig | None = None, experiment_id: str | None = None) -> DataFrame:
         store, config = self.store, config or QueryConfig()
         how = ALL if scope is not None and scope.all_events else RELATED
-        return Engine(store).query(observations(store, observation_config), query, how, config.include_events_on_obs_date, experiment_id)
+        related = scope.related_entities_events or None if scope is not None else None
+        return Engine(store).query(observations(store, observation_config), query, how, config.include_events_on_obs_date, experiment_id, related)
 
     def schema(self) -> str:
         return self.store.schema_json()
