@@ -33,7 +33,7 @@ def _time_texts(spark: SparkSession, d: str) -> DataFrame:
     feed = table(spark, d, "feed").select("feed_id", F.col("feed_zone").alias("zone"), "day_first")
     files = table(spark, d, "event_file")
     seq = F.row_number().over(Window.partitionBy("feed_id").orderBy("period_start", "file_id"))
-    place = files.dropna(subset=["feed_id", "file_id"]).select("feed_id", "file_id", seq.cast("bigint").alias("seq"), F.explode(F.sequence(F.lit(0), F.lit(_FILE_SALTS - 1))).alias("salt"))
+    place = files.dropna(subset=["feed_id", "file_id"]).select("feed_id", "file_id", seq.cast("bigint").alias("seq")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_FILE_SALTS - 1))))
     at = F.coalesce("line_no", F.col("raw_id").bitwiseAND(0x7FFFFFFF)).cast("bigint")
     lines = table(spark, d, "raw_event").select("raw_id", "feed_id", "file_id", at.alias("pos"), F.col("event_time").alias("text")).withColumn("salt", F.pmod("raw_id", F.lit(_FILE_SALTS)).cast("int"))
     events = lines.join(place, ["feed_id", "file_id", "salt"], "left").select(
