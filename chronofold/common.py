@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +46,15 @@ def counted(rows: DataFrame, row_id: str, *columns: Column) -> DataFrame:
         .filter((F.col("_rank") == 1) & ~F.col("_exp"))
         .drop("_id", "_own", "_in", "_exp", "_rank", "_row")
     )
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, worked out now and written to the shared folder that the session names in ``spark.checkpoint.dir``, so that they are worked out once
+    and lost executors don't matter. A local session without such a folder gets one; a cluster without one works the rows out anew at each use."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chronofold"))
+    return df.checkpoint()
