@@ -17,13 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.common import settled
+
 CAPACITY = 2048
-#: Parts in which the items of one size are numbered.
-SALTS = 64
+#: The items of a size are numbered in parts of about so many.
+SALT_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -102,20 +103,23 @@ def _slots(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray, n
     return {size: tuple(np.array(x, np.int64) for x in zip(*r)) for size, r in runs.items()}
 
 
-def pack(sizes: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
     """``sizes``: ``id, n_tokens``. Returns ``doc_id, piece_no, first_token, n_tokens, container_id``, a row per piece; a document that fits is one piece.
 
-    The sizes are kept (memory and disk), since they are counted before they are assigned. Only the counts by size, at most ``capacity + 1``
-    rows, come to the driver.
+    The sizes are written once (see ``settled``), since they are counted before they are assigned. Only the counts by size, at most ``capacity + 1`` rows, come to the driver.
     """
-    sizes = sizes.select("id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = settled(sizes.select("id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
     last = F.greatest(F.floor((F.col("n_tokens") - 1) / F.lit(capacity)), F.lit(0))
     start = F.col("piece_no") * capacity
     items = sizes.select("id", "n_tokens", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("piece_no")).select(
-        "id", "piece_no", start.cast("bigint").alias("first_token"), F.least(F.col("n_tokens") - start, F.lit(capacity)).cast("int").alias("size"), F.pmod(F.xxhash64("id", "piece_no"), F.lit(salts)).alias("salt")
+        "id", "piece_no", start.cast("bigint").alias("first_token"), F.least(F.col("n_tokens") - start, F.lit(capacity)).cast("int").alias("size")
     )
+    counts = {r["size"]: r["count"] for r in items.groupBy("size").count().collect()}
+    # sizes with more items have more parts
+    many = {size: -(-n // salt_rows) for size, n in counts.items() if n > salt_rows}
+    salts = F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[F.col("size")], F.lit(1)) if many else F.lit(1)
+    items = items.withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), salts))
     by_salt = items.groupBy("size", "salt").count()
-    counts = {r["size"]: r["count"] for r in by_salt.groupBy("size").agg(F.sum("count").alias("count")).collect()}
     counts.pop(0, None)
     patterns = plan(counts, capacity)
     slots, containers = _slots(patterns), sum(p.times for p in patterns)

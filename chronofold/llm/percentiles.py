@@ -1,8 +1,8 @@
 """Exact percentiles of very large numeric columns by radix selection.
 
 Values are mapped to whole numbers of the same order; a histogram of the leading digit is made per group, each target rank
-follows the one digit that contains it, and only values under that digit go into the next histogram, until the digit holds
-one value. Histograms of separate days or files add up to those of the whole: ``summary`` gives them to a chosen number of
+follows the one digit that contains it, and only values under that digit go into the next histogram, until the target is the digit's lowest or
+highest value. Values move once, by group and salt, and stay there for all further digits. Histograms of separate days or files add up to those of the whole: ``summary`` gives them to a chosen number of
 digits, ``combine`` adds them, ``percentiles_of`` reads percentiles off them with a bounded relative error.
 
 Defined cases: nulls and NaN are no values; a group without values has no row; a null group key is a group of its own; -0 is
@@ -11,15 +11,14 @@ Defined cases: nulls and NaN are no values; a group without values has no row; a
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 64
 #: Bits decided by each pass. The leading digit has the sign, the exponent and four bits of the fraction.
 WIDTHS = (16, 16, 16, 16)
-#: Targets that go to all tasks at most; more are joined by shuffle.
-MOST_BROADCAST = 20_000
+#: Parts of a group's values.
+SALTS = 64
 _FRACTION = 1 << 52
 
 
@@ -61,11 +60,11 @@ def _same(a: str, b: str, columns: list[str]) -> Column:
     return F.expr(" and ".join(f"{a}.`{c}` <=> {b}.`{c}`" for c in columns))
 
 
-def radix_select(rows: DataFrame, groups: list[str], permilles: tuple[int, ...], widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+def radix_select(rows: DataFrame, groups: list[str], permilles: tuple[int, ...], widths: tuple[int, ...] = WIDTHS, salts: int = SALTS) -> DataFrame:
     """``rows``: the group columns and ``key`` (see ``ordered``). Returns the group columns, ``n`` (values in the group), ``permille`` and ``key``.
 
-    Each pass shuffles histograms, of at most 2^width entries a group, and the values under open digits. Open targets are counted and, up to
-    ``MOST_BROADCAST``, sent to the values; else both are shuffled by group and digit. Targets are kept between passes, with lineage.
+    The first pass shuffles histograms, of at most 2^width entries a group; the values then go to their group and salt, where each pass keeps those
+    under open digits. One plan, without an action and nothing kept.
     """
     shift = BITS - widths[0]
     hist = _histogram(rows, groups, shift)
@@ -74,30 +73,27 @@ def radix_select(rows: DataFrame, groups: list[str], permilles: tuple[int, ...],
     below = F.sum("here").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("here")
     hist = hist.withColumns({"n": F.sum("here").over(whole), "below": below})
     asked = F.array(*[F.struct(F.lit(p).alias("permille"), _rank(p, F.col("n")).alias("rank")) for p in permilles])
-    targets = hist.withColumn("t", F.explode(asked)).filter("t.rank > below and t.rank <= below + here").select(*groups, "n", "t.permille", (F.col("t.rank") - F.col("below")).alias("rest"), "digit", "low", "high")
+    targets = hist.withColumn("t", F.explode(asked)).filter("t.rank > below and t.rank <= below + here").select(*groups, "n", "t.permille", (F.col("t.rank") - F.col("below")).alias("rest"), "digit", "here", "low", "high")
+    rows = rows.select(*groups, "key").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
     found = []
     for width in (*widths[1:], 0):
-        targets = targets.persist(StorageLevel.MEMORY_AND_DISK)
-        found.append(targets.filter("low = high").select(*groups, "n", "permille", F.col("low").alias("key")))
-        pending = targets.filter("low < high")
-        n_open = pending.count()
-        if not n_open:
+        settled = F.when(F.col("rest") == 1, F.col("low")).when(F.col("rest") == F.col("here"), F.col("high")).when(F.col("low") == F.col("high"), F.col("low"))
+        found.append(targets.withColumn("key", settled).filter("key is not null").select(*groups, "n", "permille", "key"))
+        if not width:
             break
-        follow = pending.select(*groups, "digit").distinct()
-        if n_open <= MOST_BROADCAST:
-            follow = F.broadcast(follow)
-        marked = rows.withColumn("digit", F.shiftright("key", shift)).alias("r")
-        rows = marked.join(follow.alias("f"), _same("r", "f", [*groups, "digit"]), "left_semi").select(*groups, "key", F.col("digit").alias("under"))
-        if found[1:] == []:
-            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        pending = targets.filter("low < high and rest > 1 and rest < here")
+        follow = pending.select(*groups, "digit").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        # the digit is no join key, so that values stay where their group and salt are
+        here = F.expr(f"shiftright(r.key, {shift}) - f.digit = 0")
+        rows = rows.alias("r").join(follow.alias("f"), _same("r", "f", groups) & F.expr("r.salt = f.salt") & here, "left_semi")
+        marked = rows.withColumn("under", F.shiftright("key", shift))
         shift -= width
-        hist = _histogram(rows, [*groups, "under"], shift)
+        hist = _histogram(marked, [*groups, "under"], shift)
         inner = Window.partitionBy(*groups, "under").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("below", F.sum("here").over(inner) - F.col("here"))
-        o = pending.withColumnRenamed("digit", "under").drop("low", "high")
+        o = pending.withColumnRenamed("digit", "under").drop("low", "high", "here")
         both = o.alias("o").join(hist.alias("h"), _same("o", "h", [*groups, "under"]))
-        targets = both.filter("o.rest > h.below and o.rest <= h.below + h.here").select(*(F.col(f"o.{c}") for c in (*groups, "n", "permille")), (F.col("o.rest") - F.col("h.below")).alias("rest"), "h.digit", "h.low", "h.high")
-        rows = rows.drop("under")
+        targets = both.filter("o.rest > h.below and o.rest <= h.below + h.here").select(*(F.col(f"o.{c}") for c in (*groups, "n", "permille")), (F.col("o.rest") - F.col("h.below")).alias("rest"), "h.digit", "h.here", "h.low", "h.high")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

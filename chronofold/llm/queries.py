@@ -20,22 +20,37 @@ def _latencies(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_type", F.col("entities")["user"].alias("user_id"), F.date_format("event_time", "yyyy-MM-dd").alias("on_day"), percentiles.ordered(x).alias("key"))
 
 
+_COLUMNS = ("event_type", "user_id", "on_day")
+
+
+def _grouped(rows: DataFrame, *values: str) -> DataFrame:
+    """Every row once for each grouping, with nulls for the columns that it doesn't have."""
+    none = F.lit(None).cast("string")
+    each = F.array(*(F.struct(F.lit(name).alias("grouping"), *((F.col(c) if c in groups else none).alias(c) for c in _COLUMNS)) for name, groups in GROUPINGS.items()))
+    return rows.select(F.explode(each).alias("g"), *values).select("g.*", *values)
+
+
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of the latency by event type, by user, by day, by all three together and over all."""
-    rows, out = _latencies(spark, d), None
-    for name, groups in GROUPINGS.items():
-        own = rows.withColumn("whole", F.lit(0)).select(*(groups or ["whole"]), "key")
-        found = percentiles.radix_select(own, groups or ["whole"], PERMILLES)
-        none = F.lit(None).cast("string")
-        found = found.select(F.lit(name).alias("grouping"), *(F.col(c) if c in groups else none.alias(c) for c in ("event_type", "user_id", "on_day")), "n", "permille", percentiles.value_of(F.col("key")).alias("value"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = percentiles.radix_select(_grouped(_latencies(spark, d), "key"), ["grouping", *_COLUMNS], PERMILLES)
+    return found.select("grouping", *_COLUMNS, "n", "permille", percentiles.value_of(F.col("key")).alias("value"))
 
 
 def p5_merged(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles by event type from the added-up summaries of separate days, to a relative error of 2^-12."""
-    days = percentiles.summary(_latencies(spark, d), ["event_type", "on_day"])
-    return percentiles.percentiles_of(percentiles.combine(days, ["event_type"]), ["event_type"], PERMILLES)
+    """The same percentiles to a relative error of 2^-12, from the added-up summaries of separate event types, users and days."""
+    parts = percentiles.summary(_latencies(spark, d), list(_COLUMNS))
+    groups = ["grouping", *_COLUMNS]
+    return percentiles.percentiles_of(percentiles.combine(_grouped(parts, "digit", "here"), groups), groups, PERMILLES)
+
+
+def p5_error(spark: SparkSession, d: str) -> DataFrame:
+    """Is each merged percentile as near to the exact one as stated?"""
+    groups = ["grouping", *_COLUMNS]
+    exact = p5_percentiles(spark, d).withColumnRenamed("value", "exact").alias("x")
+    same = F.expr(" and ".join(f"m.`{c}` <=> x.`{c}`" for c in (*groups, "n", "permille")))
+    both = p5_merged(spark, d).alias("m").join(exact, same, "full_outer")
+    near = F.coalesce(F.abs(F.col("value") - F.col("exact")) <= F.abs("exact") * 2.0**-12, F.lit(False))
+    return both.select(*(F.coalesce(f"m.{c}", f"x.{c}").alias(c) for c in (*groups, "n", "permille")), near.alias("near"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +70,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_percentiles, p5_merged, p8_ids, p9_containers, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p5_percentiles, p5_merged, p5_error, p8_ids, p9_containers, p10_found, p10_statistics)}
 
 
 _RANKED = """select '{name}' as "grouping", {cols}, count(*) over (partition by {part}) as n,
@@ -68,10 +83,9 @@ def oracle_sql() -> dict[str, str]:
         cols = ", ".join(c if c in groups else f"cast(null as varchar) as {c}" for c in ("event_type", "user_id", "on_day"))
         parts.append(_RANKED.format(name=name, cols=cols, part=", ".join(groups) or "1"))
     asked = ", ".join(f"({p})" for p in PERMILLES)
-    return {
-        "p5_percentiles": f"""with v as (select event_type, entities['user'] as user_id, strftime(event_time, '%Y-%m-%d') as on_day, attrs.latency_ms as x
+    exact = f"""with v as (select event_type, entities['user'] as user_id, strftime(event_time, '%Y-%m-%d') as on_day, attrs.latency_ms as x
   from app_event where attrs.latency_ms is not null and not isnan(attrs.latency_ms)),
 ranked as ({" union all ".join(parts)})
 select "grouping", event_type, user_id, on_day, n, cast(permille as integer) as permille, x as value
-from ranked join (values {asked}) as asked(permille) on place = greatest(1, (permille * n + 999) // 1000)""",
-    }
+from ranked join (values {asked}) as asked(permille) on place = greatest(1, (permille * n + 999) // 1000)"""
+    return {"p5_percentiles": exact, "p5_error": f"""select "grouping", event_type, user_id, on_day, n, permille, true as near from ({exact})"""}
