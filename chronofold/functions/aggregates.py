@@ -404,3 +404,61 @@ PARTS: dict[str, Callable[[Rows, Typed], Parts | None]] = {
     "any": _one("or", BOOL, _bool, False),
     "all": _one("and", BOOL, _bool, True),
 }
+
+
+@dataclass(frozen=True)
+class Lagged:
+    """An aggregate that adds up once each used row knows the used one before it, of its entity or of its entity and value, whether or not that is in
+    the interval: what the first row of the interval has from before it is known by its place and taken off."""
+
+    #: Null where the row isn't used.
+    value: Column
+    by_value: bool
+    #: Parts of a row from its value, its place (time and tiebreak) and the row before, of which null means none.
+    parts: Callable[[Column, Column, Column], tuple[tuple[Column, str], ...]]
+    #: The result from the parts and the low bound of the interval, None if open.
+    total: Callable[..., Column]
+    kind: str
+    empty: object = None
+
+
+_NEVER = 2**62
+
+
+def _again(pick: str | None) -> Callable[[Rows, Typed], Lagged | None]:
+    """A value, or the extreme, is there twice if it was there before, but not before the interval."""
+
+    def build(r: Rows, x: Typed) -> Lagged | None:
+        if x.kind in ("map", "struct", "list"):
+            return None  # can't be compared
+        was = lambda before: F.coalesce(before["us"], F.lit(-_NEVER))
+        sign = -1 if pick == "min" else 1
+        parts = lambda v, _, before: ((F.when(v.isNotNull(), was(before) if pick is None else F.struct(v.alias("v"), (was(before) * sign).alias("was"))), pick or "max"),)
+
+        def total(a: Column, low: Column | None) -> Column:
+            last = a if pick is None else a["was"] * sign
+            return last > -_NEVER if low is None else last >= low
+
+        return Lagged(_used(r, x.col), True, parts, total, BOOL, False)
+
+    return build
+
+
+def _steps(step: Callable[[Column, Column, Column], Column], value: Callable[[Rows, Typed], Column], total: Callable[[Column, Column], Column]) -> Callable[[Rows, Typed], Lagged]:
+    """Steps from each row to the next; the one into the interval's first row is taken off."""
+
+    def parts(v: Column, place: Column, before: Column) -> tuple[tuple[Column, str], ...]:
+        d = F.when(v.isNotNull(), F.coalesce(step(v, place, before), F.lit(0.0)))
+        first = F.when(v.isNotNull(), F.struct(place["us"].alias("us"), place["tie"].alias("tie"), d.alias("d")))
+        return (d, "sum"), (first, "min"), (F.when(v.isNotNull(), F.lit(1)), "sum")
+
+    return lambda r, x: Lagged(value(r, x), False, parts, lambda all_, first, n, low: total(F.when(n > 1, all_ - first["d"]).otherwise(F.lit(0.0)), n), NUM)
+
+
+LAGGED: dict[str, Callable[[Rows, Typed], Lagged | None]] = {
+    "hasduplicate": _again(None),
+    "hasduplicatemin": _again("min"),
+    "hasduplicatemax": _again("max"),
+    "absolutesumofchanges": _steps(lambda v, _, before: F.abs(v - before["v"]), _number, lambda total, n: F.when(n > 0, total)),
+    "avgdaysbetween": _steps(lambda _, place, before: F.floor((place["us"] - before["us"]) / F.lit(DAY_US)).cast("double"), lambda r, x: F.when(_bool(r, x), F.lit(True)), lambda total, n: F.when(n > 1, total / (n - 1))),
+}

@@ -235,3 +235,17 @@ def _nodes(blocked: DataFrame, asks: DataFrame, c: Cut, parts: dict[str, str], b
     tree = spread.groupBy("level", "node").agg(*(aggregates.COMBINE[o](k).alias(k) for k, (_, o, _) in pieces.items()))
     summed = wanted.join(tree, ["level", "node"]).groupBy("o_us").agg(*(aggregates.COMBINE[o](k).alias(k) for k, (_, o, _) in pieces.items()))
     return summed.select("o_us", *(aggregates.added(op, {k: F.col(k) for k, (own, _, _) in pieces.items() if own == n}, n).alias(head + n) for n, op in parts.items()))
+
+
+def previous(rows: DataFrame, value: str, by_value: bool, name: str) -> DataFrame:
+    """Adds as ``name`` the place and value (``us, tie, v``) of the last row before with a ``value``, of the same ``key``, or of the same key and value. Looked for in
+    the row's day, else in the last of earlier days that has one, so that a hot key spreads."""
+    by = ["key", value] if by_value else ["key"]
+    at = F.struct(F.col("us"), F.col("tie"), F.col(value).alias("v"))
+    daily = rows.withColumn("_day", _block(F.col("us"), DAY_US))
+    here = F.last(F.when(F.col(value).isNotNull(), at), True).over(Window.partitionBy(*by, "_day").orderBy("us", "tie").rowsBetween(Window.unboundedPreceding, -1))
+    lasts = daily.filter(F.col(value).isNotNull()).groupBy(*by, "_day").agg(F.max(at).alias("_last"))
+    days = daily.select(*by, "_day").distinct().join(lasts, [*by, "_day"], "left") if not by_value else lasts
+    before = days.withColumn("_before", F.last("_last", True).over(Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)))
+    found = daily.withColumn("_here", here).join(before.select(*by, "_day", "_before"), [*by, "_day"], "left")
+    return found.withColumn(name, F.coalesce("_here", "_before")).drop("_here", "_before", "_day")

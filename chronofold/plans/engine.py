@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -218,13 +219,17 @@ class Engine:
 
     def _summed(self, state: _State, node: N.Agg) -> bool:
         inside = [*node.args, *([node.where] if node.where else [])]
+        if node.name in aggregates.LAGGED:  # what is before a row can be of the same sequence only
+            adds_up = self.scope == RELATED and self.related is None and aggregates.LAGGED[node.name](self._rows(F.lit(True)), state.binder.bind(node.args[0], True)) is not None
+        else:
+            adds_up = node.name in aggregates.PARTS
         return (
-            node.name in aggregates.PARTS
+            adds_up
             and isinstance(node.interval, (N.Whole, N.Span, N.Calendar))
             and node.group_by is None
             and node.having is None
             and not any(uses_observation(x) for x in inside)
-            and self._parts(state, node, self._rows(F.lit(True))) is not None
+            and (self._parts(state, node, self._rows(F.lit(True))) is not None if node.name in aggregates.PARTS else not self.store.has_global())
         )
 
     def _events(self, nodes: list[N.Agg]) -> DataFrame:
@@ -292,7 +297,11 @@ class Engine:
         events = self._events([a.node for a in aggs])
         columns: dict[str, tuple[str, Column, str]] = {}
         found: dict[str, tuple[aggregates.Parts, list[str]]] = {}
+        lagged: dict[str, aggregates.Lagged] = {}
         for a in aggs:
+            if a.node.name in aggregates.LAGGED:
+                lagged[a.column] = aggregates.LAGGED[a.node.name](self._rows(self._use(state, a.node)), state.binder.bind(a.node.args[0], True))
+                continue
             p = self._parts(state, a.node, self._rows(self._use(state, a.node)))
             names = []
             for k, (value, op) in enumerate(p.values):
@@ -305,10 +314,24 @@ class Engine:
             found[a.column] = (p, names)
         # with the observation's own time, low < t <= high is low <= t - 1 < high
         us = F.col("e_us") - 1 if self.inclusive else F.col("e_us")
-        ready = events.select("e_entities", us.alias("us"), *(v.alias(n) for n, (_, v, _) in columns.items()))
+        # equal values share the look for the row before, over whatever intervals
+        value_of: dict[tuple[str, bool], tuple[str, Column]] = {}
+        raw = {c: value_of.setdefault((x.value._jc.toString(), x.by_value), (f"v{len(value_of)}", x.value))[0] for c, x in lagged.items()}
+        tie = [F.coalesce(F.col("e").getField("event_id"), F.lit("")).alias("tie")] if raw else []
+        ready = events.select("e_entities", us.alias("us"), *tie, *(v.alias(n) for n, (_, v, _) in columns.items()), *(v.alias(n) for n, v in value_of.values()))
         links = []
         if self.scope == RELATED:
-            links.append(("e", self._keyed(ready, state, "us", *columns), False))
+            keyed = self._keyed(ready, state, *ready.columns[1:])
+            for (_, by_value), (n, _) in value_of.items():
+                keyed = blocks.previous(keyed, n, by_value, f"b{n}")
+            for c, x in lagged.items():
+                node = next(a.node for a in aggs if a.column == c)
+                parts = {f"{node.name}_{raw[c]}_{k}": part for k, part in enumerate(x.parts(F.col(raw[c]), F.struct("us", "tie"), F.col(f"b{raw[c]}")))}
+                keyed = keyed.withColumns({n: v for n, (v, _) in parts.items() if n not in columns})
+                columns |= {n: (n, v, op) for n, (v, op) in parts.items()}
+                low, _ = intervals.bounds(node.interval, F.col("o_us"), F.col("obs_dt"), state.binder.bind)
+                found[c] = (aggregates.Parts((), partial(x.total, low=low), x.kind, x.empty), list(parts))
+            links.append(("e", keyed, False))
             if self.store.has_global():
                 links.append(("g", ready.filter(F.size("e_entities") == 0), True))
         else:
