@@ -2,7 +2,8 @@
 
 Values are mapped to whole numbers of the same order; a histogram of the leading digit is made per group, each target rank
 follows the one digit that contains it, and only values under that digit go into the next histogram, until the target is the digit's lowest or
-highest value. Values move once, by group and salt, and stay there for all further digits. Histograms of separate days or files add up to those of the whole: ``summary`` gives them to a chosen number of
+highest value. Only values that a filter of fixed size lets through, which knows the open digits by hash, move, once, by group and salt, and stay
+there for all further digits. Histograms of separate days or files add up to those of the whole: ``summary`` gives them to a chosen number of
 digits, ``combine`` adds them, ``percentiles_of`` reads percentiles off them with a bounded relative error.
 
 Defined cases: nulls and NaN are no values; a group without values has no row; a null group key is a group of its own; -0 is
@@ -19,6 +20,8 @@ BITS = 64
 WIDTHS = (16, 16, 16, 16)
 #: Parts of a group's values.
 SALTS = 64
+#: Words of 64 bits of the filter, 1 MB whatever the data.
+FILTER_WORDS = 1 << 17
 _FRACTION = 1 << 52
 
 
@@ -60,29 +63,69 @@ def _same(a: str, b: str, columns: list[str]) -> Column:
     return F.expr(" and ".join(f"{a}.`{c}` <=> {b}.`{c}`" for c in columns))
 
 
-def radix_select(rows: DataFrame, groups: list[str], permilles: tuple[int, ...], widths: tuple[int, ...] = WIDTHS, salts: int = SALTS) -> DataFrame:
-    """``rows``: the group columns and ``key`` (see ``ordered``). Returns the group columns, ``n`` (values in the group), ``permille`` and ``key``.
+def _bit(columns: list[Column]) -> tuple[Column, Column]:
+    """The word and the bit of a key in the filter."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(FILTER_WORDS * 64))
+    return F.shiftright(at, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _filter(keys: DataFrame, columns: list[str]) -> Column:
+    """The words of a filter with the bits of all keys, as a subquery. It lets some others through, all of them at worst."""
+    word, bit = _bit([F.col(c) for c in columns])
+    none = keys.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    words = keys.select(word.alias("word"), bit.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).unionByName(none)
+    whole = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return whole.select(F.transform("words", lambda w: w["bits"])).scalar()
+
+
+def grouped(rows: DataFrame, groupings: dict[str, list[str]], *values: str, only: Column | None = None, digit: Column | None = None) -> DataFrame:
+    """Every row once for each grouping: ``grouping``, all group columns, with nulls for those that the grouping doesn't have, and the values. ``only``: a
+    filter of groups and digits; rows without a bit in it are left out."""
+    columns = list(dict.fromkeys(c for own in groupings.values() for c in own))
+    types = {c: rows.schema[c].dataType for c in columns}
+    each = []
+    for name, own in groupings.items():
+        cells = [F.lit(name).alias("grouping"), *((F.col(c) if c in own else F.lit(None).cast(types[c])).alias(c) for c in columns)]
+        row = F.struct(*cells)
+        if only is not None:
+            word, bit = _bit([*cells, digit])
+            row = F.when(F.get(only, word).bitwiseAND(bit) != 0, row)
+        each.append(row)
+    together = F.array(*each) if only is None else F.array_compact(F.array(*each))
+    return rows.select(F.explode(together).alias("g"), *values).select("g.*", *values)
+
+
+def radix_select(rows: DataFrame, groupings: dict[str, list[str]], permilles: tuple[int, ...], widths: tuple[int, ...] = WIDTHS, salts: int = SALTS) -> DataFrame:
+    """``rows``: the group columns and ``key`` (see ``ordered``). Returns ``grouping``, the group columns, null where a grouping doesn't have them, ``n`` (values
+    in the group), ``permille`` and ``key``.
 
     The first pass shuffles histograms, of at most 2^width entries a group; the values then go to their group and salt, where each pass keeps those
     under open digits. One plan, without an action and nothing kept.
     """
     shift = BITS - widths[0]
+    source, rows = rows, grouped(rows, groupings, "key")
+    groups = [c for c in rows.columns if c != "key"]
     hist = _histogram(rows, groups, shift)
     w = Window.partitionBy(*groups).orderBy("digit")
     whole = Window.partitionBy(*groups)
     below = F.sum("here").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("here")
     hist = hist.withColumns({"n": F.sum("here").over(whole), "below": below})
     asked = F.array(*[F.struct(F.lit(p).alias("permille"), _rank(p, F.col("n")).alias("rank")) for p in permilles])
-    targets = hist.withColumn("t", F.explode(asked)).filter("t.rank > below and t.rank <= below + here").select(*groups, "n", "t.permille", (F.col("t.rank") - F.col("below")).alias("rest"), "digit", "here", "low", "high")
-    rows = rows.select(*groups, "key").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+    inside = lambda t: (t["rank"] > F.col("below")) & (t["rank"] <= F.col("below") + F.col("here"))
+    targets = hist.withColumn("t", F.explode(F.filter(asked, inside))).select(*groups, "n", "t.permille", (F.col("t.rank") - F.col("below")).alias("rest"), "digit", "here", "low", "high")
     found = []
     for width in (*widths[1:], 0):
         settled = F.when(F.col("rest") == 1, F.col("low")).when(F.col("rest") == F.col("here"), F.col("high")).when(F.col("low") == F.col("high"), F.col("low"))
         found.append(targets.withColumn("key", settled).filter("key is not null").select(*groups, "n", "permille", "key"))
         if not width:
             break
-        pending = targets.filter("low < high and rest > 1 and rest < here")
-        follow = pending.select(*groups, "digit").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        # a shuffle of open targets alone, which all that follows reads
+        pending = targets.filter("low < high and rest > 1 and rest < here").repartition(*groups)
+        opened = pending.select(*groups, "digit").distinct()
+        if len(found) == 1:
+            rows = grouped(source, groupings, "key", only=_filter(opened, [*groups, "digit"]), digit=F.shiftright("key", shift))
+            rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+        follow = opened.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         # the digit is no join key, so that values stay where their group and salt are
         here = F.expr(f"shiftright(r.key, {shift}) - f.digit = 0")
         rows = rows.alias("r").join(follow.alias("f"), _same("r", "f", groups) & F.expr("r.salt = f.salt") & here, "left_semi")

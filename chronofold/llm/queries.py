@@ -17,30 +17,24 @@ def _latencies(spark: SparkSession, d: str) -> DataFrame:
     use_utc(spark)
     x = F.col("attrs.latency_ms")
     rows = table(spark, d, "app_event").filter(percentiles.usable(x))
-    return rows.select("event_type", F.col("entities")["user"].alias("user_id"), F.date_format("event_time", "yyyy-MM-dd").alias("on_day"), percentiles.ordered(x).alias("key"))
+    return rows.select("event_type", F.col("entities")["user"].alias("user_id"), F.to_date("event_time").alias("on_day"), percentiles.ordered(x).alias("key"))
 
 
 _COLUMNS = ("event_type", "user_id", "on_day")
-
-
-def _grouped(rows: DataFrame, *values: str) -> DataFrame:
-    """Every row once for each grouping, with nulls for the columns that it doesn't have."""
-    none = F.lit(None).cast("string")
-    each = F.array(*(F.struct(F.lit(name).alias("grouping"), *((F.col(c) if c in groups else none).alias(c) for c in _COLUMNS)) for name, groups in GROUPINGS.items()))
-    return rows.select(F.explode(each).alias("g"), *values).select("g.*", *values)
+_SHOWN = ("grouping", "event_type", "user_id", "cast(on_day as string) as on_day", "n", "permille")
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of the latency by event type, by user, by day, by all three together and over all."""
-    found = percentiles.radix_select(_grouped(_latencies(spark, d), "key"), ["grouping", *_COLUMNS], PERMILLES)
-    return found.select("grouping", *_COLUMNS, "n", "permille", percentiles.value_of(F.col("key")).alias("value"))
+    found = percentiles.radix_select(_latencies(spark, d), GROUPINGS, PERMILLES)
+    return found.withColumn("value", percentiles.value_of(F.col("key"))).selectExpr(*_SHOWN, "value")
 
 
 def p5_merged(spark: SparkSession, d: str) -> DataFrame:
     """The same percentiles to a relative error of 2^-12, from the added-up summaries of separate event types, users and days."""
     parts = percentiles.summary(_latencies(spark, d), list(_COLUMNS))
     groups = ["grouping", *_COLUMNS]
-    return percentiles.percentiles_of(percentiles.combine(_grouped(parts, "digit", "here"), groups), groups, PERMILLES)
+    return percentiles.percentiles_of(percentiles.combine(percentiles.grouped(parts, GROUPINGS, "digit", "here"), groups), groups, PERMILLES).selectExpr(*_SHOWN, "value")
 
 
 def p5_error(spark: SparkSession, d: str) -> DataFrame:
