@@ -2,10 +2,14 @@
 
 import base64
 import math
+import pathlib
 import random
 from collections import Counter
+from functools import cache
+from itertools import product
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -151,14 +155,14 @@ def test_radix_select(spark, salts, widths):
     rows = [(rnd.choice(["a", "b", None]), rnd.choice([rnd.lognormvariate(3, 2), 7.0, -rnd.random(), None, float("nan")]), 1) for _ in range(3000)] + [("one", 3.5, 1), ("none", None, 1), ("close", 1.0, 1), ("close", math.nextafter(1.0, 2), 1)]
     df = spark.createDataFrame(rows, "g string, x double, digit int").filter(percentiles.usable(F.col("x"))).select("g", percentiles.ordered(F.col("x")).alias("key"))
     permilles = (1, 500, 900, 1000)
-    got = {(r.g, r.permille): (r.n, r.value) for r in percentiles.radix_select(df, ["g"], permilles, widths, salts).select("g", "n", "permille", percentiles.value_of(F.col("key")).alias("value")).collect()}
+    got = {(r.g, r.permille): (r.n, r.value) for r in percentiles.radix_select(df, {"g": ["g"]}, permilles, widths, salts).select("g", "n", "permille", percentiles.value_of(F.col("key")).alias("value")).collect()}
     want = {}
     for g in ("a", "b", None, "one", "close"):
         own = sorted(x for h, x, _ in rows if h == g and x is not None and not math.isnan(x))
         for p in permilles:
             want[g, p] = (len(own), own[max(math.ceil(p * len(own) / 1000), 1) - 1])
     assert got == want
-    assert percentiles.radix_select(df.limit(0), ["g"], permilles).count() == 0
+    assert percentiles.radix_select(df.limit(0), {"g": ["g"]}, permilles).count() == 0
 
 
 @pytest.mark.parametrize("bits", [16, 24])
@@ -177,6 +181,8 @@ def test_summaries_combine(spark, bits):
 
 # text statistics
 
+DOCUMENTS = pathlib.Path("/root/testdata/sf0.01/documents.parquet")
+
 PROSE = "The old harbour was rebuilt after a long dispute, and most of the lower town had to be closed. It was not until 1904 that the road was opened."
 
 
@@ -204,8 +210,43 @@ PROSE = "The old harbour was rebuilt after a long dispute, and most of the lower
         *((None, x) for x in ("", None, "   \n ", "#REDIRECT [[Oakton]]", "#перенаправление [[Oakton]]\n{{R from move}}", "== History ==", "﻿")),
     ],
 )
-def test_kinds(kind, text):
-    assert textstats.describe([text])["doc_kind"] == [kind]
+@pytest.mark.parametrize("fitted", [False, True])
+def test_kinds(kind, text, fitted):
+    assert textstats.describe([text], corpus() if fitted else textstats.at_start())["doc_kind"] == [kind]
+
+
+@cache
+def corpus():
+    """A model of the test documents, or of a few texts if there are none."""
+    if DOCUMENTS.exists():
+        return textstats.fit(pq.read_table(DOCUMENTS, columns=["text"]).column("text").to_pylist())
+    return textstats.fit([PROSE] * 20)
+
+
+OTHERS = {
+    "Polish": (None, "W zeszłym roku mieszkańcy małego miasteczka nad rzeką postanowili odnowić stary ratusz, który od dawna stał pusty i niszczał.\nPrace rozpoczęły się wiosną i potrwają do końca przyszłego roku."),
+    "Finnish": (None, "Hallituksen mukaan uusi laki parantaa pienten yritysten mahdollisuuksia palkata lisää työntekijöitä syrjäseuduilla."),
+    "Hungarian": (None, "A kormány tegnap elfogadta az új törvényt, amely jelentősen megváltoztatja az iskolák működését vidéken."),
+    "Ukrainian": (None, "Уряд ухвалив новий закон, який змінить порядок виплати пенсій мешканцям сільської місцевості."),
+    "Greek": (None, "Η κυβέρνηση ανακοίνωσε χθες νέα μέτρα για την ενίσχυση των μικρών επιχειρήσεων στην επαρχία."),
+    "few common words": (None, "Spark executors spill sorted runs to local disk whenever available memory cannot hold every record of one partition.\nShuffle readers merge those runs lazily, keeping peak memory bounded."),
+    "cookie banner": (None, "We use cookies to improve your experience on this site. By continuing you agree to our policy.\nAccept all\nReject all\nSettings"),
+    "commas": ("table", "id,name,price,stock\n1,Widget,9.99,12\n2,Gadget,14.50,7\n3,Gizmo,3.25,140\n4,Doohickey,8.00,0"),
+    "JSON lines": ("junk", '{"id": 1, "name": "Widget", "price": 9.99}\n{"id": 2, "name": "Gadget", "price": 14.5}\n{"id": 3, "name": "Gizmo", "tags": ["a", "b"]}'),
+    "code": ("junk", "def load(path):\n    with open(path) as f:\n        rows = [line.split(',') for line in f]\n    return rows\n\nfor r in load('x.csv'):\n    print(r[0], r[1])\nif __name__ == '__main__':\n    main()"),
+    "vandalism": ("junk", "banana banana banana banana\nyo mama\nyo mama\nyo mama\nbanana banana banana\nBANANA!!!"),
+    "keys": ("junk", "asdkjh qwlekj zxmcnb qpwoei\nlkjasd mnbzxc qweoiu asdjkl zmxncb pqowei\nsdfkjh xcvmnb weriou"),
+    "tags": ("junk", '<div class="nav"><a href="/home">Home</a></div>\n<span>&nbsp;</span>\n<br/>\n<div id=x></div>'),
+    "recipe": ("list", "2 eggs\n1 cup of sugar\n250 g flour\nA pinch of salt"),
+    "semicolons": ("list", "The stone bridge; Oakton; Two of its bells; Elmford; Ashby; The chapel on the hill; Pinemoor; Birchley"),
+}
+
+
+@pytest.mark.parametrize("name", OTHERS)
+def test_kinds_of_other_texts(name):
+    """Texts of kinds that the corpus doesn't have."""
+    kind, text = OTHERS[name]
+    assert textstats.describe([text], corpus())["doc_kind"] == [kind]
 
 
 def test_statistics(spark):
@@ -215,23 +256,64 @@ def test_statistics(spark):
     assert got[1].n_words == 5 and got[1].mean_word_length == pytest.approx(19 / 5) and got[1].punctuated_line_share == 0.5
     assert got[1].symbol_ratio == pytest.approx(1 / 23) and got[1].common_word_share == pytest.approx(2 / 5)
     assert got[2].n_words == 0 and got[2].prose_share == 0 and got[2].doc_kind is None
-    assert got[3].prose_share == 1 and got[5].prose_share == 1 and got[4].doc_kind == "list"
+    assert got[3].prose_share == 1 and got[5].prose_share == 1 and got[4].doc_kind == "junk"  # the same short line again and again
     assert all(sum(getattr(r, f"{s}_share") for s in textstats.STATES) == pytest.approx(1) for i, r in got.items() if i != 2)
     assert textstats.text_statistics(df.limit(0)).count() == 0
 
 
+def _random_model(rnd):
+    part = lambda *shape: np.log(np.random.default_rng(rnd.randrange(10**6)).dirichlet(np.ones(shape[-1]), shape[:-1]))
+    return textstats.Model(part(1, 4)[0], part(2, 4, 4), tuple(part(4, n) for n in (len(textstats.FORMS), *(len(b) + 1 for b in textstats._BOUNDS))), {})
+
+
+def _random_documents(rnd, sizes):
+    docs = [[(*(rnd.randrange(n) for n in (10, 6, 4, 5)), rnd.randrange(2)) for _ in range(n)] for n in sizes]
+    flat = np.array([x for d in docs for x in d]).reshape(-1, 5)
+    return docs, flat[:, :4], flat[:, 4], np.array(sizes)
+
+
+def _paths(model, doc):
+    """Score of every path."""
+    e = textstats._scores(model, np.array(doc)[:, :4])
+    score = lambda p: model.start[p[0]] + sum(e[i][s] for i, s in enumerate(p)) + sum(model.move[doc[i + 1][4]][a][b] for i, (a, b) in enumerate(zip(p, p[1:])))
+    return {p: score(p) for p in product(range(4), repeat=len(doc))}
+
+
 def test_viterbi_is_the_best_path():
     rnd = random.Random(8)
-    move = lambda a, b, gap: math.log(textstats._EMIT.shape[0] and ((textstats.STAY, textstats.STAY_APART)[gap] if a == b else (1 - (textstats.STAY, textstats.STAY_APART)[gap]) / 3))
-    docs = [[(rnd.randrange(9), rnd.randrange(2)) for _ in range(n)] for n in (3, 1, 5, 0, 4)]
-    flat = [x for d in docs for x in d]
-    labels = textstats.viterbi(np.array([s for s, _ in flat]), np.array([g for _, g in flat]), np.array([len(d) for d in docs]))
-    score = lambda d, path: textstats._START[path[0]] + sum(math.log(textstats._EMIT[p, s]) for p, (s, _) in zip(path, d)) + sum(move(a, b, g) for a, b, (_, g) in zip(path, path[1:], d[1:]))
-    at = 0
+    model = _random_model(rnd)
+    docs, classes, apart, lengths = _random_documents(rnd, (3, 1, 5, 0, 4))
+    labels, at = textstats.viterbi(model, classes, apart, lengths), 0
     for d in docs:
-        mine = list(labels[at : at + len(d)])
+        if d:
+            scores = _paths(model, d)
+            assert scores[tuple(labels[at : at + len(d)])] == pytest.approx(max(scores.values()))
         at += len(d)
+
+
+def test_expected_states_are_those_of_all_paths():
+    rnd = random.Random(9)
+    model = _random_model(rnd)
+    docs, classes, apart, lengths = _random_documents(rnd, (2, 4, 0, 1, 3))
+    states, moves, first = textstats._expect(model, classes, apart, lengths)
+    want, turns, at = np.zeros_like(states), np.zeros_like(moves), 0
+    for d in docs:
         if d:
-            from itertools import product
+            scores = _paths(model, d)
+            whole = sum(map(math.exp, scores.values()))
+            for p, s in scores.items():
+                for i, a in enumerate(p):
+                    want[at + i, a] += math.exp(s) / whole
+                for i, (a, b) in enumerate(zip(p, p[1:])):
+                    turns[d[i + 1][4], a, b] += math.exp(s) / whole
+        at += len(d)
+    assert np.allclose(states, want) and np.allclose(moves, turns) and first.sum() == pytest.approx(4)
+
 
-            assert score(d, mine) == pytest.approx(max(score(d, p) for p in product(range(4), repeat=len(d))))
+def test_fit_makes_its_sample_likelier():
+    texts = ["* Oakton\n* Elmford\n\n" + PROSE, PROSE + "\n" + PROSE, "a;1;2\nb;3;4\nc;5;6", "{{x}}\n| a = 1\n}}"] * 30
+    stats, apart, _, lengths, _, _ = textstats._lines(texts, {})
+    classes = textstats._classes(stats)
+    best = lambda m: textstats._scores(m, classes)[np.arange(len(classes)), textstats.viterbi(m, classes, apart, lengths)].sum()
+    assert best(textstats.fit(texts)) > best(textstats.at_start())
+    assert textstats.fit([]).pairs == {} and textstats.fit([None, ""]).pairs == {}
