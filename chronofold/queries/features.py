@@ -75,7 +75,7 @@ _AGGREGATES = {
     "agg_count": ("count(value) over last 7 days", "count(e.value)"),
     "agg_count_all": ("count(*) over last 7 days where event_type = 'view'", "count(e.id) filter (e.event_type = 'view')"),
     "agg_sum": ("sum(value) over last 7 days", "round(sum(e.value) + 1e-8, 6)"),
-    "agg_product": ("product(value / 100) over last 3 days", "round(product(e.value / 100) filter (e.ts >= o.t - interval 3 day) + 1e-8, 6)"),
+    "agg_product": ("ln(product((value + 1) / 50) over last 3 days)", "round(ln(product((e.value + 1) / 50) filter (e.ts >= o.t - interval 3 day)) + 1e-8, 6)"),
     "agg_min": ("min(value) over last 7 days", "min(e.value)"),
     "agg_max": ("max(value) over last 7 days", "max(e.value)"),
     "agg_max_str": ("max(event_type) over last 7 days", "max(e.event_type)"),
@@ -388,29 +388,55 @@ def global_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weather_features(spark: SparkSession, d: str) -> DataFrame:
-    """The published weather query, over the readings table, weekly per city."""
+    """The published weather query of 19 features over the readings table, weekly per city. Readings lack some of its columns; in their stead stand gusts and
+    evaporation for the wind speeds of morning and afternoon, sunshine and humidity for the clouds, and the day's maximum and minimum for the
+    temperatures of afternoon and morning (humidity where that would be asked twice)."""
     use_utc(spark)
-    store = EventStore(table(spark, d, "reading").withColumnRenamed("reading_id", "event_id"))
-    return rounded(Engine(store).query(O.every(store, 7, "day", ["city"]), ["obs_dt as obs_dt", "@entities.city as city", *(f"{text} as {name}" for name, text in WEATHER.items())]))
+    store = EventStore(table(spark, d, "reading").withColumnRenamed("reading_id", "event_id"), has_global=False)
+    texts = [f"{agg} over {span}{where} as {name}" for name, (agg, span, where) in WEATHER.items()]
+    return rounded(Engine(store).query(O.every(store, 7, "day", ["city"]), ["obs_dt as obs_dt", "@entities.city as city", *texts]))
 
 
 WEATHER = {
-    "avg_max_temp": "avg(max_temp) over last 7 days",
-    "min_min_temp": "min(min_temp) over last 7 days",
-    "max_gust": "max(wind_gust_speed) over last 3 days",
-    "last_humidity": "last(humidity_3pm) over past",
-    "first_humidity": "first(humidity_9am) over future",
-    "sum_rain": "sum(rainfall) over last 30 days",
-    "rainy_days": "count(*) over last 30 days where rain_today = 'Yes'",
-    "dry_days": "count(*) over last 30 days where rain_today = 'No'",
-    "avg_sun": "avg(sunshine) over last 7 days",
-    "sum_pressure": "sum(pressure_9am) over last 3 days",
-    "sum_pressure_3pm": "sum(pressure_3pm) over last 3 days",
-    "last_gust_dir": "last(wind_gust_dir) over past",
-    "max_evaporation": "max(evaporation) over last 7 days",
+    "avg_max_temp": ("avg(max_temp)", "last 7 days", ""),
+    "min_min_temp": ("min(min_temp)", "last 7 days", ""),
+    "max_gust": ("max(wind_gust_speed)", "last 3 days", ""),
+    "last_humidity": ("last(humidity_3pm)", "past", ""),
+    "first_humidity": ("first(humidity_9am)", "future", ""),
+    "sum_rain": ("sum(rainfall)", "last 30 days", ""),
+    "avg_wind_9am": ("avg(wind_gust_speed)", "last 5 days", ""),
+    "avg_wind_3pm": ("avg(evaporation)", "last 5 days", ""),
+    "last_temp_3pm": ("last(max_temp)", "last 3 days", ""),
+    "first_temp_9am": ("first(min_temp)", "last 3 days", ""),
+    "rainy_days": ("count(*)", "last 30 days", " where rain_today = 'Yes'"),
+    "dry_days": ("count(*)", "last 30 days", " where rain_today = 'No'"),
+    "avg_cloud_9am": ("avg(sunshine)", "last 7 days", ""),
+    "avg_cloud_3pm": ("avg(humidity_3pm)", "last 7 days", ""),
+    "sum_pressure": ("sum(pressure_9am)", "last 3 days", ""),
+    "sum_pressure_3pm": ("sum(pressure_3pm)", "last 3 days", ""),
+    "last_gust_dir": ("last(wind_gust_dir)", "past", ""),
+    "max_temp_3pm": ("max(max_temp)", "last 7 days", ""),
+    "min_temp_9am": ("min(humidity_9am)", "last 7 days", ""),
 }
 
 
+def _weather_sql() -> str:
+    cols = []
+    for name, (agg, span, where) in WEATHER.items():
+        f, x = agg[:-1].split("(")
+        on = "ts >= o.t" if span == "future" else "ts < o.t" + (f" and ts >= o.t - interval {span.split()[1]} day" if span != "past" else "")
+        if f in ("first", "last"):
+            cols.append(f"arg_{'min' if f == 'first' else 'max'}({x}, (ts, cast(id as varchar))) filter ({on} and {x} is not null) as {name}")
+        elif f in ("avg", "sum"):
+            cols.append(f"round({f}({x}) filter ({on}) + 1e-8, 6) as {name}")
+        else:
+            cols.append(f"{agg} filter ({on}{where.replace(' where', ' and')}) as {name}")
+    return f"""with r as (select reading_id as id, event_time as ts, entities['city'] as city, attrs.* from reading),
+spans as (select city, min(ts) - interval 1 millisecond as lo, max(ts) + interval 1 millisecond as hi from r group by 1),
+o as (select city, unnest(list_distinct(list_append(generate_series(lo, hi, interval 7 day), hi))) as t from spans)
+select o.t as obs_dt, o.city, {", ".join(cols)} from o left join r e on e.city = o.city group by 1, 2"""
+
+
 #: The shape of the published benchmark: name -> (aggregate, SQL of its value, days back, condition).
 WEEKLY = {
     "avg_value_7": ("avg(value)", "avg(e.value)", 7, None),
@@ -615,16 +641,7 @@ from users o cross join x left join e on e.u = o.u and (e.experiment_id is null
 points as (select u.u, o.t from users u cross join (select distinct t from obs) o)
 select o.t as obs_dt, o.u as "user", count(e.id) as n, count(e.id) filter (e.event_type = 'signup') as signups, round(max(e.value) filter (e.ts >= o.t - interval 2 day) + 1e-8, 6) as most
 from points o left join ev e on (e.event_type = 'signup' or e.u = o.u) and e.ts < o.t group by 1, 2"""
-    f = lambda n: f"filter (e.ts >= o.t - interval {n} day and e.ts < o.t)"
-    out["weather_features"] = f"""with r as (select reading_id as id, event_time as ts, entities['city'] as city, attrs.* from reading),
-spans as (select city, min(ts) - interval 1 millisecond as lo, max(ts) + interval 1 millisecond as hi from r group by 1),
-o as (select city, unnest(list_distinct(list_append(generate_series(lo, hi, interval 7 day), hi))) as t from spans)
-select o.t as obs_dt, o.city, round(avg(max_temp) {f(7)} + 1e-8, 6) as avg_max_temp, min(min_temp) {f(7)} as min_min_temp, max(wind_gust_speed) {f(3)} as max_gust,
-  arg_max(humidity_3pm, (ts, cast(id as varchar))) filter (ts < o.t and humidity_3pm is not null) as last_humidity, arg_min(humidity_9am, (ts, cast(id as varchar))) filter (ts >= o.t and humidity_9am is not null) as first_humidity,
-  round(sum(rainfall) {f(30)} + 1e-8, 6) as sum_rain, count(*) filter (rain_today = 'Yes' and ts >= o.t - interval 30 day and ts < o.t) as rainy_days, count(*) filter (rain_today = 'No' and ts >= o.t - interval 30 day and ts < o.t) as dry_days,
-  round(avg(sunshine) {f(7)} + 1e-8, 6) as avg_sun, round(sum(pressure_9am) {f(3)} + 1e-8, 6) as sum_pressure, round(sum(pressure_3pm) {f(3)} + 1e-8, 6) as sum_pressure_3pm,
-  arg_max(wind_gust_dir, (ts, cast(id as varchar))) filter (ts < o.t and wind_gust_dir is not null) as last_gust_dir, max(evaporation) {f(7)} as max_evaporation
-from o left join r e on e.city = o.city group by 1, 2"""
+    out["weather_features"] = _weather_sql()
     flat = """select cast(event_id as varchar) as event_id, event_type, ts as event_time, cast(user_id as varchar) as "user", value, cast(json_extract(props, '$.k') as double) as k from events"""
     out["scan_all"] = out["ingest_json"] = flat
     out["entities"] = """select distinct 'user' as entity_type, entities['user'] as entity_id from app_event where experiment_id is null and entities['user'] is not null

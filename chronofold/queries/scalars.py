@@ -55,6 +55,8 @@ _MATH = {
     "fn_acosh": ("acosh(value + 1)", "acosh(value + 1)"),
     "fn_atanh": (f"atanh({_P} / 2)", f"atanh({_PS} / 2)"),
     "fn_clamp": ("clamp(value, 20, 60)", "least(greatest(value, 20), 60)"),
+    "fn_clamp_null": ("clamp(if(value > 50, value, null), 20, 60)", "case when value > 50 then least(value, 60) end"),
+    "fn_null_arith": ("if(value > 50, value, null) * 2 + abs(if(value < 90, value, null))", "case when value > 50 and value < 90 then value * 3 end"),
     "fn_if": ("if(event_type = 'view', value, -1)", "case when event_type = 'view' then value else -1 end"),
     "fn_coalesce": ("coalesce(if(value > 50, value, null), 0)", "case when value > 50 then value else 0 end"),
     "fn_hour": ("hour(event_time)", "hour(ts)"),
@@ -86,21 +88,21 @@ _DATES = {
     "fn_format_date": (f"format_date('%Y/%m/%d', {_DATE})", f"strftime({_DATE_SQL}, '%Y/%m/%d')"),
 }
 _TEXTS = {
-    "fn_len": ("len(title)", "strlen(title)"),
-    "fn_trim": ("trim(concat('  ', concat(title, ' ')))", "trim(title)"),
-    "fn_lower": ("lower(title)", "lower(title)"),
+    "fn_len": ("len(text)", "strlen(text)"),
+    "fn_trim": ("trim(concat('  ', concat(text, ' ')))", "trim(text)"),
+    "fn_lower": ("lower(text)", "lower(text)"),
     "fn_upper": ("upper(source)", "upper(source)"),
     "fn_concat": ("concat(lang, source)", "case when lang is not null and source is not null then lang || source end"),
-    "fn_contains": ("contains(title, 'a')", "contains(title, 'a')"),
+    "fn_contains": ("contains(text, 'a')", "contains(text, 'a')"),
     "fn_starts_with": ("starts_with(lang, 'e')", "starts_with(lang, 'e')"),
     "fn_ends_with": ("endsWith(source, 'import')", "ends_with(source, 'import')"),
-    "fn_substr": ("substr(title, 1, 3)", "case when length(title) >= 4 then substr(title, 2, 3) end"),
-    "fn_replace": ("replace(title, 'e', '--')", "replace(title, 'e', '--')"),
-    "fn_regex_match": ("regex_match(title, '^[A-M].*e')", "regexp_matches(title, '^[A-M].*e')"),
-    "fn_regex_extract": ("regex_extract(title, '[aeiou][a-z]+')", "nullif(regexp_extract(title, '[aeiou][a-z]+'), '')"),
-    "fn_regex_replace": ("regex_replace(title, '([aeiou])[a-z]', '<$1>')", "regexp_replace(title, '([aeiou])[a-z]', '<\\1>', 'g')"),
-    "fn_regex_split": ("regex_split(title, '[aeiou]')", "array_to_string(regexp_split_to_array(title, '[aeiou]'), '|')"),
-    "fn_regex_count": ("regex_count(title, '[a-f]')", "len(regexp_extract_all(title, '[a-f]'))"),
+    "fn_substr": ("substr(text, 1, 3)", "case when length(text) >= 4 then substr(text, 2, 3) end"),
+    "fn_replace": ("replace(text, 'e', '--')", "replace(text, 'e', '--')"),
+    "fn_regex_match": ("regex_match(text, '^[A-M].*e')", "regexp_matches(text, '^[A-M].*e')"),
+    "fn_regex_extract": ("regex_extract(text, '[aeiou][a-z]+')", "nullif(regexp_extract(text, '[aeiou][a-z]+'), '')"),
+    "fn_regex_replace": ("regex_replace(text, '([aeiou])[a-z]', '<$1>')", "regexp_replace(text, '([aeiou])[a-z]', '<\\1>', 'g')"),
+    "fn_regex_split": ("regex_split(text, '[aeiou]')", "array_to_string(regexp_split_to_array(text, '[aeiou]'), '|')"),
+    "fn_regex_count": ("regex_count(text, '[a-f]')", "len(regexp_extract_all(text, '[a-f]'))"),
 }
 
 
@@ -147,6 +149,8 @@ def oracle_sql() -> dict[str, str]:
     whole = {"fn_date_diff", "fn_year", "fn_month", "fn_day", "fn_week", "fn_weekday", "fn_day_of_year", "fn_quarter", "fn_date_part", "fn_extract"}
     out |= {k: f"{ev} select cast(event_id as varchar) as event_id, " + (f"cast({s} as bigint)" if k in whole else f"{s}") + " as x from ev" for k, (_, s) in _DATES.items()}
     counts = {"fn_len", "fn_regex_count"}
-    out |= {k: "select cast(doc_id as varchar) as event_id, " + (f"cast({s} as bigint)" if k in counts else s) + " as x from documents where rev_time is not null" for k, (_, s) in _TEXTS.items()}
+    # of several revisions of a page at one time the one with the highest id
+    revisions = "(select *, row_number() over (partition by page_id, rev_time order by cast(doc_id as varchar) desc) as place from documents where rev_time is not null)"
+    out |= {k: "select cast(doc_id as varchar) as event_id, " + (f"cast({s} as bigint)" if k in counts else s) + f" as x from {revisions} where place = 1" for k, (_, s) in _TEXTS.items()}
     out["fn_now"] = """select distinct cast(user_id as varchar) as "user", true as same_day, cast(8 as bigint) as n from events"""
     return out
