@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.common import settled
+
 BITS = 64
 #: Bits decided by each pass. The leading digit has the sign, the exponent and four bits of the fraction.
 WIDTHS = (16, 16, 16, 16)
@@ -25,20 +27,28 @@ FILTER_WORDS = 1 << 17
 _FRACTION = 1 << 52
 
 
-def ordered(x: Column) -> Column:
-    """A bigint with the order of the double ``x``: its exponent and fraction, negative for negative values."""
-    a = F.abs(x)
-    guess = F.greatest(F.floor(F.log2(a)), F.lit(-1022))
+def with_key(rows: DataFrame, x: Column, name: str = "key") -> DataFrame:
+    """Adds a bigint with the order of the double ``x``: its exponent and fraction, negative for negative values, 0 for a null. Step by step, so that each logarithm
+    and power is computed once."""
+    least = 2.0**-1022
+    rows = rows.withColumns({"_a": F.abs(x), "_neg": x < 0})
+    rows = rows.withColumn("_guess", F.least(F.greatest(F.floor(F.log2("_a")), F.lit(-1022)), F.lit(1023)))
+    rows = rows.withColumn("_two", F.pow(F.lit(2.0), F.col("_guess")))
     # the logarithm may be off by one next to a power of two
-    power = F.when(F.pow(F.lit(2.0), guess) > a, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= a, guess + 1).otherwise(guess)
-    power = F.greatest(power, F.lit(-1022))
-    normal = (power + 1022) * F.lit(_FRACTION) + (a / F.pow(F.lit(2.0), power) * F.lit(float(_FRACTION))).cast("bigint")
-    bits = F.when(a == 0, F.lit(0)).when(a == float("inf"), F.lit(2047 * _FRACTION)).otherwise(normal).cast("bigint")
-    return F.when(x < 0, -bits).otherwise(bits)
+    over, under = F.col("_two") > F.col("_a"), F.col("_two") * 2 <= F.col("_a")
+    rows = rows.withColumns(
+        {
+            "_power": F.greatest(F.when(over, F.col("_guess") - 1).when(under, F.col("_guess") + 1).otherwise(F.col("_guess")), F.lit(-1022)),
+            "_unit": F.greatest(F.when(over, F.col("_two") / 2).when(under, F.col("_two") * 2).otherwise(F.col("_two")), F.lit(least)),
+        }
+    )
+    normal = (F.col("_power") + 1022) * F.lit(_FRACTION) + (F.col("_a") / F.col("_unit") * F.lit(float(_FRACTION))).cast("bigint")
+    rows = rows.withColumn("_bits", F.when(F.col("_a") == 0, F.lit(0)).when(F.col("_a") == float("inf"), F.lit(2047 * _FRACTION)).otherwise(normal).cast("bigint"))
+    return rows.withColumn(name, F.coalesce(F.when(F.col("_neg"), -F.col("_bits")).otherwise(F.col("_bits")), F.lit(0).cast("bigint"))).drop("_a", "_neg", "_guess", "_two", "_power", "_unit", "_bits")
 
 
 def value_of(key: Column) -> Column:
-    """The double that ``ordered`` mapped to ``key``."""
+    """The double that ``with_key`` mapped to ``key``."""
     a = F.abs(key)
     power = F.greatest(F.shiftright(a, 52), F.lit(1))
     x = (a - (power - 1) * F.lit(_FRACTION)).cast("double") / F.lit(float(_FRACTION)) * F.pow(F.lit(2.0), (power - 1023).cast("double"))
@@ -78,52 +88,45 @@ def _filter(keys: DataFrame, columns: list[str]) -> Column:
     return whole.select(F.transform("words", lambda w: w["bits"])).scalar()
 
 
-def grouped(rows: DataFrame, groupings: dict[str, list[str]], *values: str, only: Column | None = None, digit: Column | None = None) -> DataFrame:
-    """Every row once for each grouping: ``grouping``, all group columns, with nulls for those that the grouping doesn't have, and the values. ``only``: a
-    filter of groups and digits; rows without a bit in it are left out."""
+def grouped(rows: DataFrame, groupings: dict[str, list[str]], *values: str) -> DataFrame:
+    """Every row once for each grouping: ``grouping``, all group columns, with nulls for those that the grouping doesn't have, and the values."""
     columns = list(dict.fromkeys(c for own in groupings.values() for c in own))
     types = {c: rows.schema[c].dataType for c in columns}
-    each = []
-    for name, own in groupings.items():
-        cells = [F.lit(name).alias("grouping"), *((F.col(c) if c in own else F.lit(None).cast(types[c])).alias(c) for c in columns)]
-        row = F.struct(*cells)
-        if only is not None:
-            word, bit = _bit([*cells, digit])
-            row = F.when(F.get(only, word).bitwiseAND(bit) != 0, row)
-        each.append(row)
-    together = F.array(*each) if only is None else F.array_compact(F.array(*each))
-    return rows.select(F.explode(together).alias("g"), *values).select("g.*", *values)
+    each = [F.struct(F.lit(name).alias("grouping"), *((F.col(c) if c in own else F.lit(None).cast(types[c])).alias(c) for c in columns)) for name, own in groupings.items()]
+    return rows.select(F.explode(F.array(*each)).alias("g"), *values).select("g.*", *values)
 
 
 def radix_select(rows: DataFrame, groupings: dict[str, list[str]], permilles: tuple[int, ...], widths: tuple[int, ...] = WIDTHS, salts: int = SALTS) -> DataFrame:
-    """``rows``: the group columns and ``key`` (see ``ordered``). Returns ``grouping``, the group columns, null where a grouping doesn't have them, ``n`` (values
+    """``rows``: the group columns and ``key`` (see ``with_key``). Returns ``grouping``, the group columns, null where a grouping doesn't have them, ``n`` (values
     in the group), ``permille`` and ``key``.
 
     The first pass shuffles histograms, of at most 2^width entries a group; the values then go to their group and salt, where each pass keeps those
-    under open digits. One plan, without an action and nothing kept.
+    under open digits. The open targets of the first pass, at most three values' worth a group, are written once (see ``settled``), as all that follows reads them.
     """
     shift = BITS - widths[0]
-    source, rows = rows, grouped(rows, groupings, "key")
+    rows = grouped(rows, groupings, "key")
     groups = [c for c in rows.columns if c != "key"]
     hist = _histogram(rows, groups, shift)
     w = Window.partitionBy(*groups).orderBy("digit")
     whole = Window.partitionBy(*groups)
     below = F.sum("here").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("here")
-    hist = hist.withColumns({"n": F.sum("here").over(whole), "below": below})
+    hist = hist.withColumn("below", below).withColumn("n", F.sum("here").over(whole))  # in this order one sort does for both
     asked = F.array(*[F.struct(F.lit(p).alias("permille"), _rank(p, F.col("n")).alias("rank")) for p in permilles])
     inside = lambda t: (t["rank"] > F.col("below")) & (t["rank"] <= F.col("below") + F.col("here"))
     targets = hist.withColumn("t", F.explode(F.filter(asked, inside))).select(*groups, "n", "t.permille", (F.col("t.rank") - F.col("below")).alias("rest"), "digit", "here", "low", "high")
     found = []
     for width in (*widths[1:], 0):
-        settled = F.when(F.col("rest") == 1, F.col("low")).when(F.col("rest") == F.col("here"), F.col("high")).when(F.col("low") == F.col("high"), F.col("low"))
-        found.append(targets.withColumn("key", settled).filter("key is not null").select(*groups, "n", "permille", "key"))
+        value = F.when(F.col("rest") == 1, F.col("low")).when(F.col("rest") == F.col("here"), F.col("high")).when(F.col("low") == F.col("high"), F.col("low"))
+        found.append(targets.withColumn("key", value).filter("key is not null").select(*groups, "n", "permille", "key"))
         if not width:
             break
-        # a shuffle of open targets alone, which all that follows reads
-        pending = targets.filter("low < high and rest > 1 and rest < here").repartition(*groups)
+        pending = targets.filter("low < high and rest > 1 and rest < here")
+        if len(found) == 1:
+            pending = settled(pending)
         opened = pending.select(*groups, "digit").distinct()
         if len(found) == 1:
-            rows = grouped(source, groupings, "key", only=_filter(opened, [*groups, "digit"]), digit=F.shiftright("key", shift))
+            word, bit = _bit([*(F.col(c) for c in groups), F.shiftright("key", shift)])
+            rows = rows.filter(F.get(_filter(opened, [*groups, "digit"]), word).bitwiseAND(bit) != 0)
             rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
         follow = opened.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         # the digit is no join key, so that values stay where their group and salt are

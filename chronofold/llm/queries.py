@@ -15,9 +15,8 @@ GROUPINGS = {"event_type": ["event_type"], "user": ["user_id"], "day": ["on_day"
 
 def _latencies(spark: SparkSession, d: str) -> DataFrame:
     use_utc(spark)
-    x = F.col("attrs.latency_ms")
-    rows = table(spark, d, "app_event").filter(percentiles.usable(x))
-    return rows.select("event_type", F.col("entities")["user"].alias("user_id"), F.to_date("event_time").alias("on_day"), percentiles.ordered(x).alias("key"))
+    rows = table(spark, d, "app_event").select("event_type", F.col("entities")["user"].alias("user_id"), F.to_date("event_time").alias("on_day"), F.col("attrs.latency_ms").alias("x"))
+    return percentiles.with_key(rows.filter(percentiles.usable(F.col("x"))), F.col("x")).drop("x")
 
 
 _COLUMNS = ("event_type", "user_id", "on_day")

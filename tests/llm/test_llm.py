@@ -141,7 +141,7 @@ VALUES = [0.0, -0.0, 1.0, -1.0, 0.1, 1e-300, 5e-324, 2.2250738585072014e-308, 1.
 def test_ordered_keys(spark):
     rnd = random.Random(4)
     values = VALUES + [rnd.uniform(-1, 1) * 10 ** rnd.randint(-300, 300) for _ in range(3000)] + [2.0**k for k in range(-1070, 1023)] + [math.nextafter(2.0**k, 0) for k in range(-1000, 1023)]
-    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", percentiles.ordered(F.col("x")).alias("key"))
+    df = percentiles.with_key(spark.createDataFrame([(v,) for v in values], "x double"), F.col("x"))
     rows = df.select("x", "key", percentiles.value_of(F.col("key")).alias("back")).collect()
     assert all(r.x == r.back for r in rows)
     rows.sort(key=lambda r: r.x)
@@ -153,7 +153,8 @@ def test_ordered_keys(spark):
 def test_radix_select(spark, salts, widths):
     rnd = random.Random(5)
     rows = [(rnd.choice(["a", "b", None]), rnd.choice([rnd.lognormvariate(3, 2), 7.0, -rnd.random(), None, float("nan")]), 1) for _ in range(3000)] + [("one", 3.5, 1), ("none", None, 1), ("close", 1.0, 1), ("close", math.nextafter(1.0, 2), 1)]
-    df = spark.createDataFrame(rows, "g string, x double, digit int").filter(percentiles.usable(F.col("x"))).select("g", percentiles.ordered(F.col("x")).alias("key"))
+    df = spark.createDataFrame(rows, "g string, x double, digit int").filter(percentiles.usable(F.col("x")))
+    df = percentiles.with_key(df, F.col("x")).select("g", "key")
     permilles = (1, 500, 900, 1000)
     got = {(r.g, r.permille): (r.n, r.value) for r in percentiles.radix_select(df, {"g": ["g"]}, permilles, widths, salts).select("g", "n", "permille", percentiles.value_of(F.col("key")).alias("value")).collect()}
     want = {}
@@ -169,7 +170,7 @@ def test_radix_select(spark, salts, widths):
 def test_summaries_combine(spark, bits):
     rnd = random.Random(6)
     rows = [(rnd.choice("ab"), day, rnd.choice([1, -1]) * rnd.lognormvariate(2, 3)) for day in range(5) for _ in range(300)]
-    df = spark.createDataFrame(rows, "g string, day int, x double").select("g", "day", percentiles.ordered(F.col("x")).alias("key"))
+    df = percentiles.with_key(spark.createDataFrame(rows, "g string, day int, x double"), F.col("x"))
     parts = percentiles.summary(df.filter("day < 2"), ["g", "day"], bits).unionByName(percentiles.summary(df.filter("day >= 2"), ["g", "day"], bits))
     whole = percentiles.percentiles_of(percentiles.combine(parts, ["g"]), ["g"], (250, 500, 990), bits).collect()
     assert len(whole) == 6
