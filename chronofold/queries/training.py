@@ -107,11 +107,11 @@ def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_versions(spark: SparkSession, d: str) -> DataFrame:
-    """The advanced state against one computed at once: days, days of equal totals, and days whose totals the later batch left alone."""
+    """The advanced state against one computed at once: by user, the days of either and the days that are equal in both."""
     columns = ["entity", "day", "n", "cents", "n_7", "cents_7", "n_30", "cents_30", "since_first"]
     whole = rolling.rolling_state(rolling.daily(_purchases(spark, d))).select("entity", "day", F.struct(*columns).alias("whole"))
     both = _rolling(spark, d).select("entity", "day", F.struct(*columns).alias("advanced"), "version").join(whole, ["entity", "day"], "full_outer")
-    return both.agg(F.count(F.lit(1)).alias("n_days"), F.count_if(F.col("whole").eqNullSafe(F.col("advanced"))).alias("n_equal"))
+    return both.groupBy(F.col("entity").alias("user_id")).agg(F.count(F.lit(1)).alias("n_days"), F.count_if(F.col("whole").eqNullSafe(F.col("advanced"))).alias("n_equal"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +208,7 @@ union all select user_id, strftime(day, '%Y-%m-%d'), 'burst' from totals where s
         "p3_rolling": _ROLLING
         + """select user_id, strftime(day, '%Y-%m-%d') as on_day, cast(n_7 as bigint) as n_7, cast(cents_7 as bigint) as cents_7, cents_7 / nullif(n_7, 0) / 100 as mean_7,
   cast(n_30 as bigint) as n_30, cast(cents_30 as bigint) as cents_30, cents_30 / nullif(n_30, 0) / 100 as mean_30 from totals""",
-        "p3_versions": _ROLLING + "select count(*) as n_days, count(*) as n_equal from totals",
+        "p3_versions": _ROLLING + "select user_id, count(*) as n_days, count(*) as n_equal from totals group by 1",
         "p4_found": _COUNTED.format(table="app_event", id="row_id")
         + """, each as (select 'user' as entity_type, entities['user'] as entity_id, epoch_us(event_time) as us from counted
   union all select 'device', entities['device'], epoch_us(event_time) from counted),
