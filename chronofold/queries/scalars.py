@@ -87,9 +87,11 @@ _DATES = {
     "fn_extract": (f"extract('year', {_DATE})", f"year({_DATE_SQL})"),
     "fn_format_date": (f"format_date('%Y/%m/%d', {_DATE})", f"strftime({_DATE_SQL}, '%Y/%m/%d')"),
 }
+#: Characters that are white space in Unicode, as SQL.
+_SPACES = " || ".join(f"chr({c})" for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 _TEXTS = {
     "fn_len": ("len(text)", "strlen(text)"),
-    "fn_trim": ("trim(concat('  ', concat(text, ' ')))", "trim(text)"),
+    "fn_trim": ("trim(concat('  ', concat(text, ' ')))", f"trim(text, {_SPACES})"),
     "fn_lower": ("lower(text)", "lower(text)"),
     "fn_upper": ("upper(source)", "upper(source)"),
     "fn_concat": ("concat(lang, source)", "case when lang is not null and source is not null then lang || source end"),

@@ -103,24 +103,38 @@ def test_golden(six, text, want, scope):
         assert one(six, text, scope) == want
 
 
-SUMMED = ["count(*)", "count(temp)", "sum(temp)", "product(temp)", "min(temp)", "max(type)", "avg(pressure)", "var(pressure)", "stdev(temp)", "first(type)", "last(temp)", "argmax(pressure)", "any(is_overcast)", "all(is_overcast)", "time_of_last(is_overcast)", "root_mean_square(temp)", "has_duplicate(dict.m)", "has_duplicate(pressure)", "has_duplicate_min(dict.m)", "has_duplicate_max(is_overcast)", "absolute_sum_of_changes(pressure)", "avg_days_between(is_overcast)"]
+SUMMED = ["count(*)", "count(temp)", "sum(temp)", "product(temp)", "min(temp)", "max(type)", "avg(pressure)", "var(pressure)", "stdev(temp)", "first(type)", "last(temp)", "argmax(pressure)", "any(is_overcast)", "all(is_overcast)", "time_of_last(is_overcast)", "root_mean_square(temp)"]
+LAGGED = ["has_duplicate(dict.m)", "has_duplicate_min(tempint)", "has_duplicate_max(is_overcast)", "absolute_sum_of_changes(pressure)", "avg_days_between(is_overcast)"]
 INTERVALS = ["past", "future", "last 2 days", "next 1 days", "last 1 seconds", "next 36 hours", "last 90 minutes", "ytd", "wtd", "yesterday", "nextweek", "lastmonth", "samedaylastweek"]
 
 
+def _both_plans(store, o, query, scope, inclusive, monkeypatch):
+    near = lambda rows: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in sorted(map(tuple, rows))]
+    blocked = near(Engine(store).query(o, ["obs_dt as t", *query], scope, inclusive).collect())
+    monkeypatch.setattr(engine.Engine, "_summed", lambda *_: False)
+    joined = near(Engine(store).query(o, ["obs_dt as t", *query], scope, inclusive).collect())
+    for got, want in zip(blocked, joined):
+        assert dict(zip(["t", *query], got)) == dict(zip(["t", *query], want))
+    assert len(blocked) == len(joined)
+
+
+TIMES = [T0 + v * DAY + timedelta(microseconds=d) for v in range(0, 8) for d in (-1, 0, 1)] + [T0 + 40 * DAY]
+
+
 @pytest.mark.parametrize("inclusive", [False, True])
 @pytest.mark.parametrize("scope", ["related", ALL])
 def test_blocks_equal_joins(six, inclusive, scope, monkeypatch):
     """The two plans are interchangeable, on and next to events."""
-    times = [T0 + v * DAY + timedelta(microseconds=d) for v in range(0, 8) for d in (-1, 0, 1)] + [T0 + 40 * DAY]
-    o = O.listed(six, [({"location": "a"}, t, None) for t in times])
+    o = O.listed(six, [({"location": "a"}, t, None) for t in TIMES])
     query = [f"{f} over {i} where pressure > -50 as c{k}" for k, (f, i) in enumerate((f, i) for a, f in enumerate(SUMMED) for b, i in enumerate(INTERVALS) if (a + b) % 6 == 0)]
-    near = lambda rows: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in sorted(map(tuple, rows))]
-    blocked = near(Engine(six).query(o, ["obs_dt as t", *query], scope, inclusive).collect())
-    monkeypatch.setattr(engine.Engine, "_summed", lambda *_: False)
-    joined = near(Engine(six).query(o, ["obs_dt as t", *query], scope, inclusive).collect())
-    for got, want in zip(blocked, joined):
-        assert dict(zip(["t", *query], got)) == dict(zip(["t", *query], want))
-    assert len(blocked) == len(times)
+    _both_plans(six, o, query, scope, inclusive, monkeypatch)
+
+
+@pytest.mark.parametrize("name", LAGGED)
+def test_blocks_with_the_row_before_equal_joins(six, name, monkeypatch):
+    o = O.listed(six, [({"location": "a"}, t, None) for t in TIMES])
+    query = [f"{name} over {i} where pressure > -50 as c{k}" for k, i in enumerate(("past", "last 3 days", "future"))]
+    _both_plans(six, o, query, "related", len(name) % 2 == 0, monkeypatch)
 
 
 @pytest.mark.parametrize("inclusive", [False, True])
