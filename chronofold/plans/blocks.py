@@ -106,15 +106,16 @@ def _sums(rows: DataFrame, parts: dict[str, str], *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*(aggregates.gather(op, F.col(n)).alias(n) for n, op in parts.items()))
 
 
-def terms(rows: DataFrame, asks: DataFrame, wanted: dict[str, list[Interval]], parts: dict[str, str], block: int, tree: bool) -> tuple[DataFrame, dict[tuple[str, Interval], list[str]]]:
-    """``rows``: ``key, us`` and the parts; ``asks``: ``key, o_us`` and, to be carried through, ``o``; ``wanted``: intervals by part; ``parts``: how each
+def terms(rows: DataFrame, asks: DataFrame, asked: DataFrame, wanted: dict[str, list[Interval]], parts: dict[str, str], block: int, tree: bool) -> tuple[DataFrame, dict[tuple[str, Interval], list[str]]]:
+    """``rows``: ``key, us`` and the parts; ``asks``: ``key, o_us`` and, to be carried through, ``o``; ``asked``: the same keys
+    and times, without what was computed for them so far, so that plans don't grow with each use; ``wanted``: intervals by part; ``parts``: how each
     is combined. Returns ``key, o_us`` (and ``o``) with columns, and the columns that add up to each part over each interval."""
     cuts = {i: cut(i, block) for own in wanted.values() for i in own}
     marks = sorted({m for c in cuts.values() for m in (c.low, c.high) if m})
     carried = ["o"] if "o" in asks.columns else []
     at = lambda c: _block(c, block)
-    ends = [F.struct(F.lit(i).alias("mark"), place(m).alias("us"), *([F.col("o") if i == 0 else F.lit(None).cast(asks.schema["o"].dataType).alias("o")] if carried else [])) for i, m in enumerate(marks)]
-    marked = asks.select("key", "o_us", F.explode(F.array(*ends)).alias("m")).select("key", "o_us", "m.mark", "m.us", *(f"m.{c}" for c in carried)).withColumn("block", at(F.col("us")))
+    ends = lambda o: [F.struct(F.lit(i).alias("mark"), place(m).alias("us"), *([F.col("o") if i == 0 else F.lit(None).cast(asks.schema["o"].dataType).alias("o")] if o else [])) for i, m in enumerate(marks)]
+    marked = asks.select("key", "o_us", F.explode(F.array(*ends(carried))).alias("m")).select("key", "o_us", "m.mark", "m.us", *(f"m.{c}" for c in carried)).withColumn("block", at(F.col("us")))
     types = {n: rows.schema[n].dataType for n in parts}
     nothing = [F.lit(None).cast(t).alias(n) for n, t in types.items()]
     none = [F.lit(None).cast("bigint").alias("o_us"), F.lit(None).cast("int").alias("mark"), *(F.lit(None).cast(asks.schema["o"].dataType).alias("o") for _ in carried)]
@@ -138,7 +139,8 @@ def terms(rows: DataFrame, asks: DataFrame, wanted: dict[str, list[Interval]], p
 
     middles = {(n, cuts[i].middle) for n, own in wanted.items() for i in own if cuts[i].middle}
     if middles and not tree:
-        done = done.join(_frames(blocked, marked, middles, parts, types, block), ["key", "block"], "left")
+        places = asked.select("key", F.explode(F.array(*ends([]))).alias("m")).select("key", at(F.col("m.us")).alias("block"))
+        done = done.join(_frames(blocked, places, middles, parts, types, block), ["key", "block"], "left")
     for n, own in wanted.items():
         for i in own:
             c = cuts[i]
@@ -156,7 +158,7 @@ def terms(rows: DataFrame, asks: DataFrame, wanted: dict[str, list[Interval]], p
     if tree:
         by = {i: [n for n, own in wanted.items() if i in own] for i in cuts}
         for k, (i, own) in enumerate(by.items()):
-            nodes = _nodes(blocked, asks, cuts[i], {n: parts[n] for n in own}, block, f"w{k}_")
+            nodes = _nodes(blocked, asked, cuts[i], {n: parts[n] for n in own}, block, f"w{k}_")
             if nodes is not None:
                 out = out.join(nodes, "o_us", "left")
                 for n in own:
@@ -164,12 +166,12 @@ def terms(rows: DataFrame, asks: DataFrame, wanted: dict[str, list[Interval]], p
     return out, found
 
 
-def _frames(blocked: DataFrame, marked: DataFrame, middles: set, parts: dict[str, str], types: dict, block: int) -> DataFrame:
+def _frames(blocked: DataFrame, places: DataFrame, middles: set, parts: dict[str, str], types: dict, block: int) -> DataFrame:
     """For each block with marks what the whole blocks around it add up to: ``key, block`` and ``PART_KIND_ARGUMENT``."""
     used = {n: op for n, op in parts.items() if any(n == p for p, _ in middles)}
     totals = _sums(blocked, used, "key", "block").withColumn("asked", F.lit(False))
     reach = {kind: max([m[2] for _, m in middles if m[1] == kind], default=1) - 1 for kind in ("back", "ahead")}
-    asked = marked.select("key", "block").distinct().select("key", "block", *(F.lit(None).cast(totals.schema[n].dataType).alias(n) for n in used), F.lit(True).alias("asked"))
+    asked = places.distinct().select("key", "block", *(F.lit(None).cast(totals.schema[n].dataType).alias(n) for n in used), F.lit(True).alias("asked"))
     by = ["key"]
     if block < 3_600_000_000:
         by = ["key", "stretch"]
@@ -201,7 +203,7 @@ def _frames(blocked: DataFrame, marked: DataFrame, middles: set, parts: dict[str
     return seq.select("key", "block", "asked", *(c.alias(k) for k, c in out.items())).filter("asked").drop("asked")
 
 
-def _nodes(blocked: DataFrame, asks: DataFrame, c: Cut, parts: dict[str, str], block: int, head: str) -> DataFrame | None:
+def _nodes(blocked: DataFrame, asked: DataFrame, c: Cut, parts: dict[str, str], block: int, head: str) -> DataFrame | None:
     """By ``o_us`` what the whole blocks of an interval add up to, from a tree of block sums."""
     at = lambda m: _block(place(m), block) + F.lit(ORIGIN)
     high = at(c.high) if c.high else F.lit(1 << LEVELS).cast("bigint")
@@ -225,7 +227,7 @@ def _nodes(blocked: DataFrame, asks: DataFrame, c: Cut, parts: dict[str, str], b
         return F.struct(F.shiftright(a + 1, 1).alias("a"), F.shiftright(b, 1).alias("b"), own.alias("nodes"))
 
     levels = F.sequence(F.lit(0), F.lit(LEVELS))
-    wanted = asks.select("o_us").distinct().select("o_us", F.explode(F.aggregate(levels, F.struct(low.alias("a"), high.alias("b"), nowhere.alias("nodes")), step, lambda s: s["nodes"])).alias("n")).select("o_us", "n.*")
+    wanted = asked.select("o_us").distinct().select("o_us", F.explode(F.aggregate(levels, F.struct(low.alias("a"), high.alias("b"), nowhere.alias("nodes")), step, lambda s: s["nodes"])).alias("n")).select("o_us", "n.*")
     leaves = _sums(blocked, parts, "block").withColumn("leaf", F.col("block") + F.lit(ORIGIN))
     pieces: dict[str, tuple[str, str, Column]] = {}
     for n, op in parts.items():

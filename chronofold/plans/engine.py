@@ -198,8 +198,12 @@ class Engine:
         for a in todo:
             self._check(a.node)
         summed = [a for a in todo if self._summed(state, a.node)]
-        if summed:
-            self._blocks(state, summed)
+        # those that look at the row before apart by what they look at, as the others need not wait for it
+        apart: dict[str, list[_Agg]] = {}
+        for a in summed:
+            apart.setdefault(f"{a.node.args!r} {a.node.source!r} {a.node.where!r}" if a.node.name in aggregates.LAGGED else "", []).append(a)
+        for group in apart.values():
+            self._blocks(state, group)
         by_link: dict[tuple, list[_Agg]] = {}
         for a in todo:
             if a not in summed:
@@ -350,14 +354,14 @@ class Engine:
                     length = next(n for n in range(min(block, blocks.MINUTE_US), 0, -1) if block % n == 0)
                     rows = rows.withColumn("key", F.lit(""))
                     asks = state.asked.select(F.lit("").alias("key"), "o_us").distinct()
-                    result, terms = blocks.terms(rows, asks, wanted, parts, length, True)
+                    result, terms = blocks.terms(rows, asks, asks, wanted, parts, length, True)
                     result = result.drop("key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TIME_SALTS - 1))))
                 elif self.related is not None:  # several observations may have the same of these entities
                     asks = state.asked.select(canonical_key(self._linked()).alias("key"), "o_us").distinct()
-                    result, terms = blocks.terms(rows, asks, wanted, parts, block, False)
+                    result, terms = blocks.terms(rows, asks, asks, wanted, parts, block, False)
                 else:
                     asks = state.rows.select(F.col("o_key").alias("key"), "o_us", F.struct(*state.rows.columns).alias("o"))
-                    result, terms = blocks.terms(rows, asks, wanted, parts, block, False)
+                    result, terms = blocks.terms(rows, asks, state.asked.select(F.col("o_key").alias("key"), "o_us"), wanted, parts, block, False)
                     result = result.drop("key", "o_us")
                 named = {c: f"{what}{i}_{c}" for c in result.columns if c not in ("o", "o_us", "salt", "key")}
                 result = result.withColumnsRenamed(named)
@@ -408,7 +412,7 @@ class Engine:
         rows = found.select(F.col("entity_id").alias("key"), (F.col("start_us") - own).alias("us"), F.struct(F.col("start_us"), (low - own).alias("low")).alias("p"))
         asks = state.rows.select(F.col("o_key").alias("key"), "o_us", F.struct(*state.rows.columns).alias("o"))
         past = N.Whole(True)
-        result, terms = blocks.terms(rows, asks, {"p": [past]}, {"p": "max"}, blocks.DAY_US, False)
+        result, terms = blocks.terms(rows, asks, state.asked.select(F.col("o_key").alias("key"), "o_us"), {"p": [past]}, {"p": "max"}, blocks.DAY_US, False)
         state.rows = result.select("o.*", aggregates.merged("max", [F.col(c) for c in terms["p", past]])["low"].alias(interval.column))
 
     def _joins(self, state: _State, aggs: list[_Agg], link: tuple) -> None:
