@@ -32,6 +32,7 @@ def one(store, text, scope=ALL, obs=OBS, **more):
     return row[0]
 
 
+# Expressions and results that must be those of SURVEY section 5.
 GOLDEN = [
     ("count(type) over past", 6),
     ("count(*) over past", 6),
