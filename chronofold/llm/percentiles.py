@@ -129,9 +129,9 @@ def radix_select(rows: DataFrame, groupings: dict[str, list[str]], permilles: tu
             rows = rows.filter(F.get(_filter(opened, [*groups, "digit"]), word).bitwiseAND(bit) != 0)
             rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
         follow = opened.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        # the digit is no join key, so that values stay where their group and salt are
+        # the digit is no join key, so that values stay where their group and salt are; never by broadcast, as the sizes that Spark goes by leave out the salts
         here = F.expr(f"shiftright(r.key, {shift}) - f.digit = 0")
-        rows = rows.alias("r").join(follow.alias("f"), _same("r", "f", groups) & F.expr("r.salt = f.salt") & here, "left_semi")
+        rows = rows.alias("r").join(follow.hint("merge").alias("f"), _same("r", "f", groups) & F.expr("r.salt = f.salt") & here, "left_semi")
         marked = rows.withColumn("under", F.shiftright("key", shift))
         shift -= width
         hist = _histogram(marked, [*groups, "under"], shift)

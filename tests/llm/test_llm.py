@@ -166,6 +166,15 @@ def test_radix_select(spark, salts, widths):
     assert percentiles.radix_select(df.limit(0), {"g": ["g"]}, permilles).count() == 0
 
 
+def test_salted_digits_are_not_broadcast(spark):
+    """Spark's sizes leave out the salts, so a list below its threshold has 64 times as many rows as it takes it for, and they would all come to the driver."""
+    df = percentiles.with_key(spark.range(4000).selectExpr("id % 10 as g", "1 + id / 1e6 as x"), F.col("x")).drop("x")
+    found = percentiles.radix_select(df, {"g": ["g"]}, (500, 900, 990))
+    assert found.count() == 30
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftSemi" in x]
+
+
 @pytest.mark.parametrize("bits", [16, 24])
 def test_summaries_combine(spark, bits):
     rnd = random.Random(6)
