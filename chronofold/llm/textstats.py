@@ -6,9 +6,10 @@ document by Viterbi, so that lines that say little by themselves (bare names, th
 template) follow their surroundings. Label shares are then summed up per document by characters. Lines are labelled for many
 documents at a time.
 
-The model is fitted by expectation and maximisation on a bounded sample of documents (``SAMPLE_DOCS``), from chances that say no more than which
-forms belong to which kind, so a state keeps its meaning; with it the chances of letter pairs are counted, which tell unusual letters from
-those of the corpus. Letters count as no language only if they are unlike the corpus and also unlike any language: too many words
+The model is fitted by expectation and maximisation on all lines of all documents, from chances that say no more than which
+forms belong to which kind, so a state keeps its meaning; before it the letter pairs of all texts are counted, whose chances tell unusual letters from
+those of the corpus. The lines' classes are worked out once and written to the shared folder (see ``settled``); a round reads them and brings only sums
+to the driver. Letters count as no language only if they are unlike the corpus and also unlike any language: too many words
 without vowels, runs of consonants, capitals at the ends of words, marks before words. A language that the corpus doesn't have is read as prose.
 
 Defined cases: null, empty and blank texts and redirects have no kind and shares of 0; the statistics count all lines, the shares of kinds all but
@@ -20,15 +21,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from html import unescape
 from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.common import settled
+
 STATES = ("prose", "list", "table", "junk")
 #: Words that are common in the languages of the corpus, by language so that one can be added; a word counts whatever the text's language.
 COMMON_WORDS = {
@@ -60,8 +66,6 @@ _KINDS_OF = {
 }
 #: Chance that a line has its neighbour's kind, with and without a blank line between, where the fit starts.
 STAY, STAY_APART = 0.91, 0.55
-#: The fit takes at most so many documents, those with the lowest hash of their id among the ones of at most so many characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 50_000
 #: Rounds of the fit, and how many lines the chances at its start count for.
 ROUNDS, WEIGHT = 6, 400.0
 #: The further statistics of a line with the bounds of their classes: characters, percent of digits and percent of signs. They count less than
@@ -135,6 +139,143 @@ def _letters(line: str) -> Iterator[str]:
             yield w[i : i + 2]
 
 
+#: Letter pairs are counted in about so many characters at a time; pairs of letters below the limit (Latin, Greek, Cyrillic) by their place in a table.
+_PIECE, _LOW = 1 << 21, 0x530
+_SPACE = regex.compile(r"\s")
+_SCRIPTS = [regex.compile(x) for x in (r"\p{Han}", r"\p{Hiragana}", r"\p{Katakana}", r"\p{Latin}", r"\p{Cyrillic}")]
+_LETTER, _MARK = regex.compile(r"\p{L}"), regex.compile(r"\p{M}")
+_KATAKANA, _LONG = 3, 6
+
+
+@cache
+def _char_classes() -> np.ndarray:
+    """By code point: 16 x (1 for a letter, 2 for a mark) + the number of its script, or ``_LONG``; 255 for those not met yet."""
+    return np.full(0x110000, 255, np.uint8)
+
+
+def _char_class(c: str) -> int:
+    script = next((k for k, x in enumerate(_SCRIPTS, 1) if x.match(c)), _LONG if c == "ー" else 0)
+    return 16 * (1 if _LETTER.match(c) else 2 if _MARK.match(c) else 0) + script
+
+
+#: Places of other letters and of marks in ``_places``; no letters have these code points.
+_HIGH, _MARKED = 1, 2
+
+
+@cache
+def _places() -> np.ndarray:
+    """By code point: that of a letter below ``_LOW``, 32 for what is no letter, ``_HIGH``, ``_MARKED``; 65535 for those not met yet."""
+    return np.full(0x110000, 65535, np.uint16)
+
+
+def _points(text: str) -> np.ndarray:
+    """The code points of a text in small letters, between spaces."""
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = _places()
+    if (new := places[points] == 65535).any():
+        for c in np.unique(points[new]).tolist():
+            _char_classes()[c] = found = _char_class(chr(c))
+            places[c] = _MARKED if found >= 32 else 32 if found < 16 else c if c < _LOW else _HIGH
+    return points
+
+
+def _pairs_in(points: np.ndarray, japanese: bool) -> np.ndarray:
+    """The pairs of ``_letters`` as first code point << 21 | second; Japanese letters, in whose lines no pair is ever looked up, as 0, and no pairs after them."""
+    found = _char_classes()[points]
+    extra = np.zeros(0, np.int64)
+    if japanese:
+        script = found & 15
+        long = script == _LONG
+        if long.any():  # part of the word only after katakana
+            before = np.maximum.accumulate(np.where(long, 0, np.arange(len(script))))
+            script = np.where(long, np.where(script[before] == _KATAKANA, _KATAKANA, 0), script)
+        letters = np.where(script > 0, np.where((script <= _KATAKANA) & ~long, 0, points), 32).astype(np.int64)
+        first, second = letters[:-1], letters[1:].copy()
+        turn = (script[:-1] != script[1:]) & (script[:-1] > 0) & (script[1:] > 0)  # a word ends and the next begins
+        extra = (32 << 21) | second[turn]
+        second[turn] = 32
+    else:
+        inside = found >= 16
+        mark = found >= 32
+        if (mark[1:] & ~inside[:-1]).any():  # a word doesn't begin with a mark
+            at = np.arange(len(points))
+            inside &= np.maximum.accumulate(np.where(inside & ~mark, at, -1)) > np.maximum.accumulate(np.where(inside, -1, at))
+        letters = np.where(inside, points, 32).astype(np.int64)
+        first, second = letters[:-1], letters[1:]
+    kept = (first != 0) & ((first != 32) | (second != 32))
+    return np.concatenate([(first[kept] << 21) | second[kept], extra])
+
+
+def _pieces(texts: Iterable[str | None]) -> Iterator[tuple[str, bool]]:
+    """All texts, joined or cut at white space to about the size of a piece, and whether they are of those with Japanese letters."""
+    held: dict[bool, list[str]] = {False: [], True: []}
+    size = {False: 0, True: 0}
+    for text in filter(None, texts):
+        kind = not text.isascii() and bool(_JAPANESE.search(text))
+        at = 0
+        while at < len(text):
+            cut = _SPACE.search(text, at + _PIECE) if len(text) > at + _PIECE else None
+            end = cut.start() if cut else len(text)
+            held[kind].append(text[at:end])
+            size[kind] += end - at
+            at = end
+            if size[kind] >= _PIECE:
+                yield "\n".join(held[kind]), kind
+                held[kind], size[kind] = [], 0
+    for kind, parts in held.items():
+        if parts:
+            yield "\n".join(parts), kind
+
+
+class _PairCounts:
+    """How often each pair is met, see ``_pairs_in``."""
+
+    def __init__(self) -> None:
+        self.low = np.zeros(_LOW * _LOW, np.int64)
+        self.high: dict[int, int] = {}
+
+    def add(self, texts: Iterable[str | None]) -> None:
+        for text, japanese in _pieces(texts):
+            points = _points(text)
+            places = _places()[points]
+            marks = np.flatnonzero(places == _MARKED)
+            if not japanese and len(marks) * 50 <= len(places):
+                for i in marks.tolist():  # a part of the word only after its letters
+                    places[i] = 32 if places[i - 1] == 32 else points[i] if points[i] < _LOW else _HIGH
+                marks = marks[:0]
+            if japanese or len(marks):
+                pairs = _pairs_in(points, japanese)
+                first, second = pairs >> 21, pairs & 0x1FFFFF
+                low = (first < _LOW) & (second < _LOW)
+                self.low += np.bincount(first[low] * _LOW + second[low], minlength=len(self.low))
+                pairs = pairs[~low]
+            else:  # the same for texts whose words are runs of letters
+                both = places[:-1].astype(np.int64)
+                both *= _LOW
+                both += places[1:]
+                counts = np.bincount(both, minlength=len(self.low)).reshape(_LOW, _LOW)
+                counts[32, 32], counts[_HIGH], counts[:, _HIGH] = 0, 0, 0
+                self.low += counts.ravel()
+                high = places == _HIGH
+                at = np.flatnonzero(high[:-1] | high[1:])
+                letter = lambda i: np.where(high[i], points[i], places[i]).astype(np.int64)
+                pairs = (letter(at) << 21) | letter(at + 1)
+            for p, n in zip(*(x.tolist() for x in np.unique(pairs, return_counts=True))):
+                self.high[p] = self.high.get(p, 0) + n
+
+    def items(self) -> tuple[list[int], list[int]]:
+        at = np.flatnonzero(self.low)
+        return [*((at // _LOW << 21) | at % _LOW).tolist(), *self.high], [*self.low[at].tolist(), *self.high.values()]
+
+
+def _pair_chances(counts: dict[int, int]) -> dict[str, float]:
+    """Logarithms of the chances of the second letter after the first."""
+    heads: dict[int, int] = {}
+    for p, c in counts.items():
+        heads[p >> 21] = heads.get(p >> 21, 0) + c
+    return {chr(p >> 21) + chr(p & 0x1FFFFF): float(np.log((c + 0.5) / (heads[p >> 21] + 30))) for p, c in counts.items()}
+
+
 def _likeness(line: str, pairs: dict[str, float]) -> float:
     """Mean logarithm of the chances of a line's letter pairs; 0 without a fitted corpus."""
     if not pairs:
@@ -187,6 +328,19 @@ def _plain(line: str) -> str:
     return plain.strip()
 
 
+_ASCII = regex.compile(r"[\x00-\x7f]+")
+_ASCII_DIGITS = bytes(c for c in range(128) if chr(c).isdigit())
+_ASCII_PLAIN = bytes(c for c in range(128) if chr(c).isalnum() or chr(c).isspace())
+
+
+def _plain_and_digits(line: str) -> tuple[int, int]:
+    """How many characters are letters, digits or white space, and how many are digits; those of ASCII by bytes."""
+    own = line.encode("ascii", "ignore")
+    rest = "" if len(own) == len(line) else _ASCII.sub("", line)
+    plain = len(own) - len(own.translate(None, _ASCII_PLAIN)) + sum(map(str.isalnum, rest)) + sum(map(str.isspace, rest))
+    return plain, len(own) - len(own.translate(None, _ASCII_DIGITS)) + sum(map(str.isdigit, rest))
+
+
 def line_stats(line: str, pairs: dict[str, float]) -> tuple[int, ...]:
     """Form, characters, words, letters in words, signs, ends like a sentence, common words, digits; of a stripped line."""
     chars = len(line)
@@ -194,8 +348,8 @@ def line_stats(line: str, pairs: dict[str, float]) -> tuple[int, ...]:
         line = unescape(line)
     words = _words(line)
     common = sum(w in COMMON for w in map(str.lower, words))
-    signs = chars - sum(map(str.isalnum, line)) - sum(map(str.isspace, line))
-    return (_form(line, words, pairs), chars, len(words), sum(map(len, words)), max(signs, 0), int(bool(_END.search(line[-12:]))), common, sum(map(str.isdigit, line)))
+    plain, digits = _plain_and_digits(line)
+    return (_form(line, words, pairs), chars, len(words), sum(map(len, words)), max(chars - plain, 0), int(bool(_END.search(line[-12:]))), common, digits)
 
 
 def _form(line: str, words: list[str], pairs: dict[str, float]) -> int:
@@ -255,6 +409,19 @@ def _classes(stats: np.ndarray) -> np.ndarray:
     return np.stack([stats[:, 0], *(np.searchsorted(b, x, side="right") for b, x in zip(_BOUNDS, (stats[:, 1], 100 * stats[:, 7] // chars, 100 * stats[:, 4] // chars)))], axis=1)
 
 
+_SIZES = (len(FORMS), *(len(b) + 1 for b in _BOUNDS), 2)
+
+
+def _packed(classes: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """The classes of a line, and whether a blank line stands before, in one number."""
+    return np.ravel_multi_index((*classes.T, apart), _SIZES).astype(np.uint16)
+
+
+def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    *classes, apart = np.unravel_index(packed, _SIZES)
+    return np.stack(classes, axis=1), apart
+
+
 def at_start() -> Model:
     """The chances where the fit starts; statistics other than the form say nothing yet."""
     form = np.array([[_OWN if f in own else _MET if f in met else _STRANGE for f in range(len(FORMS))] for own, met in _KINDS_OF.values()])
@@ -270,14 +437,18 @@ def _scores(model: Model, classes: np.ndarray) -> np.ndarray:
 
 def _expect(model: Model, classes: np.ndarray, apart: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected states by line, moves by state, state and blank line before, and first states, over all documents."""
+    return _states(model, np.exp(_scores(model, classes)), apart, lengths)
+
+
+def _states(model: Model, chance: np.ndarray, apart: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_expect``, from the chances of the lines' statistics by state."""
     k = len(STATES)
-    chance = np.exp(_scores(model, classes))
     move = np.exp(model.move)
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
     starts, long = first[order], lengths[order]
-    ahead, back = np.zeros((len(classes), k)), np.ones((len(classes), k))
+    ahead, back = np.zeros((len(chance), k)), np.ones((len(chance), k))
     now = np.exp(model.start) * chance[starts]
     ahead[starts] = now / now.sum(axis=1, keepdims=True)
     moves = np.zeros((2, k, k))
@@ -300,33 +471,46 @@ def _expect(model: Model, classes: np.ndarray, apart: np.ndarray, lengths: np.nd
     return states, moves, states[starts].sum(axis=0)
 
 
+def _sums(model: Model, packed: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What a round needs of some documents, whose lines have the numbers ``packed``, one after another in an array; those of more documents add up."""
+    classes, apart = _unpacked(np.arange(np.prod(_SIZES)))
+    states, moves, first = _states(model, np.exp(_scores(model, classes))[packed], apart[packed], lengths)
+    counts = [np.bincount(packed, states[:, s], len(classes)) for s in range(len(STATES))]
+    seen = [np.bincount(classes[:, c], counts[s], e.shape[1]) for c, e in enumerate(model.emit) for s in range(len(STATES))]
+    return np.concatenate([first, moves.ravel(), *seen])
+
+
+def _maximised(begin: Model, sums: np.ndarray) -> Model:
+    """The model of the sums of all documents."""
+    k, at = len(STATES), 0
+
+    def next_of(*shape: int) -> np.ndarray:
+        nonlocal at
+        at += int(np.prod(shape))
+        return sums[at - int(np.prod(shape)) : at].reshape(shape)
+
+    first = next_of(k) + WEIGHT * np.exp(begin.start)
+    moves = next_of(2, k, k) + WEIGHT * np.exp(begin.move)
+    emit = []
+    for c, before in enumerate(begin.emit):
+        seen = next_of(*before.shape) + (WEIGHT * np.exp(before) if c == 0 else 1.0)
+        emit.append(np.log(seen / seen.sum(axis=1, keepdims=True)))
+    return Model(np.log(first / first.sum()), np.log(moves / moves.sum(axis=2, keepdims=True)), tuple(emit), begin.pairs)
+
+
 def fit(texts: Iterable[str | None], rounds: int = ROUNDS) -> Model:
-    """A model of a sample of texts."""
+    """A model of some texts, here and now; see ``text_statistics`` for that of a table."""
     texts = [t for t in texts if t]
-    counts: dict[str, int] = {}
-    for t in texts:
-        for p in _letters(t):
-            counts[p] = counts.get(p, 0) + 1
-    heads: dict[str, int] = {}
-    for p, c in counts.items():
-        heads[p[0]] = heads.get(p[0], 0) + c
-    pairs = {p: float(np.log((c + 0.5) / (heads[p[0]] + 30))) for p, c in counts.items()}
+    counts = _PairCounts()
+    counts.add(texts)
     begin = at_start()
-    model = Model(begin.start, begin.move, begin.emit, pairs)
-    stats, apart, _, lengths, _, _ = _lines(texts, pairs)
+    model = begin = Model(begin.start, begin.move, begin.emit, _pair_chances(dict(zip(*counts.items()))))
+    stats, apart, _, lengths, _, _ = _lines(texts, begin.pairs)
     if not len(stats):
         return model
-    classes = _classes(stats)
+    packed = _packed(_classes(stats), apart)
     for _ in range(rounds):
-        states, moves, first = _expect(model, classes, apart, lengths)
-        emit = []
-        for c, before in enumerate(begin.emit):
-            seen = np.stack([np.bincount(classes[:, c], states[:, s], before.shape[1]) for s in range(len(STATES))])
-            seen += WEIGHT * np.exp(before) if c == 0 else 1.0
-            emit.append(np.log(seen / seen.sum(axis=1, keepdims=True)))
-        moves += WEIGHT * np.exp(begin.move)
-        first += WEIGHT * np.exp(begin.start)
-        model = Model(np.log(first / first.sum()), np.log(moves / moves.sum(axis=2, keepdims=True)), tuple(emit), pairs)
+        model = _maximised(begin, _sums(model, packed, lengths))
     return model
 
 
@@ -394,7 +578,7 @@ def _lines(texts: list[str | None], pairs: dict[str, float], cache: _Cache | Non
                 gap = True
                 continue
             found = cache.of(line)
-            if _ASIDE.fullmatch(line):
+            if line[0] in "=[{" and _ASIDE.fullmatch(line):
                 asides.append(found)
                 aside_owner.append(i)
                 gap = True
@@ -414,52 +598,141 @@ _COLUMNS = [("n_words", pa.int64()), ("mean_word_length", pa.float64()), ("symbo
 SCHEMA = "doc_id bigint, n_words bigint, mean_word_length double, symbol_ratio double, punctuated_line_share double, common_word_share double, prose_share double, list_share double, table_share double, junk_share double, doc_kind string"
 
 
-def describe(texts: list[str | None], model: Model, cache: _Cache | None = None) -> dict[str, np.ndarray | list]:
-    """The statistics of many texts, by column."""
+#: What a text has whatever the model's chances: its statistics, whether it is a redirect, and of each of its lines that have a kind the classes in one
+#: number (see ``_packed``) and the characters.
+_FIXED = 5
+_SEEN = [*_COLUMNS[:_FIXED], ("redirect", pa.bool_()), ("classes", pa.binary()), ("chars", pa.binary())]
+_SEEN_SCHEMA = "doc_id bigint, n_words bigint, mean_word_length double, symbol_ratio double, punctuated_line_share double, common_word_share double, redirect boolean, classes binary, chars binary"
+#: Lines that a round takes at a time, or those of one document.
+MOST_LINES = 300_000
+
+
+def _fixed(texts: list[str | None], pairs: dict[str, float], cache: _Cache | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The columns that the model's chances don't change, and the classes, blank lines before and characters of all lines that have a kind."""
     n = len(texts)
     redirect = np.array([bool(_REDIRECT.match(t or "")) for t in texts], bool)
-    table, apart, owner, lengths, asides, aside_owner = _lines(texts, model.pairs, cache)
-    labels = viterbi(model, _classes(table), apart, lengths)
+    table, apart, owner, lengths, asides, aside_owner = _lines(texts, pairs, cache)
     every, all_owner = np.concatenate([table, asides]), np.concatenate([owner, aside_owner])
     total = lambda c: np.bincount(all_owner, every[:, c], minlength=n)
     share = lambda a, b: np.divide(a, b, out=np.zeros(n), where=b > 0)
     words = total(2)
-    chars = np.bincount(owner, table[:, 1], minlength=n)
-    by_state = np.stack([np.bincount(owner[labels == s], table[labels == s, 1], minlength=n) for s in range(len(STATES))])
-    most = by_state[1:].argmax(axis=0) + 1 if n else []
-    case = (chars > 0) & (by_state[0] * 2 < chars) & ~redirect
-    return {
+    columns = {
         "n_words": words.astype(np.int64),
         "mean_word_length": share(total(3), words),
         "symbol_ratio": share(total(4), total(1)),
         "punctuated_line_share": share(total(5), np.bincount(all_owner, minlength=n)),
         "common_word_share": share(total(6), words),
-        **{f"{s}_share": np.where(redirect, 0.0, share(by_state[k], chars)) for k, s in enumerate(STATES)},
-        "doc_kind": [STATES[k] if c else None for k, c in zip(most, case)],
+        "redirect": redirect,
+        "lengths": lengths,
     }
+    return columns, _classes(table), apart, table[:, 1]
 
 
-def sample(documents: DataFrame, id_column: str, text_column: str, most: int = SAMPLE_DOCS) -> list[str]:
-    """The texts for the fit: those with the lowest hash of their id. About four times as many are looked at, so that no task sends many."""
-    place = F.pmod(F.xxhash64(id_column), F.lit(1 << 31))
-    near = (1 << 31) * min(1.0, 4 * most / max(documents.count(), 1))
-    text = F.col(text_column)
-    usable = documents.select(F.col(id_column).alias("id"), text.alias("text"), place.alias("place")).filter((F.col("place") < int(near) + 1) & (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
-    return [r.text for r in usable.orderBy("place", "id", "text").limit(most).collect()]
+def _kinds(model: Model, classes: np.ndarray, apart: np.ndarray, chars: np.ndarray, lengths: np.ndarray, redirect: np.ndarray) -> dict[str, np.ndarray | list]:
+    """The columns of the kinds."""
+    n = len(lengths)
+    owner, labels = np.repeat(np.arange(n), lengths), viterbi(model, classes, apart, lengths)
+    whole = np.bincount(owner, chars, minlength=n)
+    by_state = np.stack([np.bincount(owner[labels == s], chars[labels == s], minlength=n) for s in range(len(STATES))])
+    most = by_state[1:].argmax(axis=0) + 1 if n else []
+    case = (whole > 0) & (by_state[0] * 2 < whole) & ~redirect
+    share = lambda a: np.divide(a, whole, out=np.zeros(n), where=whole > 0)
+    return {**{f"{s}_share": np.where(redirect, 0.0, share(by_state[k])) for k, s in enumerate(STATES)}, "doc_kind": [STATES[k] if c else None for k, c in zip(most, case)]}
 
 
-def text_statistics(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: Model | None = None) -> DataFrame:
-    """A row per document, see ``SCHEMA``. The model is fitted to a sample of the documents, or given. No shuffle; a task holds about 16 MB of text at a time, or
-    one document."""
-    model = fit(sample(documents, id_column, text_column)) if model is None else model
+def describe(texts: list[str | None], model: Model, cache: _Cache | None = None) -> dict[str, np.ndarray | list]:
+    """The statistics of many texts, by column."""
+    columns, classes, apart, chars = _fixed(texts, model.pairs, cache)
+    lengths, redirect = columns.pop("lengths"), columns.pop("redirect")
+    return columns | _kinds(model, classes, apart, chars, lengths, redirect)
+
+
+def _slices(batches: Iterable[pa.RecordBatch], most: int, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of at most so many bytes of a column, or one row."""
+    for whole in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < whole.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right")))
+            yield whole.slice(at, end - at)
+            at = end
+
+
+def _flat(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.int64)
+
+
+def pair_counts(documents: DataFrame) -> dict[int, int]:
+    """The letter pairs of all texts. As Japanese letters are left out, there are at most as many as alphabets have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Cache(model.pairs)
-        for whole in batches:
-            step = max(1, int(whole.num_rows * 16_000_000 / max(whole.nbytes, 1)))
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                found = describe(batch.column(1).to_pylist(), model, cache)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[c], t) for c, t in _COLUMNS)], ["doc_id", *(c for c, _ in _COLUMNS)])
-
-    return documents.select(documents[id_column].cast("bigint").alias("doc_id"), documents[text_column].alias("text")).mapInArrow(run, SCHEMA)
+        counts = _PairCounts()
+        for batch in _slices(batches, 16_000_000, 1):
+            counts.add(batch.column(1).to_pylist())
+        pairs, n = counts.items()
+        yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
+
+    return {r.pair: r.n for r in documents.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").collect()}
+
+
+def seen(documents: DataFrame, pairs: dict[str, float]) -> DataFrame:
+    """A row per document with what the rounds and the labels need, see ``_SEEN``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Cache(pairs)
+        for batch in _slices(batches, 16_000_000, 1):
+            columns, classes, apart, chars = _fixed(batch.column(1).to_pylist(), pairs, cache)
+            ends = np.cumsum(columns.pop("lengths"))[:-1]
+            columns["classes"] = [x.tobytes() for x in np.split(_packed(classes, apart), ends)]
+            columns["chars"] = [x.tobytes() for x in np.split(chars.astype(np.int32), ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[c], t) for c, t in _SEEN)], ["doc_id", *(c for c, _ in _SEEN)])
+
+    return documents.mapInArrow(run, _SEEN_SCHEMA)
+
+
+def fitted(lines: DataFrame, pairs: dict[str, float], rounds: int = ROUNDS) -> Model:
+    """A model of all documents of ``seen``. A round brings one row of sums a task to the driver, where they are added in the order of the tasks."""
+    begin = at_start()
+    model = begin = Model(begin.start, begin.move, begin.emit, pairs)
+    for _ in range(rounds):
+        chances = Model(model.start, model.move, model.emit, {})
+
+        def run(batches: Iterator[pa.RecordBatch], chances: Model = chances) -> Iterator[pa.RecordBatch]:
+            sums = 0.0
+            for batch in _slices(batches, 2 * MOST_LINES, 0):
+                lengths = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+                if lengths.any():
+                    sums = sums + _sums(chances, _flat(batch.column(0), np.uint16), lengths)
+            if np.ndim(sums):
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sums.tolist()], pa.list_(pa.float64()))], ["part", "sums"])
+
+        found = lines.select("classes").mapInArrow(run, "part int, sums array<double>").collect()
+        if not found:
+            break
+        model = _maximised(begin, np.sum([r.sums for r in sorted(found, key=lambda r: r.part)], axis=0))
+    return model
+
+
+def _labelled(lines: DataFrame, model: Model) -> DataFrame:
+    """``SCHEMA`` from the rows of ``seen``."""
+    chances = Model(model.start, model.move, model.emit, {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 2 * MOST_LINES, _FIXED + 2):
+            *fixed, redirect, classes, chars = batch.columns
+            lengths = pc.binary_length(classes).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+            found = _kinds(chances, *_unpacked(_flat(classes, np.uint16)), _flat(chars, np.int32), lengths, redirect.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*fixed, *(pa.array(found[c], t) for c, t in _COLUMNS[_FIXED:])], ["doc_id", *(c for c, _ in _COLUMNS)])
+
+    return lines.mapInArrow(run, SCHEMA)
+
+
+def text_statistics(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: Model | None = None) -> DataFrame:
+    """A row per document, see ``SCHEMA``. The model is fitted to all documents, now, or given. Nothing is shuffled but counts of letter pairs; a task holds
+    about 16 MB of text at a time, or one document."""
+    documents = documents.select(documents[id_column].cast("bigint").alias("doc_id"), documents[text_column].alias("text"))
+    if model is not None:
+        return _labelled(seen(documents, model.pairs), model)
+    pairs = _pair_chances(pair_counts(documents))
+    lines = settled(seen(documents, pairs))
+    return _labelled(lines, fitted(lines, pairs))

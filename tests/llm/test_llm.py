@@ -327,3 +327,44 @@ def test_fit_makes_its_sample_likelier():
     best = lambda m: textstats._scores(m, classes)[np.arange(len(classes)), textstats.viterbi(m, classes, apart, lengths)].sum()
     assert best(textstats.fit(texts)) > best(textstats.at_start())
     assert textstats.fit([]).pairs == {} and textstats.fit([None, ""]).pairs == {}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n.abÉΣςЯ\u0301日のカーンïĀ한글Ⅷİ\u00ad1"), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=4))
+def test_pairs_are_those_of_all_letters(texts):
+    """Counted in arrays as by ``_letters``, but for Japanese letters, in whose lines none is looked up."""
+    want = Counter()
+    for t in texts:
+        for pair in textstats._letters(t):
+            first, second = (0 if textstats._JAPANESE.match(c) else ord(c) for c in pair)
+            if first:
+                want[first << 21 | second] += 1
+    for size in (1 << 21, 5):
+        textstats._PIECE, before = size, textstats._PIECE
+        try:
+            counts = textstats._PairCounts()
+            counts.add(texts)
+        finally:
+            textstats._PIECE = before
+        assert dict(zip(*counts.items())) == want
+
+
+def test_statistics_are_fitted_to_all_documents(spark):
+    """More documents than any sample had, of which one of over 50,000 characters alone shows what the language's letters are like."""
+    rnd = random.Random(10)
+    words = ["vlk", "čtvrť", "smršť", "žďár", "skříň", "řeřicha", "příští", "žížala", "ďáblů", "břízy"]
+    line = lambda n: " ".join(rnd.choice(words) for _ in range(n)).capitalize() + " a to je dobré."
+    texts = ["\n".join(line(12) for _ in range(900)), line(9), None, "", *(f"* Oakton {i}\n* Elmford" if i % 3 else PROSE for i in range(2500))]
+    assert len(texts[0]) > 50_000
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r for r in textstats.text_statistics(df).collect()}
+    model = textstats.fit(texts)
+    want = textstats.describe(texts, model)
+    assert len(got) == len(texts)
+    for c, column in want.items():
+        assert [got[i][c] for i in range(len(texts))] == [pytest.approx(x) if isinstance(x, float) else x for x in column]
+    pairs = textstats._pair_chances(textstats.pair_counts(df))
+    whole = textstats.fitted(textstats.seen(df, pairs), pairs)
+    assert whole.pairs == model.pairs and all(np.allclose(a, b) for a, b in zip((whole.start, whole.move, *whole.emit), (model.start, model.move, *model.emit)))
+    short = textstats.fit(t for t in texts if len(t or "") <= 50_000)
+    assert textstats.describe([texts[1]], short)["doc_kind"] != [got[1].doc_kind]
